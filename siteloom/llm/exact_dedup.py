@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Stage
+from siteloom.llm.common import Stage, fresh_name
 
 PREFIX = 256
 #: Rows of (length, prefix hash) up to which they are sent to every executor: 24 bytes each, so 48 MB at most.
@@ -57,13 +57,13 @@ def one_row_each(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> Da
 
     Ids that one row carries, all of them as a rule, need no second look; repeated ones alone are dealt out by id.
     """
-    docs_id = F.col(id_col)
-    single = keep.filter("n_rows = 1").select("keep_row")
-    out = docs.join(single, docs_id.eqNullSafe(F.col("keep_row")), "left_semi")
-    repeated = keep.filter("n_rows > 1").select("keep_row")
+    docs_id, own = F.col(id_col), fresh_name(docs, "keep_row")
+    single = keep.filter("n_rows = 1").select(F.col("keep_row").alias(own))
+    out = docs.join(single, docs_id.eqNullSafe(F.col(own)), "left_semi")
+    repeated = keep.filter("n_rows > 1").select(F.col("keep_row").alias(own))
     if repeated.head() is None:
         return out
-    return out.unionByName(docs.join(repeated, docs_id.eqNullSafe(F.col("keep_row")), "left_semi").dropDuplicates([id_col]))
+    return out.unionByName(docs.join(repeated, docs_id.eqNullSafe(F.col(own)), "left_semi").dropDuplicates([id_col]))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
