@@ -85,6 +85,13 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def drop_ids(docs: DataFrame, ids: DataFrame, stage: Stage, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id, null included, is in the one column of ids."""
+    own = fresh_name(docs, "dropped_id")
+    dropped = stage.put(ids.toDF(own).distinct(), "dropped")
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm.common import table
+from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
 from siteloom.llm.simhash import near_duplicates
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -20,7 +25,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
