@@ -10,12 +10,17 @@ from siteloom.llm.common import table
 from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
 from siteloom.llm.simhash import near_duplicates
+from siteloom.llm.toxicity import toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -25,7 +30,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
