@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import table
 from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
+from siteloom.llm.secrets import digest as secret_digest
+from siteloom.llm.secrets import scan
 from siteloom.llm.simhash import near_duplicates
 from siteloom.llm.toxicity import toxicity
 
@@ -21,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -30,7 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
