@@ -129,6 +129,15 @@ def text_buffer(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(offsets: np.ndarray, most_bytes: int = 1 << 20):
+    """Ranges of rows (from, to) that hold about so many bytes at most, a longer row by itself."""
+    cut, n = 0, len(offsets) - 1
+    while cut < n:
+        to = max(cut + 1, int(np.searchsorted(offsets, offsets[cut] + most_bytes, "right")) - 1)
+        yield cut, to
+        cut = to
+
+
 #: Powers of an odd base modulo 2^64 and of its inverse, made as long as needed.
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, slices, span_hashes, text_buffer, token_spans
 
 by_value(__name__)
 
@@ -49,9 +49,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def segments(batches):
         for b in batches:
             raw, at = text_buffer(b.column(1))
-            cut = 0
-            while cut < b.num_rows:
-                to = max(cut + 1, int(np.searchsorted(at, at[cut] + segment_bytes, "right")) - 1)
+            for cut, to in slices(at, segment_bytes):
                 terms, row = word_hashes(raw[at[cut] : at[to]], at[cut : to + 1] - at[cut])
                 order = np.argsort(terms, kind="stable")
                 own, counts = np.unique(terms[order], return_counts=True)
@@ -60,7 +58,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     {"segment": [uuid.uuid4().hex], "doc_ids": [b.column(0).slice(cut, to - cut).to_pylist()], "doc_starts": [starts.tobytes()], "terms": [own.tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "postings": [order.astype(np.uint32).tobytes()]},
                     pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("doc_starts", "terms", "counts", "postings"))]),
                 )
-                cut = to
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(segments, INDEX)
 

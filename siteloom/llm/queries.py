@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siteloom.llm.common import table
 from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
+from siteloom.llm.packing import pack
 from siteloom.llm.secrets import digest as secret_digest
 from siteloom.llm.secrets import scan
 from siteloom.llm.simhash import near_duplicates
@@ -31,12 +32,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
