@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_ids, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_ids, slices, span_hashes, text_buffer, token_spans
 from siteloom.llm.decontaminate import word_table
 
 by_value(__name__)
@@ -29,6 +29,9 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: How many times a feature has to occur in a text to count as its second, third, ... feature.
 TIMES = (1, 2, 4)
 
+#: Bytes of text that a worker turns to features at a time.
+SLICE_BYTES = 1 << 20
+
 #: Words that name groups of people, each line one kind; a swap takes the next of its line.
 IDENTITY_TERMS = """
 muslim christian jewish hindu buddhist atheist catholic protestant
@@ -95,7 +98,12 @@ def features(raw: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = No
 
 
 def columns_of(known: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and model column of each feature that a text has."""
+    """Row and model column of each feature that a text has, a slice of the texts at a time."""
+    parts = [_columns_of(known, raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], a) for a, z in slices(offsets, SLICE_BYTES)]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _columns_of(known: np.ndarray, raw: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     rows, hashes, times = features(raw, offsets, known)
     if not len(known) or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -103,7 +111,7 @@ def columns_of(known: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple
     has = known[at] == hashes
     rows, at, times = rows[has], at[has], times[has]
     r, c = zip(*((rows[times >= t], at[times >= t] + k * len(known)) for k, t in enumerate(TIMES)))
-    return np.concatenate(r), np.concatenate(c)
+    return np.concatenate(r) + first, np.concatenate(c)
 
 
 class Rows:
@@ -162,10 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def seen(batches):
         for b in batches:
-            r, h, _ = features(*text_buffer(b.column(0)))
-            y = b.column(1).to_numpy()[r] > 0
-            own, at = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(at, y, len(own)).astype(np.int64)), pa.array(np.bincount(at, ~y, len(own)).astype(np.int64))], ["h", "yes", "no"])
+            raw, offsets = text_buffer(b.column(0))
+            label = b.column(1).to_numpy() > 0
+            for a, z in slices(offsets, SLICE_BYTES):
+                r, h, _ = features(raw[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+                y = label[a:z][r]
+                own, at = np.unique(h, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(at, y, len(own)).astype(np.int64)), pa.array(np.bincount(at, ~y, len(own)).astype(np.int64))], ["h", "yes", "no"])
 
     n_yes = sample.filter("label > 0").count()
     n_no = sample.count() - n_yes
