@@ -10,6 +10,8 @@ from siteloom.llm.common import table
 from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
 from siteloom.llm.packing import pack
+from siteloom.llm.pii import digest as pii_digest
+from siteloom.llm.pii import find
 from siteloom.llm.secrets import digest as secret_digest
 from siteloom.llm.secrets import scan
 from siteloom.llm.simhash import near_duplicates
@@ -24,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find(table(spark, sf_dir, "documents")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan(table(spark, sf_dir, "documents")))
 
@@ -41,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
