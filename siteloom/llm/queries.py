@@ -46,8 +46,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash}
+    return {"op1_decontaminate": op1_decontaminate, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
