@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siteloom.llm.common import table
 from siteloom.llm.decontaminate import contamination
 from siteloom.llm.exact_dedup import exact_groups
+from siteloom.llm import lm
 from siteloom.llm.line_dedup import repeated_lines
 from siteloom.llm.packing import pack
 from siteloom.llm.pii import digest as pii_digest
@@ -46,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_simhash": op10_simhash, "pipeline": pipeline}
+    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op7_lm": op7_lm, "op8_packing": op8_packing, "op10_simhash": op10_simhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
