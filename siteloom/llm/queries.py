@@ -18,6 +18,8 @@ from siteloom.llm.pii import find
 from siteloom.llm.secrets import digest as secret_digest
 from siteloom.llm.secrets import scan
 from siteloom.llm.simhash import near_duplicates
+from siteloom.llm.substring_dedup import digest as substring_digest
+from siteloom.llm.substring_dedup import remove_repeats
 from siteloom.llm.toxicity import toxicity
 
 
@@ -55,6 +57,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op7_lm": op7_lm, "op8_packing": op8_packing, "op10_simhash": op10_simhash, "pipeline": pipeline}
+    return {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_pii": op4_pii, "op5_secrets": op5_secrets, "op6_exact_dedup": op6_exact_dedup, "op7_lm": op7_lm, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_simhash": op10_simhash, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
