@@ -85,11 +85,38 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, stage: Stage, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id, null included, is in the one column of ids."""
-    own = fresh_name(docs, "dropped_id")
-    dropped = stage.put(ids.toDF(own).distinct(), "dropped")
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: a hash of id and text. Rows alike in both are one document stored more than once."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+#: Keys up to which what goes is sent to every executor: 16 MB of longs. Beyond, rows and keys are dealt out.
+SEND_KEYS = 2_000_000
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", send: int = SEND_KEYS) -> DataFrame:
+    """docs without the rows whose row_key is in the one column of gone. Texts stay where they are as long as gone is small."""
+    own = fresh_name(docs, "row_key")
+    keys = stage.put(gone.toDF(own).distinct(), "gone")
+    small = keys.limit(send + 1).count() <= send
+    return docs.withColumn(own, row_key(id_col, text_col)).join(F.broadcast(keys) if small else keys, own, "left_anti").drop(own)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group one row of docs: that of the smallest id, null last. groups: key (row_key), doc_id, grp; rows not in it stay.
+
+    A row that is stored more than once stays once: those few keys alone are dealt out with their rows.
+    """
+    groups = stage.put(groups.select("key", "doc_id", "grp"), "groups")
+    first = stage.put(groups.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")).select("least.key"), "first")
+    counts = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = drop_rows(docs, counts.join(first, "key", "left_anti").select("key"), stage, id_col, text_col)
+    again = stage.put(counts.filter("n > 1").join(first, "key", "left_semi").select("key"), "again")
+    if again.head() is None:
+        return out
+    own = fresh_name(docs, "row_key")
+    several = out.withColumn(own, row_key(id_col, text_col)).join(again.toDF(own), own, "left_semi").dropDuplicates([own]).drop(own)
+    return drop_rows(out, again, stage, id_col, text_col).unionByName(several)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, slices, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, span_hashes, text_buffer, token_spans
 
 by_value(__name__)
 
@@ -231,7 +231,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without contaminated documents. Rows of one id, null included, share the fate of any of them."""
-    from siteloom.llm.common import drop_ids
-
-    return drop_ids(docs, contamination(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select("doc_id"), Stage(docs.sparkSession, "decontaminate"), id_col)
+    """The input's rows and columns without contaminated documents; each row has its own decision."""
+    keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return drop_rows(docs, contamination(keyed, items).filter("contaminated").select("doc_id"), Stage(docs.sparkSession, "decontaminate"), id_col, text_col)

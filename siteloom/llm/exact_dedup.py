@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Stage, fresh_name
+from siteloom.llm.common import Stage, keep_first, row_key
 
 PREFIX = 256
 #: Rows of (length, prefix hash) up to which they are sent to every executor: 24 bytes each, so 48 MB at most.
@@ -21,6 +21,19 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def hashed_rows(docs: DataFrame, stage: Stage, id_col: str, text_col: str, prefix: int, digest: bool, send_rows: int) -> DataFrame:
+    """key, doc_id, shared (whether another row shares length and prefix), text_sha256 (null unless shared or digest)."""
+    norm = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    keyed = norm.select("key", "doc_id", "norm", F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.substring("norm", 1, prefix)).alias("prefix_hash"))
+    counts = stage.put(keyed.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    lengths = counts.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).filter("n_length > 1")
+    shared = stage.put(counts.join(lengths, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix_hash", F.lit(True).alias("shared")), "shared")
+    small = shared.limit(send_rows + 1).count() <= send_rows
+    survivors = keyed.join(F.broadcast(shared) if small else shared, ["n_bytes", "prefix_hash"], "left")
+    full = F.sha2(F.encode("norm", "UTF-8"), 256)
+    return stage.put(survivors.select("key", "doc_id", F.col("shared").isNotNull().alias("shared"), full.alias("text_sha256") if digest else F.when(F.col("shared"), full).alias("text_sha256")), "hashes")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False, send_rows: int = SEND_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -31,19 +44,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row shares length and prefix with, unless digest is set.
     """
     stage = Stage(docs.sparkSession, "exact-dedup")
-    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    keyed = norm.select("doc_id", "norm", F.octet_length("norm").alias("n_bytes"), F.xxhash64(F.substring("norm", 1, prefix)).alias("prefix_hash"))
-
-    counts = stage.put(keyed.groupBy("n_bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    lengths = counts.groupBy("n_bytes").agg(F.sum("n").alias("n_length")).filter("n_length > 1")
-    shared = stage.put(counts.join(lengths, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix_hash", F.lit(True).alias("shared")), "shared")
-
-    small = shared.limit(send_rows + 1).count() <= send_rows
-    survivors = keyed.join(F.broadcast(shared) if small else shared, ["n_bytes", "prefix_hash"], "left")
-    full = F.sha2(F.encode("norm", "UTF-8"), 256)
-    hashed = stage.put(
-        survivors.select("doc_id", F.col("shared").isNotNull().alias("shared"), full.alias("text_sha256") if digest else F.when(F.col("shared"), full).alias("text_sha256")), "hashes"
-    )
+    hashed = hashed_rows(docs, stage, id_col, text_col, prefix, digest, send_rows)
     groups = hashed.filter("shared").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     found = hashed.join(groups, "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
@@ -52,22 +53,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def one_row_each(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in keep (columns keep_row, n_rows: how many rows of docs carry it), one row for an id.
-
-    Ids that one row carries, all of them as a rule, need no second look; repeated ones alone are dealt out by id.
-    """
-    docs_id, own = F.col(id_col), fresh_name(docs, "keep_row")
-    single = keep.filter("n_rows = 1").select(F.col("keep_row").alias(own))
-    out = docs.join(single, docs_id.eqNullSafe(F.col(own)), "left_semi")
-    repeated = keep.filter("n_rows > 1").select(F.col("keep_row").alias(own))
-    if repeated.head() is None:
-        return out
-    return out.unionByName(docs.join(repeated, docs_id.eqNullSafe(F.col(own)), "left_semi").dropDuplicates([id_col]))
-
-
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without exact copies: of each group one row with the smallest id stays."""
-    groups = exact_groups(docs, id_col, text_col)
-    kept = Stage(docs.sparkSession, "exact-dedup").put(groups.filter("kept").groupBy(F.col("doc_id").alias("keep_row")).agg(F.count(F.lit(1)).alias("n_rows")), "kept")
-    return one_row_each(docs, kept, id_col)
+    """The input's rows and columns without exact copies: of each group one row with the smallest id stays, null ids last."""
+    stage = Stage(docs.sparkSession, "exact-dedup")
+    hashed = hashed_rows(docs, stage, id_col, text_col, PREFIX, False, SEND_ROWS)
+    return keep_first(docs, hashed.filter("shared").select("key", "doc_id", F.col("text_sha256").alias("grp")), stage, id_col, text_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, binary_text, by_value
+from siteloom.llm.common import ASCII_LOWER, Stage, binary_text, by_value, keep_first, row_key
 from siteloom.llm.components import components
 
 by_value(__name__)
@@ -48,14 +48,14 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row; a null text counts as empty."""
+    """doc_id, key (row_key), fp (the fingerprint as a signed long) for every row; a null text counts as empty."""
 
     def rows(batches):
         for b in batches:
-            got = np.array([fingerprint(binary_text(b.column(1), i), width) for i in range(b.num_rows)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            got = np.array([fingerprint(binary_text(b.column(2), i), width) for i in range(b.num_rows)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, key long, fp long")
 
 
 def masks(bits: int, radius: int) -> list[int]:
@@ -163,19 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint zero and are linked like any other. Null ids are passed through and never a
     component_id unless a component has no other. Repeated rows give repeated rows. An empty table gives no rows.
     """
-    stage = Stage(docs.sparkSession, "simhash")
+    found = with_components(docs, Stage(docs.sparkSession, "simhash"), id_col, text_col, width, distance)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_components(docs: DataFrame, stage: Stage, id_col: str, text_col: str, width: int, distance: int) -> DataFrame:
     prints = stage.put(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = stage.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(ball_links(distinct, stage, distance), stage)
     rooted = stage.put(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """The input's rows and columns, one row of each component: that of the smallest id."""
-    from siteloom.llm.exact_dedup import one_row_each
-
-    found = near_duplicates(docs, id_col, text_col, distance=distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = Stage(docs.sparkSession, "simhash").put(found.groupBy(F.col("doc_id").alias("keep_row")).agg(F.count(F.lit(1)).alias("n_rows")), "kept")
-    return one_row_each(docs, kept, id_col)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The input's rows and columns, one row of each component: that of the smallest id, null ids last."""
+    stage = Stage(docs.sparkSession, "simhash")
+    found = with_components(docs, stage, id_col, text_col, width, distance)
+    return keep_first(docs, found.select("key", "doc_id", F.col("root").alias("grp")), stage, id_col, text_col)

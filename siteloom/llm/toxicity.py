@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_ids, slices, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, span_hashes, text_buffer, token_spans
 from siteloom.llm.decontaminate import word_table
 
 by_value(__name__)
@@ -233,6 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without those predicted toxic. Rows of one id, null included, share the fate of any of them."""
-    found = toxicity(docs, labels, id_col, text_col)
-    return drop_ids(docs, found.filter("predicted = 1").select("doc_id"), Stage(docs.sparkSession, "toxicity"), id_col)
+    """The input's rows and columns without those predicted toxic; each row has its own decision."""
+    keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = score(keyed, train(docs, labels, id_col, text_col))
+    return drop_rows(docs, found.filter("predicted = 1").select("doc_id"), Stage(docs.sparkSession, "toxicity"), id_col, text_col)

@@ -120,3 +120,21 @@ def test_simhash_drop(spark):
     out = drop_near_duplicates(documents(spark, texts, extra=True))
     want = set(slow_components({i: slow_print(t) for i, t in enumerate(texts)}).values())
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
+def test_drops_with_clashing_and_null_ids(spark):
+    rows = [(1, "a"), (1, "b"), (5, "a"), (5, "c"), (None, "c"), (None, "d"), (None, "d"), (2, "b"), (5, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(drop_exact_duplicates(docs).collect(), key=str)
+    assert sorted(map(tuple, out), key=str) == sorted([(1, "a"), (1, "b"), (5, "c"), (None, "d")], key=str)
+    near = sorted(drop_near_duplicates(docs).collect(), key=str)
+    assert sorted(map(tuple, near), key=str) == sorted([(1, "a"), (1, "b"), (5, "c"), (None, "d")], key=str)
+
+
+def test_drops_beyond_the_size_that_is_sent(spark):
+    from siteloom.llm.common import Stage, drop_rows, row_key
+
+    docs = documents(spark, odd_texts(), extra=True)
+    gone = docs.filter("doc_id % 3 = 0").select(row_key())
+    a, b = (sorted(r.doc_id for r in drop_rows(docs, gone, Stage(spark, "t"), send=k).collect()) for k in (0, 100))
+    assert a == b == [i for i in range(len(odd_texts())) if i % 3]
