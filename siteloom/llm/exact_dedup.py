@@ -46,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stage = Stage(docs.sparkSession, "exact-dedup")
     hashed = hashed_rows(docs, stage, id_col, text_col, prefix, digest, send_rows)
     groups = hashed.filter("shared").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = stage.put(groups, "groups")  # so that the join below deals both sides out itself, and may split a side that is skewed
     found = hashed.join(groups, "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
