@@ -286,7 +286,7 @@ def acceptance_decision(s, d):
 
 
 def quality_warnings(s, d):
-    m = quality.root_topology(items(s, d)).withColumn("flat", F.col("root_children"))
+    m = quality.root_topology(items(s, d)).withColumn("flat", F.col("root_children")).withColumn("tree_nodes", F.col("root_children"))
     return quality.warnings(m, ["site_id"]).select("site_id", "code", "severity")
 
 
