@@ -48,6 +48,35 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a batch that goes to a worker: a fifth of Spark's own number, since rows here are whole texts.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches that workers get small, unless the session has its own size for them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trimmed(rows):
+    """rows, after which the worker, which lives on for other tasks, gives back the memory that it no longer needs."""
+
+    def run(batches):
+        yield from rows(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc
+            pass
+
+    return run
+
+
 class Stage:
     """Intermediate tables of one operator call, written as Parquet in the shared folder.
 
@@ -55,6 +84,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, operator: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{work_dir(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, slices, space_table, span_hashes, splitmix, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, slices, space_table, span_hashes, splitmix, text_buffer, token_spans, trimmed
 
 by_value(__name__)
 
@@ -219,7 +219,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
                 h, c = np.unique(tokens(raw[at[a] : at[z]], at[a : z + 1] - at[a])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    counted = stage.put(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    counted = stage.put(texts.mapInArrow(trimmed(count_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     v, n = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).head()
     bits = max(1, (v // WORDS_IN_PART).bit_length())
 
@@ -298,7 +298,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
         rows_ = len(out["part"])
         return pa.table({"part": pa.array(out["part"], pa.int32()), "n": pa.array(out["n"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()), "columns": pa.array(out["columns"], pa.list_(pa.binary())), "of_count": pa.array([of_count if i == 0 else [0] * 4 for i in range(rows_)], pa.list_(pa.int64()))})
 
-    made = texts.mapInArrow(count_bigrams, "bucket int, n long, keys binary, counts binary")
+    made = texts.mapInArrow(trimmed(count_bigrams), "bucket int, n long, keys binary, counts binary")
     stored = stage.put(made.groupBy("bucket").applyInArrow(store_bigrams, "part int, n long, ids binary, columns array<binary>, of_count array<long>"), "bigrams")
 
     def store_contexts(key, t):
@@ -351,7 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     own = training_rows(docs, id_col, text_col).select("doc_id", "text", "held_out")
-    return own.mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return own.mapInArrow(trimmed(rows), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Stage, by_value
+from siteloom.llm.common import Stage, by_value, trimmed
 
 by_value(__name__)
 
@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], list(names))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def ranked(cut: DataFrame, counts: dict[int, int], per_task: int = RANKED) -> DataFrame:
@@ -238,6 +238,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, grain:
                 sequence[own], place[own] = s[:, 1] + k // s[:, 2], s[:, 3] + k % s[:, 2] * x
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(place)], [*kept, "sequence_id", "place"])
 
-    placed = ranked(cut, counts).select(*kept, "class", F.col("rank").cast("long").alias("rank")).mapInArrow(rows, ", ".join(f"{c} long" for c in (*kept, "sequence_id", "place")))
+    placed = ranked(cut, counts).select(*kept, "class", F.col("rank").cast("long").alias("rank")).mapInArrow(trimmed(rows), ", ".join(f"{c} long" for c in (*kept, "sequence_id", "place")))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most `size` rows
     return placed.select(*kept, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, by_value, text_buffer
+from siteloom.llm.common import ASCII_LOWER, by_value, small_batches, text_buffer, trimmed
 
 by_value(__name__)
 
@@ -246,7 +246,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
                     out.append([{"kind": rules[k].kind, "start": a, "end": z} for a, k, z in sorted(found)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(cut, to - cut), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

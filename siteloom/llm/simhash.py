@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, binary_text, by_value, keep_first, row_key
+from siteloom.llm.common import ASCII_LOWER, Stage, binary_text, by_value, keep_first, row_key, trimmed
 from siteloom.llm.components import components
 
 by_value(__name__)
@@ -24,7 +24,7 @@ BITS = 64
 #: Fingerprints that a prefix may have on the mean, and at most, before prefixes get longer.
 MEAN_IN_PREFIX, MOST_IN_PREFIX = 200_000, 4_000_000
 #: Variants that a task holds at a time.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.array([fingerprint(binary_text(b.column(2), i), width) for i in range(b.num_rows)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, key long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, key long, fp long")
 
 
 def masks(bits: int, radius: int) -> list[int]:

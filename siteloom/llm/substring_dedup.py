@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import _BASE, _INVERSE, Stage, _byte_codes, _power, by_value, slices, span_hashes, splitmix, text_buffer
+from siteloom.llm.common import _BASE, _INVERSE, Stage, _byte_codes, _power, by_value, slices, span_hashes, splitmix, text_buffer, trimmed
 from siteloom.llm.lm import Store, opened
 
 by_value(__name__)
@@ -226,7 +226,7 @@ def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram:
                 row, m, digest, lo, hi, twice = stretches(r, o, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(key[row].view(np.int64)), pa.array(lo), pa.array(hi), pa.array(twice)], ["m", "digest", "key", "lo", "hi", "twice"])
 
-    all_ = stage.put(docs.mapInArrow(rows, "m long, digest long, key long, lo long, hi long, twice boolean"), "stretches")
+    all_ = stage.put(docs.mapInArrow(trimmed(rows), "m long, digest long, key long, lo long, hi long, twice boolean"), "stretches")
     shared = all_.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("m")
     own = stage.put(all_.join(shared, "m", "left_semi"), "shared")
     whole = stage.put(own.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "whole")
@@ -276,7 +276,7 @@ def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram:
             look()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("key", "lo", "hi"), found)})
 
-    indexed = docs.mapInArrow(fetch, "shard long, m long, key long, lo long, single long, bytes binary").groupBy("shard").applyInArrow(search, "key long, lo long, hi long")
+    indexed = docs.mapInArrow(trimmed(fetch), "shard long, m long, key long, lo long, single long, bytes binary").groupBy("shard").applyInArrow(search, "key long, lo long, hi long")
     return copied.unionByName(indexed)
 
 
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return own.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
+    return own.mapInArrow(trimmed(rows), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

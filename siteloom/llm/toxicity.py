@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, span_hashes, text_buffer, token_spans, trimmed
 from siteloom.llm.decontaminate import word_table
 
 by_value(__name__)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = Model(np.zeros(0, np.uint64), np.zeros(0), math.log((n_yes + 0.1) / (n_no + 0.9)))
     if not n_yes or not n_no:
         return none
-    counted = sample.select("text", "label").mapInArrow(seen, "h long, yes long, no long").groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counted = sample.select("text", "label").mapInArrow(trimmed(seen), "h long, yes long, no long").groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     p, q = (F.col("yes") + 0.5) / (n_yes + 1), (F.col("no") + 0.5) / (n_no + 1)
     z = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
     best = counted.filter("yes + no >= 3").select("h", z.alias("z")).orderBy(F.desc("z"), "h").limit(n_features).collect()
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out[0], kind), pa.array(out[1], kind)], ["label", "own", "twin"])
 
-    got = sample.select("text", "label", "label_id").mapInArrow(vectors, "label int, own array<int>, twin array<int>").toPandas()
+    got = sample.select("text", "label", "label_id").mapInArrow(trimmed(vectors), "label int, own array<int>, twin array<int>").toPandas()
     shape = (len(got), len(TIMES) * len(hashes))
     matrix = lambda lists: Rows(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in lists)]), shape)
     w, b = fit(matrix(got.own), got.label.to_numpy(float), matrix(got.twin), penalty)
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"))
-    return own.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return own.mapInArrow(trimmed(rows), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
