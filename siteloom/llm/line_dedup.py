@@ -2,8 +2,8 @@
 
 A line is cut into threshold + 1 segments. Two lines within the threshold share a segment of the shorter one, at a place
 that the edits before it bound. Every distinct line files its segments in an index and probes it with the substrings that
-could be a segment of a line as long or shorter; what meets, and whose letter counts allow it, is verified by a banded
-bit-parallel edit distance. Only hashes are dealt out; texts are fetched for candidate pairs alone.
+could be a segment of a line as long or shorter; what meets is verified by a banded bit-parallel edit distance. Hashes are
+dealt out, and texts only for candidate pairs and for lines that share a segment with several others.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from siteloom.llm.common import Stage
 
 #: Edits within which lines are linked, and characters from which a line is long enough for that to mean something.
 EDITS, LEAST = 2, 20
-#: Letters whose counts, modulo 64, go with a line: an edit changes two of them by one at most.
-LETTERS = "etaoinsrhl"
+#: Lines that share a segment from which they are verified as they meet; keys that are sent to every executor, 16 MB of longs.
+LARGE, SEND = 4, 2_000_000
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,25 +36,19 @@ def entries(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keyed(lines: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
-    """key, id, sig, n for the segments that a line files, or for the substrings that it looks up."""
+    """key, id, line, shorter for the segments that a line files, or for the substrings that it looks up."""
     wanted = entries(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
     each = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in wanted)
-    df = lines.select("id", "sig", "line", "n", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
+    df = lines.select("id", "line", "n", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
     parts = edits + 1
     place, long = f"cast(m * e.i div {parts} + e.s as int)", f"cast(m * (e.i + 1) div {parts} - m * e.i div {parts} as int)"
     df = df.filter(f"m >= {least} and {place} >= 0 and {place} + {long} <= n")
-    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "sig", F.expr("cast(e.d as byte)").alias("shorter"))
+    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", F.expr("cast(e.d as byte)").alias("shorter"))
 
 
-def letter_counts(line: str) -> str:
-    """SQL for the counts of LETTERS, six bits each."""
-    return " | ".join(f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) % 64 as bigint), {6 * k})" for k, c in enumerate(LETTERS))
-
-
-def counts_apart(a: str, b: str) -> str:
-    """SQL for the least sum of differences that the counts of a and b can have."""
-    part = lambda x, k: f"(shiftrightunsigned({x}, {6 * k}) & 63)"
-    return " + ".join(f"least(abs({part(a, k)} - {part(b, k)}), 64 - abs({part(a, k)} - {part(b, k)}))" for k in range(len(LETTERS)))
+def place_of(doc: str, line: str):
+    """The place of a line as one number that sorts as (doc_id, line_no), null first. A number, so that its minimum is taken without a sort."""
+    return F.expr(f"cast(coalesce(cast({doc} as decimal(20, 0)) + 9223372036854775809, 0) as decimal(20, 0)) * 2147483648 + {line}").cast("decimal(38, 0)")
 
 
 def banded_distance(a: str, b: str, edits: int) -> str:
@@ -94,32 +88,51 @@ def common(a: str, b: str, most: str, end: bool) -> str:
     return f"aggregate(array({steps}), 0, (g, h) -> if(h <= {most} - g, if({piece(a)} = {piece(b)}, g + h, g), g))"
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """Of pairs with the lines a (as long or longer) and b, those within the threshold. What both have at either end is cut off first."""
-    df = pairs.withColumn("lead", F.expr(common("a", "b", "length(b)", False)))
-    df = df.withColumn("tail", F.expr(common("a", "b", "(length(b) - lead)", True)))
-    df = df.withColumn("x", F.expr("substring(a, lead + 1, length(a) - lead - tail)")).withColumn("y", F.expr("substring(b, lead + 1, length(b) - lead - tail)"))
+def within(a: str, b: str, edits: int) -> str:
+    """SQL for whether a (as long or longer) and b are within the threshold. What both have at either end is cut off first.
+
+    One nested expression, each step of which hands its results on inside a struct: as columns they would be worked out
+    again wherever a filter that is pushed down refers to them.
+    """
+    led = f"transform(array(named_struct('a', {a}, 'b', {b})), z -> named_struct('a', z.a, 'b', z.b, 'lead', {common('z.a', 'z.b', 'length(z.b)', False)}))"
+    both = f"transform({led}, z -> named_struct('a', z.a, 'b', z.b, 'lead', z.lead, 'tail', {common('z.a', 'z.b', '(length(z.b) - z.lead)', True)}))"
+    left = f"transform({both}, z -> named_struct('x', substring(z.a, z.lead + 1, length(z.a) - z.lead - z.tail), 'y', substring(z.b, z.lead + 1, length(z.b) - z.lead - z.tail)))"
     if edits <= 2:  # what is left begins and ends with an edit, so that all between is the same
-        df = df.filter("length(x) < 3 or contains(y, substring(x, 3, length(x) - 4))")
-    return df.filter(F.expr(f"{banded_distance('x', 'y', edits)} <= {edits}"))
+        left = f"filter({left}, z -> length(z.x) < 3 or contains(z.y, substring(z.x, 3, length(z.x) - 4)))"
+    return f"size(filter({left}, z -> {banded_distance('z.x', 'z.y', edits)} <= {edits})) > 0"
+
+
+def verified(pairs: DataFrame, edits: int) -> DataFrame:
+    """Of pairs with the lines a (as long or longer) and b, those within the threshold."""
+    return pairs.filter(F.expr(within("a", "b", edits)))
 
 
 def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Classes of equal lines, and the links between different ones.
 
-    classes: id (a 64-bit hash of the line), line, n (characters), copies, first (doc_id, line_no of the first copy).
+    classes: id (a 64-bit hash of the line), line, n (characters), copies, first (place_of the first copy).
     links: u, v: ids of lines of `least` characters or more that are 1 to `edits` edits apart, the longer one first; each pair once.
     """
     stage = Stage(docs.sparkSession, "line-dedup")
-    own = lines_of(docs, id_col, text_col).groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    own = lines_of(docs, id_col, text_col).withColumn("place", place_of("doc_id", "line_no")).groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"))
     classes = stage.put(own.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"), "copies", "first"), "classes", compression="zstd")
-    long = classes.filter(F.col("n") >= least).select("id", "line", "n", F.expr(letter_counts("line")).alias("sig"))
-    filed = keyed(long, edits, least, False).select("key", F.col("id").alias("v"), F.col("sig").alias("v_sig"))
-    asked = keyed(long, edits, least, True).select("key", F.col("id").alias("u"), F.col("sig").alias("u_sig"), "shorter")
-    near = F.expr(f"{counts_apart('u_sig', 'v_sig')} <= {2 * edits}")
+    long = classes.filter(F.col("n") >= least)
+    filed, asked = keyed(long, edits, least, False), keyed(long, edits, least, True)
+
+    # Where many lines share a segment, they take their text along and are verified as they meet: pairs that fail are never
+    # made. Elsewhere hashes go alone, and texts are fetched for the few pairs that met.
+    large = stage.put(filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LARGE).select("key", F.lit(True).alias("large")), "large")
+    large = F.broadcast(large) if large.limit(SEND + 1).count() <= SEND else large
+    filed, asked = (df.join(large, "key", "left").withColumn("own", F.when(F.col("large"), F.col("line"))) for df in (filed, asked))
+    filed = filed.select("key", F.col("id").alias("v"), F.col("own").alias("v_line"))
+    asked = asked.select("key", F.col("id").alias("u"), F.col("own").alias("u_line"), "shorter")
+    near = F.expr(f"u_line is null or {within('u_line', 'v_line', edits)}")
     met = filed.join(asked, (filed.key == asked.key) & F.expr("u <> v and (shorter > 0 or u > v)") & near).select("u", "v").distinct()
     met = stage.put(met, "met")
-    text = lambda name, side: classes.select(F.col("id").alias(side), F.col("line").alias(name))
+    wanted = stage.put(met.select(F.col("u").alias("id")).unionByName(met.select(F.col("v").alias("id"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.limit(SEND + 1).count() <= SEND else wanted
+    texts = stage.put(classes.join(wanted, "id", "left_semi").select("id", "line"), "texts", compression="zstd")
+    text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name))
     links = verified(met.join(text("a", "u"), "u").join(text("b", "v"), "v"), edits).select("u", "v")
     return classes, stage.put(links, "links")
 
@@ -139,7 +152,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("earlier").alias("earlier"))
     kinds = Stage(docs.sparkSession, "line-dedup").put(classes.select("id", "copies", "first").join(linked, "id", "left").filter("copies > 1 or n_links is not null").drop("copies"), "kinds")
     rows = lines_of(docs, id_col, text_col).select("doc_id", "line_no", F.xxhash64("line").alias("id"))
-    gone = F.col("first").isNotNull() & (F.coalesce("earlier", F.lit(False)) | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+    gone = F.col("first").isNotNull() & (F.coalesce("earlier", F.lit(False)) | (place_of("doc_id", "line_no") != F.col("first")))
     found = rows.join(kinds, "id", "left").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.sum(F.when(gone, 1).otherwise(0)).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("dropped")
     )  # a document's own lines
