@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, span_hashes, text_buffer, token_spans
+from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, small_batches, span_hashes, text_buffer, token_spans, trimmed
 
 by_value(__name__)
 
@@ -43,23 +43,28 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(raw, starts, ends), row
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The positional index of all documents, one row per segment; a document lies in one segment whole, however long it is."""
+def segments_of(batches, segment_bytes: int = SEGMENT_BYTES):
+    """Rows of the index from batches of (doc_id, text)."""
+    kinds = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("doc_starts", "terms", "counts", "postings"))])
+    for b in batches:
+        raw, at = text_buffer(b.column(1))
+        for cut, to in slices(at, segment_bytes):
+            terms, row = word_hashes(raw[at[cut] : at[to]], at[cut : to + 1] - at[cut])
+            order = np.argsort(terms, kind="stable")
+            own, counts = np.unique(terms[order], return_counts=True)
+            starts = np.searchsorted(row, np.arange(to - cut + 1)).astype(np.uint32)
+            made = {"segment": [uuid.uuid4().hex], "doc_ids": [b.column(0).slice(cut, to - cut).to_pylist()], "doc_starts": [starts.tobytes()], "terms": [own.tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "postings": [order.astype(np.uint32).tobytes()]}
+            yield pa.RecordBatch.from_pydict(made, kinds)
+
 
-    def segments(batches):
-        for b in batches:
-            raw, at = text_buffer(b.column(1))
-            for cut, to in slices(at, segment_bytes):
-                terms, row = word_hashes(raw[at[cut] : at[to]], at[cut : to + 1] - at[cut])
-                order = np.argsort(terms, kind="stable")
-                own, counts = np.unique(terms[order], return_counts=True)
-                starts = np.searchsorted(row, np.arange(to - cut + 1)).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict(
-                    {"segment": [uuid.uuid4().hex], "doc_ids": [b.column(0).slice(cut, to - cut).to_pylist()], "doc_starts": [starts.tobytes()], "terms": [own.tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "postings": [order.astype(np.uint32).tobytes()]},
-                    pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("doc_starts", "terms", "counts", "postings"))]),
-                )
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(segments, INDEX)
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The positional index of all documents, one row per segment; a document lies in one segment whole, however long it is."""
+    return texts_of(docs, id_col, text_col).mapInArrow(trimmed(lambda batches: segments_of(batches, segment_bytes)), INDEX)
 
 
 class Segment:
@@ -140,6 +145,32 @@ def phrase_blocks(items: DataFrame, window: int = WINDOW, block: int = BLOCK_PHR
     yield made()
 
 
+def found_in(batches, phrases: tuple, span: int | None = None):
+    """Rows of search() from batches of the index."""
+    names, by_length = phrases
+    kinds = pa.schema([("segment", pa.string()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
+    for b in batches:
+        for row in b.to_pylist():
+            seg = Segment(row)
+            spans: dict[tuple[int, int], list] = {}
+            for length, rows in by_length.items():
+                numbers = seg.term_numbers(rows[:, 1:])
+                for k in np.flatnonzero((numbers >= 0).all(axis=1)):
+                    at = seg.phrase(numbers[k])
+                    for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
+                        spans.setdefault((d, int(rows[k, 0])), []).append((p, p + length))
+                    if span is not None:
+                        at = seg.near(numbers[k], span)
+                        for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
+                            spans.setdefault((d, int(rows[k, 0])), []).append((p, p))
+            matches: dict[int, list] = {}
+            for (d, item), own in sorted(spans.items()):
+                base = int(seg.starts[d])
+                matches.setdefault(d, []).extend({"item_id": names[item], "start": a - base, "length": z - a} for a, z in union(own))
+            n = len(seg.doc_ids)
+            yield pa.RecordBatch.from_pydict({"segment": [row["segment"]] * n, "doc_no": list(range(n)), "doc_id": seg.doc_ids, "n_words": np.diff(seg.starts).tolist(), "matches": [matches.get(d, []) for d in range(n)]}, kinds)
+
+
 def search(index: DataFrame, phrases: tuple, span: int | None = None) -> DataFrame:
     """Every document of the index with its matches against one block of phrases.
 
@@ -147,34 +178,7 @@ def search(index: DataFrame, phrases: tuple, span: int | None = None) -> DataFra
     where all terms of a phrase stand within that many words of its rarest one, in any order.
     """
     sent = index.sparkSession.sparkContext.broadcast(phrases)
-
-    def found(batches):
-        names, by_length = sent.value
-        for b in batches:
-            for row in b.to_pylist():
-                seg = Segment(row)
-                spans: dict[tuple[int, int], list] = {}
-                for length, rows in by_length.items():
-                    numbers = seg.term_numbers(rows[:, 1:])
-                    for k in np.flatnonzero((numbers >= 0).all(axis=1)):
-                        at = seg.phrase(numbers[k])
-                        for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
-                            spans.setdefault((d, int(rows[k, 0])), []).append((p, p + length))
-                        if span is not None:
-                            at = seg.near(numbers[k], span)
-                            for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
-                                spans.setdefault((d, int(rows[k, 0])), []).append((p, p))
-                matches: dict[int, list] = {}
-                for (d, item), own in sorted(spans.items()):
-                    base = int(seg.starts[d])
-                    matches.setdefault(d, []).extend({"item_id": names[item], "start": a - base, "length": z - a} for a, z in union(own))
-                n = len(seg.doc_ids)
-                yield pa.RecordBatch.from_pydict(
-                    {"segment": [row["segment"]] * n, "doc_no": list(range(n)), "doc_id": seg.doc_ids, "n_words": np.diff(seg.starts).tolist(), "matches": [matches.get(d, []) for d in range(n)]},
-                    pa.schema([("segment", pa.string()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))]),
-                )
-
-    return index.mapInArrow(found, FOUND)
+    return index.mapInArrow(trimmed(lambda batches: found_in(batches, sent.value, span)), FOUND)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,40 +198,51 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int |
     Null texts and texts without a word have no words and no matches. Repeated documents and items are answered each by
     itself. Documents with a null id are kept. Empty tables are answered: no documents no rows, no items no matches.
     """
-    index, out = build_index(docs, id_col, text_col), None
-    for k, phrases in enumerate(phrase_blocks(items, window, block)):
-        if k == 1:  # more than one block reads the index more than once, so it is kept
-            index = Stage(docs.sparkSession, "decontaminate").put(index, "index")
-            out = search(index, first, span)
-        first = phrases if not k else first
-        out = search(index, phrases, span) if out is None else out.unionByName(search(index, phrases, span))
-        several = k > 0
-    if several:
-        out = out.groupBy("segment", "doc_no", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))  # a row for each block
-    return out.select("doc_id", "n_words", "matches")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return _answered(docs, items, window, span, block, id_col, text_col, None)
+
+
+def _answered(docs: DataFrame, items: DataFrame, window: int, span: int | None, block: int, id_col: str, text_col: str, share: int | None) -> DataFrame:
+    """matches(), or their summary if a share is given. One block of phrases is indexed, searched and summed up in one worker, which holds a segment at a time."""
+    blocks = phrase_blocks(items, window, block)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+        own = texts_of(docs, id_col, text_col)
+        found = lambda batches: found_in(segments_of(batches), sent.value, span)
+        if share is not None:
+            return own.mapInArrow(trimmed(lambda batches: summed(found(batches), share)), SUMMED)
+        return own.mapInArrow(trimmed(found), FOUND).select("doc_id", "n_words", "matches")
+    index = Stage(docs.sparkSession, "decontaminate").put(build_index(docs, id_col, text_col), "index")  # read once for each block
+    out = search(index, first, span).unionByName(search(index, second, span))
+    for phrases in blocks:
+        out = out.unionByName(search(index, phrases, span))
+    out = out.groupBy("segment", "doc_no", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))  # a row for each block
+    return out.select("doc_id", "n_words", "matches") if share is None else out.mapInArrow(trimmed(lambda batches: summed(batches, share)), SUMMED)
+
+
+SUMMED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_hit long"
+
+
+def summed(batches, share: int):
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_hit", pa.int64())])
+    for b in batches:
+        hit, items, longest = [], [], []
+        for own in b.column("matches").to_pylist():
+            spans = union([(m["start"], m["start"] + m["length"]) for m in own])
+            hit.append(sum(z - a for a, z in spans))
+            longest.append(max((z - a for a, z in spans), default=0))
+            items.append(sorted({m["item_id"] for m in own}))
+        n = b.column("n_words").to_pylist()
+        made = {"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "n_hit": hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], "contaminated": [h > 0 and share * h >= w for h, w in zip(hit, n)], "longest_hit": longest}
+        yield pa.RecordBatch.from_pydict(made, kinds)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
 
     n_hit counts words inside any match; contaminated: any are, and at least one word in `share`.
     """
-
-    def rows(batches):
-        for b in batches:
-            hit, items_, longest = [], [], []
-            for own in b.column(2).to_pylist():
-                spans = union([(m["start"], m["start"] + m["length"]) for m in own])
-                hit.append(sum(z - a for a, z in spans))
-                longest.append(max((z - a for a, z in spans), default=0))
-                items_.append(sorted({m["item_id"] for m in own}))
-            n = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column(0), "n_words": b.column(1), "n_hit": hit, "n_items": [len(x) for x in items_], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items_], "contaminated": [h > 0 and share * h >= w for h, w in zip(hit, n)], "longest_hit": longest},
-                pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_hit", pa.int64())]),
-            )
-
-    return matches(docs, items, window, id_col=id_col, text_col=text_col).mapInArrow(rows, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_hit long")
+    return _answered(docs, items, window, None, block, id_col, text_col, share)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

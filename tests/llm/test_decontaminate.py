@@ -43,6 +43,7 @@ def test_against_brute_force(spark):
 
 def test_blocks_give_the_same(spark):
     items, texts, bench = cases(spark)
+    check(contamination(documents(spark, texts), bench, block=1).collect(), items, texts)
     one = {r.doc_id: sorted(map(tuple, r.matches)) for r in matches(documents(spark, texts), bench).collect()}
     assert one == {r.doc_id: sorted(map(tuple, r.matches)) for r in matches(documents(spark, texts), bench, block=1).collect()}
 
