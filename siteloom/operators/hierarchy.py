@@ -147,21 +147,22 @@ def title_score(title: Column, url: Column) -> Column:
     return F.when(t == "", 0).when((F.lower(t) == F.lower(url)) | F.lower(t).rlike("^https?://"), 1).otherwise(F.least(F.length(t), F.lit(200)))
 
 
-def row_score(items: DataFrame) -> Column:
-    """Which of several rows of one URL to keep: the root, rows with parents, deeper parents, better titles."""
-    key, parent, start = (urls.canonical_key(F.col(c)) for c in ("url", "parent_url", "start_url"))
-    root = key == start
-    has = (parent != "") & (parent != key) & ~urls.is_url_descendant(F.col("url"), F.col("parent_url"))
-    return (
-        F.when(root, 10_000).otherwise(0) + F.when(has, 1_000).otherwise(0) + F.when(has & (parent != start), 500).otherwise(0)
+def row_score(df: DataFrame) -> DataFrame:
+    """df with _key and _score: which of several rows of one URL to keep: the root, rows with parents, deeper parents, better titles."""
+    df = df.withColumns({"_key": urls.canonical_key(F.col("url")), "_parent": urls.canonical_key(F.col("parent_url")), "_start": urls.canonical_key(F.col("start_url"))})
+    df = df.withColumns({"_root": F.col("_key") == F.col("_start"), "_has": (F.col("_parent") != "") & (F.col("_parent") != F.col("_key")) & ~urls.is_url_descendant(F.col("url"), F.col("parent_url")), "_t": title_score(F.col("title"), F.col("url"))})
+    root, has = F.col("_root"), F.col("_has")
+    score = (
+        F.when(root, 10_000).otherwise(0) + F.when(has, 1_000).otherwise(0) + F.when(has & (F.col("_parent") != F.col("_start")), 500).otherwise(0)
         + F.when(~root & (F.col("depth") > 0), 200).otherwise(0) - F.when(~root & (F.col("depth") == 0), 1_000).otherwise(0)
-        + 20 * urls.path_segment_count(F.col("parent_url")) + F.least(F.lit(100), title_score(F.col("title"), F.col("url")))
+        + 20 * urls.path_segment_count(F.col("parent_url")) + F.least(F.lit(100), F.col("_t"))
     )
+    return df.withColumn("_score", score)
 
 
 def dedup_items(items: DataFrame) -> DataFrame:
     """One row per site and canonical URL: the best row, the best title of all, flags united (display-only only if all are), the first place."""
-    df = with_defaults(items).withColumn("_key", urls.canonical_key(F.col("url"))).filter("_key <> ''").withColumn("_score", row_score(items)).withColumn("_t", title_score(F.col("title"), F.col("url")))
+    df = row_score(with_defaults(items)).filter("_key <> ''")
     kept = ("url", "parent_url", "depth", "start_url")
     out = df.groupBy("site_id", "_key").agg(
         F.max_by(F.struct(*kept), F.struct("_score", (-F.col("ord")).alias("o"))).alias("best"),
@@ -205,4 +206,4 @@ def recompute_depths(items: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def finalise(items: DataFrame) -> DataFrame:
     """One row per URL with a valid parent, a readable title and a depth."""
-    return recompute_depths(repair_parents(dedup_items(items)))
+    return recompute_depths(cut(repair_parents(cut(dedup_items(items)))))
