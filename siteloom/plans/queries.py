@@ -30,40 +30,41 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select(site.alias("site_id"), F.col("page_id").alias("ord"), urls.canonical_url(u).alias("url"), text.page_title(F.col("html")).alias("title"), site.alias("parent_url"), F.lit(1).alias("depth"), site.alias("start_url"))
 
 
-U = F.col("url")
+def _u():
+    return F.col("url")
 
 
 def url_normalize(s, d):
-    return pages(s, d).select("page_id", urls.normalize_url(U, True).alias("no_query"), urls.normalize_url(U, False).alias("with_query"), urls.ensure_scheme(F.regexp_replace(U, "^https://", "")).alias("with_scheme"))
+    return pages(s, d).select("page_id", urls.normalize_url(_u(), True).alias("no_query"), urls.normalize_url(_u(), False).alias("with_query"), urls.ensure_scheme(F.regexp_replace(_u(), "^https://", "")).alias("with_scheme"))
 
 
 def url_canonical_key(s, d):
-    return pages(s, d).select("page_id", urls.canonical_key(U).alias("url_key"), urls.host_to_site_name(urls.host(U)).alias("site_name"))
+    return pages(s, d).select("page_id", urls.canonical_key(_u()).alias("url_key"), urls.host_to_site_name(urls.host(_u())).alias("site_name"))
 
 
 def url_segments(s, d):
-    return pages(s, d).select("page_id", urls.path_segment_count(U).cast("long").alias("n_segments"), urls.last_path_segment(U).alias("last_segment"), urls.immediate_prefix_url(U).alias("prefix_url"), urls.section_prefix(urls.path(U)).alias("section"))
+    return pages(s, d).select("page_id", urls.path_segment_count(_u()).cast("long").alias("n_segments"), urls.last_path_segment(_u()).alias("last_segment"), urls.immediate_prefix_url(_u()).alias("prefix_url"), urls.section_prefix(urls.path(_u())).alias("section"))
 
 
 def url_path_shape(s, d):
-    return pages(s, d).select("page_id", urls.path_shape(U).alias("shape"))
+    return pages(s, d).select("page_id", urls.path_shape(_u()).alias("shape"))
 
 
 def page_file_key(s, d):
-    return pages(s, d).select("page_id", urls.page_file_key(U).alias("file_key"))
+    return pages(s, d).select("page_id", urls.page_file_key(_u()).alias("file_key"))
 
 
 def url_predicates(s, d):
-    p = urls.path(U)
+    p = urls.path(_u())
     return pages(s, d).select(
-        "page_id", urls.is_http_url(U).alias("http"), urls.is_binary_asset(U).alias("binary"), urls.is_noise_path(p).alias("noise"), urls.is_dated_or_article_url(U).alias("article"),
-        urls.is_display_only(U, F.regexp_replace(urls.host(U), "^(www|m|blog)[.]", "")).alias("display_only"), urls.is_numeric_or_date_slug(urls.last_path_segment(U)).alias("numeric_slug"), urls.is_start_page_alias(U, U).alias("start_alias"),
+        "page_id", urls.is_http_url(_u()).alias("http"), urls.is_binary_asset(_u()).alias("binary"), urls.is_noise_path(p).alias("noise"), urls.is_dated_or_article_url(_u()).alias("article"),
+        urls.is_display_only(_u(), F.regexp_replace(urls.host(_u()), "^(www|m|blog)[.]", "")).alias("display_only"), urls.is_numeric_or_date_slug(urls.last_path_segment(_u())).alias("numeric_slug"), urls.is_start_page_alias(_u(), _u()).alias("start_alias"),
     )
 
 
 def same_site_host(s, d):
-    bare = F.regexp_replace(urls.host(U), "^(www|m)[.]", "")
-    return pages(s, d).select("page_id", urls.same_site_host(urls.host(U), bare).alias("same_site"), urls.is_url_descendant(F.concat(F.lit("http://"), bare, F.lit("/en")), U).alias("below_en"))
+    bare = F.regexp_replace(urls.host(_u()), "^(www|m)[.]", "")
+    return pages(s, d).select("page_id", urls.same_site_host(urls.host(_u()), bare).alias("same_site"), urls.is_url_descendant(F.concat(F.lit("http://"), bare, F.lit("/en")), _u()).alias("below_en"))
 
 
 def page_title(s, d):
@@ -71,8 +72,8 @@ def page_title(s, d):
 
 
 def display_title(s, d):
-    title = F.when(F.col("page_id") % 2 == 0, text.page_title(F.col("html"))).otherwise(U)
-    return pages(s, d).select("page_id", urls.display_title(title, U).alias("display"), urls.display_title_reason(title, U).alias("reason"), urls.slug_to_title(urls.last_path_segment(U)).alias("slug_title"))
+    title = F.when(F.col("page_id") % 2 == 0, text.page_title(F.col("html"))).otherwise(_u())
+    return pages(s, d).select("page_id", urls.display_title(title, _u()).alias("display"), urls.display_title_reason(title, _u()).alias("reason"), urls.slug_to_title(urls.last_path_segment(_u())).alias("slug_title"))
 
 
 def anchor_extract(s, d):
@@ -93,7 +94,7 @@ def cms_detect(s, d):
 
 
 def content_type(s, d):
-    c = classify.content_type(urls.path(U), text.page_title(F.col("html")))
+    c = classify.content_type(urls.path(_u()), text.page_title(F.col("html")))
     return pages(s, d).select("page_id", c["content_type"].alias("content_type"), c["confidence"].alias("confidence"))
 
 
@@ -103,8 +104,8 @@ def template_fingerprint(s, d):
 
 def root_class(s, d):
     i = items(s, d)
-    c = classify.root_class(U, F.col("title"), F.col("start_url"), {"has_children": F.col("ord") % 2 == 0, "primary_nav": F.col("ord") % 3 == 0})
-    return i.select(F.col("ord").alias("page_id"), c["kind"].alias("kind"), c["eligible"].alias("eligible"), F.round(c["confidence"], 6).alias("confidence"), F.round(classify.topic_score(U, F.col("title")), 6).alias("topic_score"))
+    c = classify.root_class(_u(), F.col("title"), F.col("start_url"), {"has_children": F.col("ord") % 2 == 0, "primary_nav": F.col("ord") % 3 == 0})
+    return i.select(F.col("ord").alias("page_id"), c["kind"].alias("kind"), c["eligible"].alias("eligible"), F.round(c["confidence"], 6).alias("confidence"), F.round(classify.topic_score(_u(), F.col("title")), 6).alias("topic_score"))
 
 
 def root_topology_by_site(s, d):
@@ -116,17 +117,17 @@ def duplicate_titles(s, d):
 
 
 def duplicate_urls(s, d):
-    return quality.duplicate_groups(items(s, d).withColumn("url", urls.immediate_prefix_url(U)), U, "n_groups")
+    return quality.duplicate_groups(items(s, d).withColumn("url", urls.immediate_prefix_url(_u())), _u(), "n_groups")
 
 
 def orphan_pages(s, d):
-    i = items(s, d).withColumn("parent_url", F.when(F.col("ord") % 3 == 0, F.col("start_url")).otherwise(urls.immediate_prefix_url(U)))
+    i = items(s, d).withColumn("parent_url", F.when(F.col("ord") % 3 == 0, F.col("start_url")).otherwise(urls.immediate_prefix_url(_u())))
     return quality.orphans(i).select("site_id", "url", "parent_url", F.col("ord").alias("page_id"))
 
 
 def _known(s, d):
     i = items(s, d)
-    return i.select("site_id", "url", "ord").unionByName(i.filter("ord % 2 = 0").select("site_id", urls.immediate_prefix_url(U).alias("url"), "ord"))
+    return i.select("site_id", "url", "ord").unionByName(i.filter("ord % 2 = 0").select("site_id", urls.immediate_prefix_url(_u()).alias("url"), "ord"))
 
 
 def nearest_ancestor(s, d):
@@ -134,7 +135,7 @@ def nearest_ancestor(s, d):
 
 
 def section_join(s, d):
-    known = _known(s, d).filter(urls.path_segment_count(U) == 1)
+    known = _known(s, d).filter(urls.path_segment_count(_u()) == 1)
     sections = known.groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
     return hierarchy.longest_section(items(s, d), sections).select(F.col("ord").alias("page_id"), "section")
 
@@ -154,7 +155,7 @@ def depth_recalc(s, d):
 
 
 def dedup_best_row(s, d):
-    i = items(s, d).withColumn("url", urls.immediate_prefix_url(U)).withColumn("depth", (F.col("ord") % 3).cast("int")).withColumn("is_display_only", F.col("ord") % 2 == 0)
+    i = items(s, d).withColumn("url", urls.immediate_prefix_url(_u())).withColumn("depth", (F.col("ord") % 3).cast("int")).withColumn("is_display_only", F.col("ord") % 2 == 0)
     return hierarchy.dedup_items(i).select("site_id", "url", "title", F.col("ord").alias("first_ord"), "is_display_only", "depth")
 
 
@@ -171,15 +172,15 @@ def link_cap(s, d):
 
 
 def depth_cap(s, d):
-    i = items(s, d).withColumn("depth", urls.path_segment_count(U) + (F.col("ord") % 2).cast("int"))
+    i = items(s, d).withColumn("depth", urls.path_segment_count(_u()) + (F.col("ord") % 2).cast("int"))
     return links.capped(i, ["depth"], ["ord"], 40).select(F.col("ord").alias("page_id"), "depth")
 
 
 def frontier_bfs(s, d):
     """A crawl of all sites over their own links, two levels deep, at most 20 pages each."""
     found = links.internal(links.classified(links.anchors(pages(s, d))))
-    site = F.concat(urls.scheme(U), F.lit("://"), urls.host(U))
-    own = found.select(site.alias("site_id"), urls.canonical_url(F.col("page_url")).alias("url"), urls.canonical_url(U).alias("target"), F.struct("page_id", "pos").alias("pos"))
+    site = F.concat(urls.scheme(_u()), F.lit("://"), urls.host(_u()))
+    own = found.select(site.alias("site_id"), urls.canonical_url(F.col("page_url")).alias("url"), urls.canonical_url(_u()).alias("target"), F.struct("page_id", "pos").alias("pos"))
     starts = own.groupBy("site_id").agg(F.min_by("url", "pos").alias("url"))
     return frontier.crawl(starts, own, max_depth=2, max_pages=20).select("site_id", "url", "depth", "ord")
 
@@ -195,7 +196,8 @@ def dom_links(s, d):
 
 # ---- events -------------------------------------------------------------------------------------------------------
 
-K = F.expr("try_cast(get_json_object(props, '$.k') as int)")
+def _k():
+    return F.expr("try_cast(get_json_object(props, '$.k') as int)")
 
 
 def event_counters(s, d):
@@ -204,30 +206,30 @@ def event_counters(s, d):
 
 
 def distinct_patterns(s, d):
-    return events(s, d).groupBy("user_id").agg(F.countDistinct("event_type").alias("n_types"), F.countDistinct(K).alias("n_k"))
+    return events(s, d).groupBy("user_id").agg(F.countDistinct("event_type").alias("n_types"), F.countDistinct(_k()).alias("n_k"))
 
 
 def json_field_histogram(s, d):
-    return events(s, d).groupBy(K.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return events(s, d).groupBy(_k().alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_seen_top20(s, d):
-    e = events(s, d).withColumn("pattern", F.concat("event_type", F.lit(":"), K.cast("string")))
+    e = events(s, d).withColumn("pattern", F.concat("event_type", F.lit(":"), _k().cast("string")))
     return quality.first_seen(e, ["event_type"], "pattern", ["user_id"], "event_id", 20).select("event_type", "pattern", "n", "first_ord", "user_id", F.col("rank").cast("long").alias("rank"))
 
 
 def saturation_by_user(s, d):
-    e = events(s, d).withColumn("k", (K % 10).cast("string"))
+    e = events(s, d).withColumn("k", (_k() % 10).cast("string"))
     return quality.saturation(e, ["user_id"], ["event_type", "k"], 20, "event_id")
 
 
 def novelty_flags(s, d):
-    e = events(s, d).withColumn("k", (K % 10).cast("string"))
+    e = events(s, d).withColumn("k", (_k() % 10).cast("string"))
     return quality.novelty(e, ["user_id"], ["event_type", "k"], "event_id").select("event_id", "is_new")
 
 
 def average_rounded(s, d):
-    return events(s, d).groupBy("event_type").agg(F.bround(F.avg(K), 1).alias("average"), F.max_by("event_id", "ts").alias("last_event"))
+    return events(s, d).groupBy("event_type").agg(F.bround(F.avg(_k()), 1).alias("average"), F.max_by("event_id", "ts").alias("last_event"))
 
 
 def events_by_hour(s, d):
@@ -262,12 +264,12 @@ def run_verdict(s, d):
 
 
 def urls_added_removed(s, d):
-    i = items(s, d).withColumn("url", urls.immediate_prefix_url(U))
+    i = items(s, d).withColumn("url", urls.immediate_prefix_url(_u()))
     return compare.url_changes(i.filter("ord % 2 = 0"), i.filter("ord % 2 = 1"), ["site_id"])
 
 
 def parent_changes(s, d):
-    i = items(s, d).withColumn("url", urls.immediate_prefix_url(U))
+    i = items(s, d).withColumn("url", urls.immediate_prefix_url(_u()))
     one = lambda df: df.groupBy("site_id", "url").agg(F.concat(F.lit("p"), (F.min("ord") % 5).cast("string")).alias("parent_url"))
     return compare.parent_changes(one(i.filter("ord % 2 = 0")), one(i.filter("ord % 2 = 1")), ["site_id"])
 
@@ -298,7 +300,7 @@ def stream_saturation(s, d):
 
     schema = events(s, d).schema
     e = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(d + "/events.parquet*")
-    own = e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("ord"), "event_type", (K % 10).cast("string").alias("k"))
+    own = e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("ord"), "event_type", (_k() % 10).cast("string").alias("k"))
     return st.run_once(st.saturation(own, ["event_type", "k"], 20), f"saturation_{abs(hash(d)) % 10**8}_{id(own)}", "update", tempfile.mkdtemp(prefix="siteloom-"))
 
 

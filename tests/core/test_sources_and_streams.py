@@ -84,3 +84,13 @@ def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "t string, k string").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r.n for r in st.windowed(df, "ts", ["k"]).collect()) == [1, 2]
     assert sorted(r.n for r in st.sessions(df, "ts", ["k"], "25 minutes").collect()) == [1, 2]
+
+
+def test_entry_imports_without_spark():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 40)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "True"
