@@ -65,41 +65,67 @@ def folded(url: Column, title: Column) -> Column:
     return F.concat(text.fold_text(title), F.lit(" "), folded_path(url))
 
 
-def is_utility_page(url: Column, title: Column) -> Column:
-    return text.contains_any(folded(url, title), vocab.UTILITY_TOKENS)
+def _first_segment(url: Column) -> Column:
+    return text.fold_text(F.coalesce(F.try_element_at(urls.path_segments(url), F.lit(1)), F.lit("")))
 
 
-def is_error_root(url: Column, title: Column) -> Column:
-    return text.contains_any(folded(url, title), vocab.ERROR_TOKENS)
+# The rules proper, over the folded text f, the folded first path segment and the number of segments.
 
 
-def _first_segment(url: Column) -> Column:
-    return text.fold_text(F.coalesce(F.try_element_at(urls.path_segments(url), F.lit(1)), F.lit("")))
+def _utility(f: Column) -> Column:
+    return text.contains_any(f, vocab.UTILITY_TOKENS)
 
 
-def is_microsite(url: Column, title: Column) -> Column:
-    ending = reduce(lambda a, b: a | b, (_first_segment(url).endswith(e) for e in vocab.MICROSITE_ENDINGS))
-    return text.contains_any(folded(url, title), vocab.MICROSITE_TOKENS) | ((urls.path_segment_count(url) == 1) & ending)
+def _error(f: Column) -> Column:
+    return text.contains_any(f, vocab.ERROR_TOKENS)
 
 
-def is_news_root(url: Column, title: Column) -> Column:
-    f, first = folded(url, title), _first_segment(url)
+def _micro(f: Column, first: Column, n: Column) -> Column:
+    ending = reduce(lambda a, b: a | b, (first.endswith(e) for e in vocab.MICROSITE_ENDINGS))
+    return text.contains_any(f, vocab.MICROSITE_TOKENS) | ((n == 1) & ending)
+
+
+def _news(f: Column, first: Column) -> Column:
     dated = f.rlike(r"\b20[0-9]{2}\b") & ~f.contains(vocab.NOTICEBOARD)
     return text.contains_any(first, vocab.NEWS_ROOT_TOKENS) | (first == "anslag") | dated | text.contains_any(f, vocab.NEWS_TITLE_TOKENS)
 
 
+def _topic(f: Column, n: Column) -> Column:
+    score = F.when(n <= 1, 0.12).otherwise(-0.10)
+    for tokens in vocab.TOPICS.values():
+        hits = reduce(lambda a, b: a + b, (f.contains(t).cast("int") for t in tokens))
+        score = score + F.when(hits >= 2, vocab.TOPIC_MORE).when(hits == 1, vocab.TOPIC_ONE).otherwise(0.0)
+    return text.clamp01(score)
+
+
+def _let(fields: dict[str, Column], body) -> Column:
+    """body over a struct of fields, each of which is worked out once, however often body refers to it."""
+    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in fields.items()))), body)[0]
+
+
+def is_utility_page(url: Column, title: Column) -> Column:
+    return _let({"f": folded(url, title)}, lambda z: _utility(z["f"]))
+
+
+def is_error_root(url: Column, title: Column) -> Column:
+    return _let({"f": folded(url, title)}, lambda z: _error(z["f"]))
+
+
+def is_microsite(url: Column, title: Column) -> Column:
+    return _let({"f": folded(url, title), "first": _first_segment(url), "n": urls.path_segment_count(url)}, lambda z: _micro(z["f"], z["first"], z["n"]))
+
+
+def is_news_root(url: Column, title: Column) -> Column:
+    return _let({"f": folded(url, title), "first": _first_segment(url)}, lambda z: _news(z["f"], z["first"]))
+
+
 def is_noticeboard(url: Column, title: Column) -> Column:
     return folded(url, title).contains(vocab.NOTICEBOARD)
 
 
 def topic_score(url: Column, title: Column) -> Column:
     """How much a page looks like a top-level section, 0 to 1: place in the tree and topics of its title and path."""
-    f = folded(url, title)
-    score = F.when(urls.path_segment_count(url) <= 1, 0.12).otherwise(-0.10)
-    for tokens in vocab.TOPICS.values():
-        hits = reduce(lambda a, b: a + b, (f.contains(t).cast("int") for t in tokens))
-        score = score + F.when(hits >= 2, vocab.TOPIC_MORE).when(hits == 1, vocab.TOPIC_ONE).otherwise(0.0)
-    return text.clamp01(score)
+    return _let({"f": folded(url, title), "n": urls.path_segment_count(url)}, lambda z: _topic(z["f"], z["n"]))
 
 
 def root_class(url: Column, title: Column, start: Column, flags: dict[str, Column] | None = None) -> Column:
@@ -108,25 +134,31 @@ def root_class(url: Column, title: Column, start: Column, flags: dict[str, Colum
     flags: is_synthetic, is_utility, primary_nav, homepage_anchor, has_children; false where not given.
     """
     g = {k: F.lit(False) for k in ("is_synthetic", "is_utility", "primary_nav", "homepage_anchor", "has_children")} | (flags or {})
-    noticeboard, score, micro, news = is_noticeboard(url, title), topic_score(url, title), is_microsite(url, title), is_news_root(url, title)
-    structural = g["primary_nav"] | g["homepage_anchor"] | g["has_children"]
-    module = ~noticeboard & g["homepage_anchor"] & ~g["primary_nav"] & ((score < vocab.ROOT_THRESHOLD) | news | micro)
-    total = score + F.when(noticeboard, 0.45).otherwise(0.0) + F.when(g["primary_nav"], 0.25).otherwise(0.0) + F.when(g["homepage_anchor"], 0.20).otherwise(0.0) + F.when(g["has_children"], 0.10).otherwise(0.0)
+    own = {"f": folded(url, title), "first": _first_segment(url), "n": urls.path_segment_count(url), "alias": urls.is_start_page_alias(url, start)} | g
+    parts = lambda z: F.struct(*(z[k].alias(k) for k in ("f", "alias", *g)), _topic(z["f"], z["n"]).alias("score"), _micro(z["f"], z["first"], z["n"]).alias("micro"), _news(z["f"], z["first"]).alias("news"), z["f"].contains(vocab.NOTICEBOARD).alias("notice"))
+    return F.transform(F.transform(F.array(F.struct(*(c.alias(k) for k, c in own.items()))), parts), _root_class)[0]
+
+
+def _root_class(z: Column) -> Column:
+    score, notice = z["score"], z["notice"]
+    structural = z["primary_nav"] | z["homepage_anchor"] | z["has_children"]
+    module = ~notice & z["homepage_anchor"] & ~z["primary_nav"] & ((score < vocab.ROOT_THRESHOLD) | z["news"] | z["micro"])
+    total = score + F.when(notice, 0.45).otherwise(0.0) + F.when(z["primary_nav"], 0.25).otherwise(0.0) + F.when(z["homepage_anchor"], 0.20).otherwise(0.0) + F.when(z["has_children"], 0.10).otherwise(0.0)
     rules = (
-        (urls.is_start_page_alias(url, start), "HomepageModuleRoot", F.lit(1.0), "homepage_alias_root"),
-        (g["is_synthetic"], "DiscoveredOtherRoot", F.lit(0.85), "synthetic_helper_or_discovered_bucket"),
-        (is_utility_page(url, title) | g["is_utility"], "UtilityRoot", F.lit(0.95), "utility_or_meta_page"),
-        (is_error_root(url, title), "ErrorOrSystemRoot", F.lit(0.98), "error_or_system_root"),
-        (micro, "MicrositeRoot", F.lit(0.95), "microsite_or_special_purpose_portal"),
-        (news, "NewsOrEventRoot", F.lit(0.92), "news_event_service_or_notice_root"),
-        (noticeboard & ~structural, "UtilityRoot", F.lit(0.86), "noticeboard_without_structural_root_evidence"),
+        (z["alias"], "HomepageModuleRoot", F.lit(1.0), "homepage_alias_root"),
+        (z["is_synthetic"], "DiscoveredOtherRoot", F.lit(0.85), "synthetic_helper_or_discovered_bucket"),
+        (_utility(z["f"]) | z["is_utility"], "UtilityRoot", F.lit(0.95), "utility_or_meta_page"),
+        (_error(z["f"]), "ErrorOrSystemRoot", F.lit(0.98), "error_or_system_root"),
+        (z["micro"], "MicrositeRoot", F.lit(0.95), "microsite_or_special_purpose_portal"),
+        (z["news"], "NewsOrEventRoot", F.lit(0.92), "news_event_service_or_notice_root"),
+        (notice & ~structural, "UtilityRoot", F.lit(0.86), "noticeboard_without_structural_root_evidence"),
         (module, "HomepageModuleRoot", F.lit(0.84), "homepage_module_or_promo_root"),
         (total >= vocab.ROOT_THRESHOLD, "EligibleStructuralRoot", text.clamp01(total), "official_municipal_ia_section"),
     )
-    kind, confidence, reason = F.lit("DiscoveredOtherRoot"), F.lit(0.72), F.lit("not_enough_municipal_ia_evidence")
-    for rule, k, c, r in reversed(rules):
-        kind, confidence, reason = F.when(rule, k).otherwise(kind), F.when(rule, c).otherwise(confidence), F.when(rule, r).otherwise(reason)
-    return F.struct(kind.alias("kind"), (kind == "EligibleStructuralRoot").alias("eligible"), confidence.alias("confidence"), reason.alias("reason"))
+    out = F.struct(F.lit("DiscoveredOtherRoot").alias("kind"), F.lit(False).alias("eligible"), F.lit(0.72).alias("confidence"), F.lit("not_enough_municipal_ia_evidence").alias("reason"))
+    for rule, kind, confidence, reason in reversed(rules):
+        out = F.when(rule, F.struct(F.lit(kind).alias("kind"), F.lit(kind == "EligibleStructuralRoot").alias("eligible"), confidence.alias("confidence"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
 
 
 def viewer_bucket(kind: Column, is_utility: Column) -> Column:

@@ -89,13 +89,13 @@ def link_reject_histogram(s, d):
 
 
 def cms_detect(s, d):
-    c = classify.detect_cms(F.col("html"))
-    return pages(s, d).select("page_id", c["kind"].alias("cms"), c["confidence"].alias("confidence"), F.size(c["signals"]).cast("long").alias("n_signals"))
+    c = pages(s, d).select("page_id", classify.detect_cms(F.col("html")).alias("c"))
+    return c.select("page_id", F.col("c.kind").alias("cms"), "c.confidence", F.size("c.signals").cast("long").alias("n_signals"))
 
 
 def content_type(s, d):
-    c = classify.content_type(urls.path(_u()), text.page_title(F.col("html")))
-    return pages(s, d).select("page_id", c["content_type"].alias("content_type"), c["confidence"].alias("confidence"))
+    c = pages(s, d).select("page_id", classify.content_type(urls.path(_u()), text.page_title(F.col("html"))).alias("c"))
+    return c.select("page_id", "c.content_type", "c.confidence")
 
 
 def template_fingerprint(s, d):
@@ -105,7 +105,8 @@ def template_fingerprint(s, d):
 def root_class(s, d):
     i = items(s, d)
     c = classify.root_class(_u(), F.col("title"), F.col("start_url"), {"has_children": F.col("ord") % 2 == 0, "primary_nav": F.col("ord") % 3 == 0})
-    return i.select(F.col("ord").alias("page_id"), c["kind"].alias("kind"), c["eligible"].alias("eligible"), F.round(c["confidence"], 6).alias("confidence"), F.round(classify.topic_score(_u(), F.col("title")), 6).alias("topic_score"))
+    i = i.select(F.col("ord").alias("page_id"), c.alias("c"), F.round(classify.topic_score(_u(), F.col("title")), 6).alias("topic_score"))
+    return i.select("page_id", "c.kind", "c.eligible", F.round("c.confidence", 6).alias("confidence"), "topic_score")
 
 
 def root_topology_by_site(s, d):
