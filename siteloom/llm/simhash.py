@@ -24,7 +24,7 @@ BITS = 64
 #: Fingerprints that a prefix may have on the mean, and at most, before prefixes get longer.
 MEAN_IN_PREFIX, MOST_IN_PREFIX = 200_000, 4_000_000
 #: Variants that a task holds at a time.
-HELD = 1_000_000
+HELD = 2_500_000
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
