@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="siteloom-")
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the folder in spark.checkpoint.dir and read from there; to a temporary folder only where none is set, as in tests."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="siteloom-")
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

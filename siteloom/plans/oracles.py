@@ -198,6 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "first_seen_top20": f"""WITH {EVENT_K}, g AS (SELECT event_type, event_type || ':' || k AS pattern, count(*) AS n, min(event_id) AS first_ord, arg_min(user_id, event_id) AS user_id FROM e WHERE k IS NOT NULL GROUP BY 1, 2)
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, first_ord) AS rank FROM g) WHERE rank <= 20""",
         "saturation_by_user": f"WITH {NOVEL}, t AS (SELECT user_id, count(*) AS pages, count(*) FILTER (is_new) AS new_pages, count(*) FILTER (back <= 20 AND is_new) AS new_in_window FROM w GROUP BY 1) SELECT *, pages >= 20 AND new_in_window = 0 AS saturated FROM t",
+        "stream_saturation": f"WITH {NOVEL}, t AS (SELECT user_id::varchar AS run_id, count(*) AS pages, count(*) FILTER (is_new) AS new_pages, count(*) FILTER (back <= 20 AND is_new) AS new_in_window FROM w GROUP BY 1) SELECT *, pages >= 20 AND new_in_window = 0 AS saturated FROM t",
         "novelty_flags": f"WITH {NOVEL} SELECT event_id, is_new FROM w",
         "average_rounded": f"WITH {EVENT_K} SELECT event_type, round_even(avg(k), 1) AS average, arg_max(event_id, ts) AS last_event FROM e GROUP BY 1",
         "events_by_hour": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -295,21 +295,21 @@ def quality_warnings(s, d):
 
 def stream_saturation(s, d):
     """Saturation by user over the event table read as a stream."""
-    import tempfile
+    import uuid
 
+    from siteloom.operators.lineage import shared_folder
     from siteloom.streaming import events as st
 
-    schema = events(s, d).schema
-    e = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(d + "/events.parquet*")
+    e = s.readStream.schema(events(s, d).schema).parquet(d + "/events.parquet*")
     own = e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("ord"), "event_type", (_k() % 10).cast("string").alias("k"))
-    return st.run_once(st.saturation(own, ["event_type", "k"], 20), f"saturation_{abs(hash(d)) % 10**8}_{id(own)}", "update", tempfile.mkdtemp(prefix="siteloom-"))
+    return st.latest(st.run_once(st.saturation(own, ["event_type", "k"], 20), "update", f"{shared_folder(s)}/stream-{uuid.uuid4().hex[:12]}"), ["run_id"])
 
 
 QUERIES: tuple[Callable, ...] = (
     url_normalize, url_canonical_key, url_segments, url_path_shape, page_file_key, url_predicates, same_site_host, page_title, display_title, anchor_extract, link_classify, link_reject_histogram,
     cms_detect, content_type, template_fingerprint, root_class, root_topology_by_site, duplicate_titles, duplicate_urls, orphan_pages, nearest_ancestor, section_join, url_parent_score, synthetic_parents,
     depth_recalc, dedup_best_row, tree_preorder, spread_sample, link_cap, depth_cap, frontier_bfs, text_sections, dom_links, event_counters, distinct_patterns, json_field_histogram, first_seen_top20, saturation_by_user,
-    novelty_flags, average_rounded, events_by_hour, run_metric_delta, run_verdict, urls_added_removed, parent_changes, acceptance_decision, quality_warnings,
+    novelty_flags, average_rounded, events_by_hour, run_metric_delta, run_verdict, urls_added_removed, parent_changes, acceptance_decision, quality_warnings, stream_saturation,
 )
 
 

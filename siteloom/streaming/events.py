@@ -69,8 +69,22 @@ def saturation(events: DataFrame, patterns: list[str], last: int) -> DataFrame:
     return own.groupBy("run_id").transformWithStateInPandas(Saturation(last, len(patterns)), "run_id string, pages long, new_pages long, new_in_window long, saturated boolean", "Update", "None")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there into a table in memory. For tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there; each batch's rows are written below `folder`, where its checkpoint is, and read back with their batch."""
+    spark = df.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(provider).endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema.add("batch", "long")).option("recursiveFileLookup", True).parquet(f"{folder}/out")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of what an update stream wrote, the last row of each key."""
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")

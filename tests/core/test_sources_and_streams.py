@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from siteloom.operators import quality
 from siteloom.sources import readers, sinks
 from siteloom.streaming import events as st
 
@@ -76,8 +77,14 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.jsonl").write_text("\n".join(map(json.dumps, rows[k * 40 : k * 40 + 40])))
     e = st.log_stream(spark, f"{tmp_path}/in")
-    counts = st.run_once(st.counters(e, ["runId"]), "counts_now", "complete", f"{tmp_path}/c1")
+    counts = st.latest(st.run_once(st.counters(e, ["runId"]), "complete", f"{tmp_path}/c1"), ["runId"])
     assert {r.runId: r.n for r in counts.collect()} == {"r0": 40, "r1": 40}
+    own = e.select(F.col("runId").alias("run_id"), readers.field("ord", "long").alias("ord"), readers.field("p").alias("p"))
+    live = {r.run_id: r for r in st.latest(st.run_once(st.saturation(own, ["p"], 30), "update", f"{tmp_path}/c2"), ["run_id"]).collect()}
+    batch = readers.event_log(spark.read.text(f"{tmp_path}/in")).select(F.col("runId").alias("run_id"), readers.field("ord", "long").alias("ord"), readers.field("p").alias("p"))
+    for r in quality.saturation(batch, ["run_id"], ["p"], 30).collect():
+        own = live[r.run_id]
+        assert (own.pages, own.new_pages, own.new_in_window, own.saturated) == (r.pages, r.new_pages, r.new_in_window, r.saturated)
 
 
 def test_windows(spark):
