@@ -23,7 +23,7 @@ def counters(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def windowed(events: DataFrame, ts: str, keys: list[str], size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts per window of event time; events later than `late` are left out. An extension: the reference's log has no windows."""
+    """Counts per window of event time; events later than `late` are left out. An extension."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return events.withWatermark(ts, late).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n")
 
