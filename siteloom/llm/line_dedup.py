@@ -4,6 +4,9 @@ A line is cut into threshold + 1 segments. Two lines within the threshold share
 that the edits before it bound. Every distinct line files its segments in an index and probes it with the substrings that
 could be a segment of a line as long or shorter; what meets is verified by a banded bit-parallel edit distance. Hashes are
 dealt out, and texts only for candidate pairs and for lines that share a segment with several others.
+
+With `grow` the threshold follows the length: one edit from 5 characters, two from 20, and a tenth of the shorter line where
+about its first or its last third is the same in both. These thirds are keys of their own, cut to a few lengths.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from siteloom.llm.common import Stage
 
 #: Edits within which lines are linked, and characters from which a line is long enough for that to mean something.
 EDITS, LEAST = 2, 20
+#: With `grow`: characters from which one edit links, and the part of a line's length that may differ.
+SHORT, PART = 5, 10
 #: Lines that share a segment from which they are verified as they meet; keys that are sent to every executor, 16 MB of longs.
 LARGE, SEND = 4, 2_000_000
 
@@ -35,15 +40,30 @@ def entries(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keyed(lines: DataFrame, edits: int, least: int, probe: bool) -> DataFrame:
-    """key, id, line, shorter for the segments that a line files, or for the substrings that it looks up."""
+def keyed(lines: DataFrame, edits: int, least: int, probe: bool, below: int | None = None) -> DataFrame:
+    """key, id, line, n, shorter for the segments that a line files, or for the substrings that it looks up. The shorter line has from `least` to under `below` characters."""
     wanted = entries(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
     each = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in wanted)
     df = lines.select("id", "line", "n", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
     parts = edits + 1
     place, long = f"cast(m * e.i div {parts} + e.s as int)", f"cast(m * (e.i + 1) div {parts} - m * e.i div {parts} as int)"
-    df = df.filter(f"m >= {least} and {place} >= 0 and {place} + {long} <= n")
-    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", F.expr("cast(e.d as byte)").alias("shorter"))
+    df = df.filter(f"m >= {least}{f' and m < {below}' if below else ''} and {place} >= 0 and {place} + {long} <= n")
+    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", "n", F.expr("cast(e.d as byte)").alias("shorter"))
+
+
+def third(m: str) -> str:
+    """SQL for about a third of m, which lengths within a sixteenth to an eighth have in common."""
+    step = f"cast(shiftleft(1L, greatest(0, cast(floor(log2({m})) as int) - 3)) as int)"
+    return f"cast({m} div {step} * {step} div 3 as int)"
+
+
+def ends_keyed(lines: DataFrame, probe: bool) -> DataFrame:
+    """keyed() for the first and the last third of lines that may differ in more than EDITS; `shorter` is null."""
+    wide = lines.filter(F.col("n") >= PART * (EDITS + 1))
+    sizes = f"array_distinct(transform(sequence(0, 4), j -> {third(f'(n - (n div {PART}) * j div 4)')}))" if probe else f"array({third('n')})"
+    ends = "array(named_struct('e', 0, 't', left(line, a)), named_struct('e', 1, 't', right(line, a)))"
+    df = wide.select("id", "line", "n", F.explode(F.expr(sizes)).alias("a")).select("id", "line", "n", "a", F.explode(F.expr(ends)).alias("e"))
+    return df.select(F.expr("xxhash64('end', a, e.e, e.t)").alias("key"), "id", "line", "n", F.lit(None).cast("byte").alias("shorter"))
 
 
 def place_of(doc: str, line: str):
@@ -102,42 +122,57 @@ def within(a: str, b: str, edits: int) -> str:
     return f"size(filter({left}, z -> {banded_distance('z.x', 'z.y', edits)} <= {edits})) > 0"
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
+def within_part(a: str, b: str) -> str:
+    """SQL for whether a (as long or longer) and b are within the threshold that follows the length of b."""
+    led = f"transform(array(named_struct('a', {a}, 'b', {b}, 'm', length({b}))), z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', {common('z.a', 'z.b', 'z.m', False)}))"
+    both = f"transform({led}, z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', z.lead, 'tail', {common('z.a', 'z.b', '(z.m - z.lead)', True)}))"
+    most = f"if(z.m < {SHORT}, 0, if(z.m < {LEAST}, 1, if(greatest(z.lead, z.tail) >= {third('z.m')}, greatest({EDITS}, cast(z.m div {PART} as int)), {EDITS})))"
+    left = f"transform({both}, z -> named_struct('x', substring(z.a, z.lead + 1, length(z.a) - z.lead - z.tail), 'y', substring(z.b, z.lead + 1, z.m - z.lead - z.tail), 'k', {most}))"
+    left = f"filter({left}, z -> length(z.x) - length(z.y) <= z.k)"
+    return f"size(filter({left}, z -> levenshtein(z.x, z.y, z.k) >= 0)) > 0"
+
+
+def verified(pairs: DataFrame, edits: int, grow: bool = False) -> DataFrame:
     """Of pairs with the lines a (as long or longer) and b, those within the threshold."""
-    return pairs.filter(F.expr(within("a", "b", edits)))
+    return pairs.filter(F.expr(within_part("a", "b") if grow else within("a", "b", edits)))
 
 
-def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes of equal lines, and the links between different ones.
 
     classes: id (a 64-bit hash of the line), line, n (characters), copies, first (place_of the first copy).
     links: u, v: ids of lines of `least` characters or more that are 1 to `edits` edits apart, the longer one first; each pair once.
+    grow: the threshold follows the length instead; `edits` and `least` are then not looked at.
     """
     stage = Stage(docs.sparkSession, "line-dedup")
     own = lines_of(docs, id_col, text_col).withColumn("place", place_of("doc_id", "line_no")).groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"))
     classes = stage.put(own.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"), "copies", "first"), "classes", compression="zstd")
-    long = classes.filter(F.col("n") >= least)
-    filed, asked = keyed(long, edits, least, False), keyed(long, edits, least, True)
+    if grow:
+        filed, asked = (keyed(classes.filter(F.col("n") >= LEAST), EDITS, LEAST, x).unionByName(keyed(classes.filter(f"n between {SHORT} and {LEAST}"), 1, SHORT, x, LEAST)).unionByName(ends_keyed(classes, x)) for x in (False, True))
+    else:
+        long = classes.filter(F.col("n") >= least)
+        filed, asked = keyed(long, edits, least, False), keyed(long, edits, least, True)
 
     # Where many lines share a segment, they take their text along and are verified as they meet: pairs that fail are never
     # made. Elsewhere hashes go alone, and texts are fetched for the few pairs that met.
     large = stage.put(filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LARGE).select("key", F.lit(True).alias("large")), "large")
     large = F.broadcast(large) if large.limit(SEND + 1).count() <= SEND else large
     filed, asked = (df.join(large, "key", "left").withColumn("own", F.when(F.col("large"), F.col("line"))) for df in (filed, asked))
-    filed = filed.select("key", F.col("id").alias("v"), F.col("own").alias("v_line"))
-    asked = asked.select("key", F.col("id").alias("u"), F.col("own").alias("u_line"), "shorter")
-    near = F.expr(f"u_line is null or {within('u_line', 'v_line', edits)}")
-    met = filed.join(asked, (filed.key == asked.key) & F.expr("u <> v and (shorter > 0 or u > v)") & near).select("u", "v").distinct()
+    filed = filed.select("key", F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("own").alias("v_line"))
+    asked = asked.select("key", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("own").alias("u_line"), "shorter")
+    near = F.expr(f"u_line is null or {within_part('u_line', 'v_line') if grow else within('u_line', 'v_line', edits)}")
+    lengths = F.expr(f"u <> v and (u_n > v_n or u_n = v_n and u > v) and u_n - v_n <= coalesce(shorter, v_n div {PART})")
+    met = filed.join(asked, (filed.key == asked.key) & lengths & near).select("u", "v").distinct()
     met = stage.put(met, "met")
     wanted = stage.put(met.select(F.col("u").alias("id")).unionByName(met.select(F.col("v").alias("id"))).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.limit(SEND + 1).count() <= SEND else wanted
     texts = stage.put(classes.join(wanted, "id", "left_semi").select("id", "line"), "texts", compression="zstd")
     text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name))
-    links = verified(met.join(text("a", "u"), "u").join(text("b", "v"), "v"), edits).select("u", "v")
+    links = verified(met.join(text("a", "u"), "u").join(text("b", "v"), "v"), edits, grow).select("u", "v")
     return classes, stage.put(links, "links")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
     """doc_id, n_lines, n_links, n_dropped, dropped (line numbers, ascending), one row per id.
 
     A line is dropped if it equals, or is linked to, a line that comes earlier by (doc_id, line_no). n_links: links of the
@@ -145,7 +180,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts have no lines. Rows of one id are one document: their lines count together, with each row's own line numbers. Ids
     may be null: null comes first. An empty table gives no rows. Lines are equal or not as whole texts, however long.
     """
-    classes, links = line_links(docs, id_col, text_col, edits, least)
+    classes, links = line_links(docs, id_col, text_col, edits, least, grow)
     first = classes.select("id", "first")
     both = links.join(first.toDF("u", "u_first"), "u").join(first.toDF("v", "v_first"), "v")
     ends = both.select(F.col("u").alias("id"), (F.col("v_first") < F.col("u_first")).alias("earlier")).unionByName(both.select(F.col("v").alias("id"), (F.col("u_first") < F.col("v_first")).alias("earlier")))
@@ -161,8 +196,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return every.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")), "left").select(F.col("own_id").alias("doc_id"), zero("n_lines"), zero("n_links"), zero("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
     """doc_id, text without the lines that repeated_lines() drops."""
-    gone = repeated_lines(docs, id_col, text_col, edits, least).select(F.col("doc_id").alias("own_id"), "dropped")
+    gone = repeated_lines(docs, id_col, text_col, edits, least, grow).select(F.col("doc_id").alias("own_id"), "dropped")
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return text.join(gone, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')").alias("text"))

@@ -29,7 +29,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, their links to different lines, and the numbers of the lines that go."""
-    found = repeated_lines(table(spark, sf_dir, "documents"))
+    found = repeated_lines(table(spark, sf_dir, "documents"), grow=True)
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 

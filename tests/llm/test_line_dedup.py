@@ -97,3 +97,43 @@ def test_long_lines_empty_and_repeated(spark):
     assert all(b[i].n_lines == 2 * a[i].n_lines for i in a)
     assert repeated_lines(documents(spark, [])).count() == 0
     assert [r.n_lines for r in repeated_lines(documents(spark, [None, ""])).collect()] == [0, 0]
+
+
+def third(m):
+    step = 1 << max(0, m.bit_length() - 4)
+    return m // step * step // 3
+
+
+def linked(a, b):
+    """Whether lines are linked where the threshold grows with the length."""
+    if len(a) < len(b):
+        a, b = b, a
+    m, e = len(b), third(len(b))
+    most = 0 if m < 5 else 1 if m < 20 else max(2, m // 10) if m >= 30 and (a[:e] == b[:e] or a[-e:] == b[-e:]) else 2
+    return len(a) - m <= most and 0 < distance(a, b) <= most
+
+
+def test_threshold_grows_with_the_length(spark):
+    r = random.Random(4)
+    lines = ["abc", "abd", "abcde", "abcdx", "tiny line here", "tiny line herd", "tiny line hers!", "x" * 19, "x" * 20, "x" * 21]
+    for i in range(40):
+        base = prose(i, r.choice([4, 6, 9, 15, 30]))
+        words = base.split(" ")
+        words[r.randrange(len(words))] = "another"  # an exchanged word
+        lines += [base, " ".join(words), base + " tail", edited(r, base, r.randrange(1, 9)), edited(r, base[: len(base) // 2], 4) + base[len(base) // 2 :]]
+    lines = sorted(set(lines))
+    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if linked(a, b)}
+    classes, links = line_links(documents(spark, ["\n".join(lines)]), grow=True)
+    name = {x.id: x.line for x in classes.collect()}
+    got = [(name[x.u], name[x.v]) for x in links.collect()]
+    assert {frozenset(p) for p in got} == want and len(got) == len(want)
+    assert any(distance(*p) > 5 for p in want) and any(max(map(len, p)) < 20 for p in want)
+
+
+def test_query_links_exchanged_words_and_short_lines(spark, tmp_path):
+    from siteloom.llm.queries import op2_line_dedup
+
+    base = prose(1, 30)
+    texts = [base, base.replace(base.split(" ")[15], "something"), "short line here", "short line hers", "abc", "abd"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [x.dropped for x in op2_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == ["", "0", "", "0", "", ""]
