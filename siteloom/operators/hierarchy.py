@@ -6,12 +6,14 @@ page against all pages above it are joins on exploded path prefixes, not nested
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls, vocab
 from siteloom.operators.classify import evidence, is_utility_page
-from siteloom.operators.lineage import cut
+from siteloom.operators.lineage import EVERY, cut
 
 FLAGS = ("is_external", "is_js_dynamic", "is_display_only", "is_synthetic")
 
@@ -116,14 +118,14 @@ def synthetic_candidates(items: DataFrame, known: DataFrame) -> DataFrame:
     return df.withColumn("title", urls.slug_to_title(slug)).withColumn("parent_url", F.coalesce("ancestor", "start_url")).drop("_key", "_known", "_named", "_deep", "ancestor")
 
 
-def insert_synthetic_parents(items: DataFrame, max_levels: int = 12) -> DataFrame:
+def insert_synthetic_parents(items: DataFrame) -> DataFrame:
     """Items with the accepted missing sections added, and their children below them.
 
     Prefixes are taken by depth, shallow first, since a section that is added may be the parent of a deeper one: one pass
-    for each depth that occurs, of which there are few.
+    for each depth that occurs.
     """
     items = cut(with_defaults(items))
-    depths = [r[0] for r in prefix_groups(items).select(urls.path_segment_count(F.col("prefix_url")).alias("d")).distinct().orderBy("d").limit(max_levels).collect()]
+    depths = [r[0] for r in prefix_groups(items).select(urls.path_segment_count(F.col("prefix_url")).alias("d")).distinct().orderBy("d").collect()]
     out = items
     for d in depths:
         ready = synthetic_candidates(out, out).filter((urls.path_segment_count(F.col("url")) == d) & F.col("synthetic_accepted"))
@@ -182,21 +184,24 @@ def repair_parents(items: DataFrame) -> DataFrame:
     return df.withColumn("parent_url", fixed).withColumn("title", F.when(urls.is_raw_url_title(F.col("title"), F.col("url"), True), urls.display_title(F.col("title"), F.col("url"))).otherwise(F.col("title"))).drop("_parent", "_parent_url", "ancestor")
 
 
-def recompute_depths(items: DataFrame, max_depth: int = 64) -> DataFrame:
+def recompute_depths(items: DataFrame) -> DataFrame:
     """Depths by parents, the start page 0. Pages that the start page doesn't reach, cycles among them, hang off it at depth 1.
 
-    One join goes down from the roots of all sites at a time, until a level is empty.
+    One join goes down from the roots of all sites at a time, until a level has no page that wasn't reached before, so
+    rows of one URL that name different parents don't lead around in circles.
     """
     df = items.withColumn("_key", urls.canonical_key(F.col("url"))).withColumn("_parent", urls.canonical_key(F.col("parent_url"))).withColumn("_start", urls.canonical_key(F.col("start_url")))
     edges = cut(df.filter("_key <> _start and _parent <> _key").select("site_id", "_key", "_parent", "_start"))
     level = edges.filter("_parent = _start").select("site_id", "_key", F.lit(1).alias("_depth")).distinct()
     reached = level
-    for d in range(2, max_depth + 1):
-        level = edges.join(level.select("site_id", F.col("_key").alias("_parent")), ["site_id", "_parent"]).select("site_id", "_key").distinct().withColumn("_depth", F.lit(d))
+    for d in count(2):
+        level = edges.join(level.select("site_id", F.col("_key").alias("_parent")), ["site_id", "_parent"]).select("site_id", "_key").distinct().join(reached.select("site_id", "_key"), ["site_id", "_key"], "left_anti").withColumn("_depth", F.lit(d))
         level = cut(level)
         if level.head() is None:
             break
         reached = reached.unionByName(level)
+        if d % EVERY == 0:
+            reached = cut(reached)
     best = reached.groupBy("site_id", "_key").agg(F.min("_depth").alias("_depth"))
     out = df.join(best, ["site_id", "_key"], "left")
     root = F.col("_key") == F.col("_start")

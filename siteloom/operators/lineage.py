@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Levels after which a loop cuts the union of all its levels.
+EVERY = 16
+
 
 def shared_folder(spark) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""

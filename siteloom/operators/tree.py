@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.operators.lineage import cut
-
-#: Levels that a tree may have.
-MAX_LEVELS = 64
+from siteloom.operators.lineage import EVERY, cut
 
 
 def edges(items: DataFrame) -> DataFrame:
@@ -42,13 +41,15 @@ def paths(items: DataFrame) -> DataFrame:
     down = e.select("site_id", F.col("parent").alias("node"), "child", "ord")
     start = n.filter("node = start").select("site_id", F.col("node").alias("child"))
     down = down.join(start, ["site_id", "child"], "left_anti")
-    for k in range(1, MAX_LEVELS):
+    for k in count(1):
         level = level.join(down, ["site_id", "node"]).filter(~F.array_contains("path", F.col("child")))
         level = level.select("site_id", F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"), F.concat("order", F.array(F.col("ord").cast("long"))).alias("order"), F.lit(k).alias("level"))
         level = cut(level)
         if level.head() is None:
             break
         out = out.unionByName(level)
+        if k % EVERY == 0:
+            out = cut(out)
     return out
 
 

@@ -190,3 +190,21 @@ def test_comparisons(spark):
     assert sorted((r.change, r.url.lower()) for r in compare.url_changes(a, b, ["site_id"]).collect()) == [("added", S + "/c"), ("removed", S + "/b")]
     assert compare.parent_changes(a, b, ["site_id"]).count() == 0
     assert json.dumps(urls.path_shape.__name__)
+
+
+def test_deep_paths_and_long_parent_chains_are_kept(spark):
+    start, deep = "https://a.org", 15
+    rows = [("s", 0, start, "", start)]
+    for d in range(1, deep):
+        prefix = start + "".join(f"/part{k}" for k in range(d + 1))
+        rows += [("s", 2 * d + i, f"{prefix}/{x}page", start, start) for i, x in enumerate("ab")]
+    made = hierarchy.insert_synthetic_parents(spark.createDataFrame(rows, "site_id string, ord long, url string, parent_url string, start_url string"))
+    assert {r.url.count("/part") for r in made.filter("is_synthetic").collect()} == set(range(2, deep + 1))
+
+    long = 70
+    rows = [("s", 0, start, "", "t", start)] + [("s", k, f"{start}/p{k}", f"{start}/p{k - 1}" if k > 1 else start, "t", start) for k in range(1, long + 1)]
+    rows.append(("s", long + 1, f"{start}/p1", f"{start}/p2", "t", start))  # a second row that leads around
+    chain = spark.createDataFrame(rows, "site_id string, ord long, url string, parent_url string, title string, start_url string").coalesce(1)
+    assert {(r.url, r.depth) for r in hierarchy.recompute_depths(chain).collect()} == {(start, 0)} | {(f"{start}/p{k}", k) for k in range(1, long + 1)}
+    counts = tree.node_counts(chain.filter(f"ord <= {long}")).head()
+    assert (counts.tree_nodes, counts.max_level) == (long + 1, long)
