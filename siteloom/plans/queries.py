@@ -178,12 +178,12 @@ def depth_cap(s, d):
 
 
 def frontier_bfs(s, d):
-    """A crawl of all sites over their own links, two levels deep, at most 20 pages each."""
+    """A crawl of all sites over their own links, within the operator's own budgets."""
     found = links.internal(links.classified(links.anchors(pages(s, d))))
     site = F.concat(urls.scheme(_u()), F.lit("://"), urls.host(_u()))
     own = found.select(site.alias("site_id"), urls.canonical_url(F.col("page_url")).alias("url"), urls.canonical_url(_u()).alias("target"), F.struct("page_id", "pos").alias("pos"))
     starts = own.groupBy("site_id").agg(F.min_by("url", "pos").alias("url"))
-    return frontier.crawl(starts, own, max_depth=2, max_pages=20).select("site_id", "url", "depth", "ord")
+    return frontier.crawl(starts, own).select("site_id", "url", "depth", "ord")
 
 
 def text_sections(s, d):

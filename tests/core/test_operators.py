@@ -208,3 +208,13 @@ def test_deep_paths_and_long_parent_chains_are_kept(spark):
     assert {(r.url, r.depth) for r in hierarchy.recompute_depths(chain).collect()} == {(start, 0)} | {(f"{start}/p{k}", k) for k in range(1, long + 1)}
     counts = tree.node_counts(chain.filter(f"ord <= {long}")).head()
     assert (counts.tree_nodes, counts.max_level) == (long + 1, long)
+
+
+def test_frontier_query_goes_past_twenty_pages_and_two_levels(spark, tmp_path):
+    from siteloom.plans.queries import frontier_bfs
+
+    link = lambda *paths: "".join(f'<a href="https://a.org{p}">{p}</a>' for p in paths)
+    rows = [(0, "https://a.org/", link(*(f"/p{k}" for k in range(30)))), (1, "https://a.org/p0", link("/q")), (2, "https://a.org/q", link("/r"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.url: r.depth for r in frontier_bfs(spark, str(tmp_path)).collect()}
+    assert len(got) == 33 and got["https://a.org/q"] == 2 and got["https://a.org/r"] == 3
