@@ -73,7 +73,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     # places that are the least of some window; neighbours of equal hash say that a stretch may repeat itself
     padded = np.concatenate([np.zeros(width - 1, np.uint64), m, np.zeros(width - 1, np.uint64)])
     chosen = np.flatnonzero(sliding(padded, width, False) == h)
-    twins = chosen[:-1][(h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) < width)]
+    twins = chosen[:-1][(h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= width)]  # as far apart as `width`, they follow each other in windows side by side
     twice = np.searchsorted(twins, hi + width) > np.searchsorted(twins, lo)
     r = row[lo]
     return r, own[start], digest, lo - offsets[r], hi - offsets[r], twice

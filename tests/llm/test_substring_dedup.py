@@ -48,6 +48,12 @@ def test_against_brute_force(spark, length, n):
     assert got == slow(texts, length)
 
 
+def test_texts_of_every_period(spark):
+    texts = [(prose(p, 20)[: p - 1] + "|") * (200 // p + 3) for p in range(2, 60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digest(remove_repeats(documents(spark, texts), length=40)).collect()}
+    assert got == slow(texts, 40)
+
+
 def test_long_and_repeated_and_empty(spark):
     docs = documents(spark, odd_texts())
     got = {r.doc_id: r for r in remove_repeats(docs).collect()}
