@@ -1,32 +1,38 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments. A segment holds whole documents: its distinct terms in order, the length of each term's
-postings list, and the postings, which are word positions. A query phrase is answered in every segment by itself: its
-terms' lists are shifted by the terms' offsets and intersected, the shortest list first, so that a phrase with one rare or
-absent term costs next to nothing. Documents never move between executors; benchmark phrases go to them in blocks of a
-checked size.
+The index is built once and lies in the shared folder. Texts are read in segments; a segment's words are turned into lists of
+postings, word positions by term, which go to buckets by term. A bucket is a few sorted arrays: terms, the segments in
+which they occur, and the positions. Lists of a word that is frequent in a segment are spread over all buckets by segment.
+A large corpus has several shards of buckets.
+
+Test phrases stay in Spark. Their terms are ordered by how often the corpus has them; the list of the rarest one is fetched
+and gives the places at which a phrase may be. Each place is then looked up in the list of the next rarest term, shifted by
+the term's offset, and so on, in the bucket that has that list. What is left are the exact matches, and the places which
+have all terms nearby. Work grows with the occurrences of the rarest terms, not with the corpus times the phrases. Each step
+streams through workers that map the few buckets they need; no list or group of matches goes through the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import ASCII_LOWER, Stage, by_value, drop_rows, row_key, slices, small_batches, span_hashes, text_buffer, token_spans, trimmed
+from siteloom.llm.lm import opened, squeeze, unsqueeze
 
 by_value(__name__)
 
-WINDOW = 13
-#: Bytes of text in a segment; phrases sent to executors at a time (8 bytes a term, so 52 MB at 13 terms).
-SEGMENT_BYTES, BLOCK_PHRASES = 2 << 20, 500_000
-INDEX = "segment string, doc_ids array<long>, doc_starts binary, terms binary, counts binary, postings binary"
-FOUND = "segment string, doc_no int, doc_id long, n_words long, matches array<struct<item_id:string,start:long,length:long>>"
+#: Words of a phrase, and words within which a proximity match has all of them, before or after the rarest.
+WINDOW, SPAN = 13, 20
+#: Bytes of text in a segment and, about, in a bucket; buckets of a shard; postings of a term in a segment from which its list is spread.
+SEGMENT_BYTES, BUCKET_BYTES, BUCKETS, FREQUENT = 2 << 20, 32 << 20, 1024, 1024
+#: Positions are words in a segment, with so many left out between documents: no phrase or span reaches from one into the next.
+GAP = 64
+#: Bits of a position that are one block, in which places and documents meet.
+BLOCK = 10
 
 
 def word_table() -> np.ndarray:
@@ -43,209 +49,326 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(raw, starts, ends), row
 
 
-def segments_of(batches, segment_bytes: int = SEGMENT_BYTES):
-    """Rows of the index from batches of (doc_id, text)."""
-    kinds = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("doc_starts", "terms", "counts", "postings"))])
-    for b in batches:
-        raw, at = text_buffer(b.column(1))
-        for cut, to in slices(at, segment_bytes):
-            terms, row = word_hashes(raw[at[cut] : at[to]], at[cut : to + 1] - at[cut])
-            order = np.argsort(terms, kind="stable")
-            own, counts = np.unique(terms[order], return_counts=True)
-            starts = np.searchsorted(row, np.arange(to - cut + 1)).astype(np.uint32)
-            made = {"segment": [uuid.uuid4().hex], "doc_ids": [b.column(0).slice(cut, to - cut).to_pylist()], "doc_starts": [starts.tobytes()], "terms": [own.tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "postings": [order.astype(np.uint32).tobytes()]}
-            yield pa.RecordBatch.from_pydict(made, kinds)
-
-
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The positional index of all documents, one row per segment; a document lies in one segment whole, however long it is."""
-    return texts_of(docs, id_col, text_col).mapInArrow(trimmed(lambda batches: segments_of(batches, segment_bytes)), INDEX)
-
-
-class Segment:
-    """One row of the index, opened for search."""
-
-    def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
-        self.starts = np.frombuffer(row["doc_starts"], np.uint32).astype(np.int64)
-        self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
-        self.ends = np.cumsum(self.counts)
-        self.postings = np.frombuffer(row["postings"], np.uint32)
-
-    def term_numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash among the segment's terms, -1 where it has none."""
-        if not len(self.terms):
-            return np.full(hashes.shape, -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
-
-    def list_of(self, term: int) -> np.ndarray:
-        return self.postings[self.ends[term] - self.counts[term] : self.ends[term]].astype(np.int64)
-
-    def doc_of(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, positions, "right") - 1
-
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Positions at which the terms follow each other within one document."""
-        by_rarity = np.argsort(self.counts[terms], kind="stable")
-        found = self.list_of(terms[by_rarity[0]]) - by_rarity[0]
-        for k in by_rarity[1:]:
-            if not len(found):
-                return found
-            own = self.list_of(terms[k])
-            at = np.searchsorted(own, found + k)
-            found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == found + k)]
-        found = found[found >= 0]
-        return found[self.doc_of(found) == self.doc_of(found + len(terms) - 1)]
-
-    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest term which have every other term at most `span` words before or after, in the same document."""
-        terms = np.unique(terms)
-        by_rarity = np.argsort(self.counts[terms], kind="stable")
-        found = self.list_of(terms[by_rarity[0]])
-        low, high = self.starts[self.doc_of(found)], self.starts[self.doc_of(found) + 1] - 1
-        low, high = np.maximum(found - span, low), np.minimum(found + span, high)
-        for k in by_rarity[1:]:
-            own = self.list_of(terms[k])
-            has = np.searchsorted(own, low) < np.searchsorted(own, high, "right")
-            found, low, high = found[has], low[has], high[has]
-        return found
-
-
-def phrase_blocks(items: DataFrame, window: int = WINDOW, block: int = BLOCK_PHRASES, item_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[str], list[np.ndarray]]]:
-    """Distinct phrases of the items in blocks: item ids, and for each length of phrase its item numbers and term hashes.
-
-    A phrase is `window` consecutive words of an item; an item of fewer words, but not none, is one phrase. Items without an
-    id have nothing to be reported by and are left out. Rows come to the driver one partition at a time.
-    """
-    names: dict[str, int] = {}
-    held: dict[int, list[np.ndarray]] = {}
-    n = 0
-
-    def made():
-        return list(names), {k: np.unique(np.concatenate(v), axis=0) for k, v in held.items()}
-
-    for r in items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null").toLocalIterator():
-        h, _ = word_hashes(*text_buffer(pa.array([r.text], pa.string())))
-        if not len(h):
-            continue
-        number = names.setdefault(r.item, len(names))
-        own = np.lib.stride_tricks.sliding_window_view(h, min(window, len(h)))
-        held.setdefault(own.shape[1], []).append(np.column_stack([np.full(len(own), number, np.uint64), own]))
-        n += len(own)
-        if n >= block:
-            yield made()
-            names, held, n = {}, {}, 0
-    yield made()
-
-
-def found_in(batches, phrases: tuple, span: int | None = None):
-    """Rows of search() from batches of the index."""
-    names, by_length = phrases
-    kinds = pa.schema([("segment", pa.string()), ("doc_no", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
-    for b in batches:
-        for row in b.to_pylist():
-            seg = Segment(row)
-            spans: dict[tuple[int, int], list] = {}
-            for length, rows in by_length.items():
-                numbers = seg.term_numbers(rows[:, 1:])
-                for k in np.flatnonzero((numbers >= 0).all(axis=1)):
-                    at = seg.phrase(numbers[k])
-                    for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
-                        spans.setdefault((d, int(rows[k, 0])), []).append((p, p + length))
-                    if span is not None:
-                        at = seg.near(numbers[k], span)
-                        for p, d in zip(at.tolist(), seg.doc_of(at).tolist()):
-                            spans.setdefault((d, int(rows[k, 0])), []).append((p, p))
-            matches: dict[int, list] = {}
-            for (d, item), own in sorted(spans.items()):
-                base = int(seg.starts[d])
-                matches.setdefault(d, []).extend({"item_id": names[item], "start": a - base, "length": z - a} for a, z in union(own))
-            n = len(seg.doc_ids)
-            yield pa.RecordBatch.from_pydict({"segment": [row["segment"]] * n, "doc_no": list(range(n)), "doc_id": seg.doc_ids, "n_words": np.diff(seg.starts).tolist(), "matches": [matches.get(d, []) for d in range(n)]}, kinds)
-
-
-def search(index: DataFrame, phrases: tuple, span: int | None = None) -> DataFrame:
-    """Every document of the index with its matches against one block of phrases.
-
-    Exact: the matches are runs of words covered by an item's phrases. With `span`: also, as a match of length 0, each place
-    where all terms of a phrase stand within that many words of its rarest one, in any order.
-    """
-    sent = index.sparkSession.sparkContext.broadcast(phrases)
-    return index.mapInArrow(trimmed(lambda batches: found_in(batches, sent.value, span)), FOUND)
+def bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, right: bool = False) -> np.ndarray:
+    """np.searchsorted within a range of its own for each x."""
+    while (going := low < high).any():
+        middle = (low + high) >> 1
+        v = values[np.minimum(middle, len(values) - 1)]
+        under = going & ((v <= x) if right else (v < x))
+        low, high = np.where(under, middle + 1, low), np.where(going & ~under, middle, high)
+    return low
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that touch or overlap as one, in order; empty ones stay by themselves."""
-    out: list[list[int]] = []
-    for a, z in sorted(set(spans)):
-        if out and z > a and out[-1][1] > out[-1][0] and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [tuple(x) for x in out]
+class Bucket:
+    """One bucket of the index, opened for search: lists by (term, segment), each with its positions."""
 
+    def __init__(self, uri: str, number: int):
+        store = opened(uri)
+        self.terms, self.segments = store.array(f"terms-{number}", np.uint64), store.array(f"segments-{number}", np.int64)
+        self.starts, self.positions = store.array(f"starts-{number}", np.int64), store.array(f"positions-{number}", np.uint32)
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None, block: int = BLOCK_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, matches (item_id, start, length in words).
+    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.terms, terms), np.searchsorted(self.terms, terms, "right")
 
-    Null texts and texts without a word have no words and no matches. Repeated documents and items are answered each by
-    itself. Documents with a null id are kept. Empty tables are answered: no documents no rows, no items no matches.
-    """
-    return _answered(docs, items, window, span, block, id_col, text_col, None)
+    def list_of(self, terms: np.ndarray, segments: np.ndarray) -> np.ndarray:
+        """The list of each term in each segment; -1 where there is none."""
+        low, high = self.lists(terms)
+        at = bisect(self.segments, low, high, segments)
+        own = np.minimum(at, max(len(self.segments) - 1, 0))
+        return np.where((at < high) & (self.segments[own] == segments), at, -1) if len(self.segments) else np.full(len(terms), -1)
+
+    def has(self, lists: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each list has a position between low and high."""
+        own = np.maximum(lists, 0)
+        a, z = self.starts[own], self.starts[own + 1]
+        return (lists >= 0) & (bisect(self.positions, a, z, low) < bisect(self.positions, a, z, high, True))
 
 
-def _answered(docs: DataFrame, items: DataFrame, window: int, span: int | None, block: int, id_col: str, text_col: str, share: int | None) -> DataFrame:
-    """matches(), or their summary if a share is given. One block of phrases is indexed, searched and summed up in one worker, which holds a segment at a time."""
-    blocks = phrase_blocks(items, window, block)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        sent = docs.sparkSession.sparkContext.broadcast(first)
+class Index:
+    """The positional index of a table of texts.
+
+    documents: segment, doc_id, n_words, first (position of the first word); one row per input row.
+    frequent: term, segment, n of the lists that are spread.
+    """
+
+    def __init__(self, docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, bucket_bytes: int = BUCKET_BYTES, most: int = BUCKETS, frequent: int = FREQUENT):
         own = texts_of(docs, id_col, text_col)
-        found = lambda batches: found_in(segments_of(batches), sent.value, span)
-        if share is not None:
-            return own.mapInArrow(trimmed(lambda batches: summed(found(batches), share)), SUMMED)
-        return own.mapInArrow(trimmed(found), FOUND).select("doc_id", "n_words", "matches")
-    index = Stage(docs.sparkSession, "decontaminate").put(build_index(docs, id_col, text_col), "index")  # read once for each block
-    out = search(index, first, span).unionByName(search(index, second, span))
-    for phrases in blocks:
-        out = out.unionByName(search(index, phrases, span))
-    out = out.groupBy("segment", "doc_no", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))  # a row for each block
-    return out.select("doc_id", "n_words", "matches") if share is None else out.mapInArrow(trimmed(lambda batches: summed(batches, share)), SUMMED)
-
-
-SUMMED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_hit long"
-
-
-def summed(batches, share: int):
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_hit", pa.int64())])
-    for b in batches:
-        hit, items, longest = [], [], []
-        for own in b.column("matches").to_pylist():
-            spans = union([(m["start"], m["start"] + m["length"]) for m in own])
-            hit.append(sum(z - a for a, z in spans))
-            longest.append(max((z - a for a, z in spans), default=0))
-            items.append(sorted({m["item_id"] for m in own}))
-        n = b.column("n_words").to_pylist()
-        made = {"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "n_hit": hit, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], "contaminated": [h > 0 and share * h >= w for h, w in zip(hit, n)], "longest_hit": longest}
-        yield pa.RecordBatch.from_pydict(made, kinds)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK_PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_hit.
-
-    n_hit counts words inside any match; contaminated: any are, and at least one word in `share`.
+        size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+        wanted = max(4, -(-size // bucket_bytes))
+        self.shards, self.often, self.uri = -(-wanted // most), frequent, f"{stage.root}/postings"
+        self.each = -(-wanted // self.shards)
+        each, shards, uri = self.each, self.shards, self.uri
+
+        def rows(batches):
+            number = TaskContext.get().partitionId() << 24
+            for b in batches:
+                raw, at = text_buffer(b.column(1))
+                for cut, to in slices(at, segment_bytes):
+                    terms, row = word_hashes(raw[at[cut] : at[to]], at[cut : to + 1] - at[cut])
+                    n_words = np.bincount(row, minlength=to - cut)
+                    first = np.cumsum(n_words) - n_words + np.arange(to - cut) * GAP
+                    order = np.argsort(terms, kind="stable")
+                    kinds, counts = np.unique(terms[order], return_counts=True)
+                    position = (order + row[order] * GAP).astype(np.uint32)
+                    home = kinds >> np.uint64(20)
+                    spread = counts > frequent
+                    home = ((home + np.where(spread, np.uint64(number), np.uint64(0))) % np.uint64(each)).astype(np.int64)
+                    by = np.argsort(home, kind="stable")
+                    ends = np.cumsum(counts)
+                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(home[by]) != 0])) if len(by) else by
+                    made: list[list] = [[] for _ in range(6)]
+                    for a, z in zip(cuts, [*cuts[1:], len(by)]):
+                        lists = by[a:z]
+                        take = np.repeat(ends[lists] - np.cumsum(counts[lists]), counts[lists]) + np.arange(counts[lists].sum())
+                        for column, v in zip(made, (int(number >> 24) % shards * each + int(home[lists[0]]), len(lists), len(take), squeeze(kinds[lists]), squeeze(counts[lists].astype(np.uint32)), squeeze(np.diff(position[take], prepend=np.uint32(0))))):
+                            column.append(v)
+                    of_docs = [[None], [to - cut], [0], [None], [None], [None]]
+                    made = [x + y for x, y in zip(of_docs, made)]
+                    n, often = len(made[0]), np.flatnonzero(spread)
+                    first_row = lambda v, kind: pa.array([v if i == 0 else None for i in range(n)], pa.list_(kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(made[0], pa.int32()), pa.array(np.full(n, number)), *(pa.array(x, pa.int64()) for x in made[1:3]), *(pa.array(x, pa.binary()) for x in made[3:]),
+                         first_row(b.column(0).slice(cut, to - cut).to_pylist(), pa.int64()), first_row(n_words.tolist(), pa.int64()), first_row(first.tolist(), pa.int64()),
+                         first_row(kinds[often].view(np.int64).tolist(), pa.int64()), first_row(counts[often].tolist(), pa.int64())],
+                        ["bucket", "segment", "n_lists", "n", "terms", "counts", "positions", "ids", "words", "firsts", "often", "times"],
+                    )
+                    number += 1
+
+        kind = "bucket int, segment long, n_lists long, n long, terms binary, counts binary, positions binary, ids array<long>, words array<long>, firsts array<long>, often array<long>, times array<long>"
+        read = stage.put(own.mapInArrow(trimmed(rows), kind), "segments")
+        each_doc = F.explode(F.arrays_zip("ids", "words", "firsts")).alias("d")
+        self.documents = read.filter("bucket is null").select("segment", each_doc).select("segment", F.col("d.ids").alias("doc_id"), F.col("d.words").alias("n_words"), F.col("d.firsts").alias("first"))
+        self.frequent = read.filter("bucket is null and size(often) > 0").select("segment", F.explode(F.arrays_zip("often", "times")).alias("o")).select(F.col("o.often").alias("term"), "segment", F.col("o.times").alias("n"))
+
+        def store(key, t):
+            b = key[0].as_py()
+            column = lambda c: t.column(c).to_pylist()
+            sizes, n = column("n_lists"), column("n")
+            terms = np.concatenate([unsqueeze(x, k, np.uint64) for x, k in zip(column("terms"), sizes)])
+            counts = np.concatenate([unsqueeze(x, k, np.uint32) for x, k in zip(column("counts"), sizes)]).astype(np.int64)
+            positions = np.concatenate([np.cumsum(unsqueeze(x, k, np.uint32), dtype=np.uint32) for x, k in zip(column("positions"), n)])
+            segments = np.repeat(t.column("segment").to_numpy(), sizes)
+            order = np.lexsort((segments, terms))
+            ends, own = np.cumsum(counts), counts[order]
+            take = np.repeat(ends[order] - np.cumsum(own), own) + np.arange(len(positions))
+            for name, x in (("terms", terms[order]), ("segments", segments[order]), ("starts", np.concatenate([[0], np.cumsum(own)])), ("positions", positions[take])):
+                opened(uri).write(f"{name}-{b}", x)
+            return pa.table({"bucket": pa.array([b], pa.int32())})
+
+        written = read.filter("bucket is not null").select("bucket", "segment", "n_lists", "n", "terms", "counts", "positions").groupBy("bucket").applyInArrow(store, "bucket int")
+        self.buckets = frozenset(r.bucket for r in stage.put(written, "buckets").collect())  # a number for each BUCKET_BYTES of text
+
+    def shard(self, segment: str = "segment") -> Column:
+        return F.expr(f"cast(shiftright({segment}, 24) % {self.shards} * {self.each} as int)")
+
+    def home(self, term: str = "term") -> Column:
+        return F.expr(f"cast(shiftrightunsigned({term}, 20) % {self.each} as int)")
+
+    def away(self, term: str = "term", segment: str = "segment") -> Column:
+        return F.expr(f"cast((shiftrightunsigned({term}, 20) + {segment}) % {self.each} as int)")
+
+    def every_shard(self, terms: DataFrame) -> DataFrame:
+        return terms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1)))).withColumn("bucket", F.col("shard") * self.each + self.home()).drop("shard")
+
+    def asked(self, queries: DataFrame, answer, schema: str, *salt: Column) -> DataFrame:
+        """answer(Bucket, batch) for the queries (with a column `bucket`) of each bucket that there is; they stream past it, in one task or, by salt, in several."""
+        uri, there = self.uri, self.buckets
+
+        def rows(batches):
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                number = t.column("bucket").to_numpy()
+                for k in np.unique(number):
+                    if int(k) in there:
+                        yield from answer(Bucket(uri, int(k)), t.filter(pa.array(number == k))).to_batches()
+
+        return queries.repartition("bucket", *salt).mapInArrow(trimmed(rows), schema)
+
+    def frequencies(self, terms: DataFrame) -> DataFrame:
+        """term, n: how often each term occurs."""
+        often = self.often
+
+        def count(bucket, t):
+            own = t.column("term").to_numpy().view(np.uint64)
+            low, high = bucket.lists(own)
+            sizes = np.diff(bucket.starts)
+            upto = np.concatenate([[0], np.cumsum(np.where(sizes > often, 0, sizes))])
+            return pa.table({"term": t.column("term"), "n": pa.array(upto[high] - upto[low])})
+
+        spread = self.frequent.join(terms, "term", "left_semi").select("term", "n")
+        return self.asked(self.every_shard(terms), count, "term long, n long").unionByName(spread).groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """term, segment, at (positions): the lists of each term."""
+        often = self.often
+
+        def fetch(bucket, t):
+            term, segment = t.column("term").to_numpy().view(np.uint64), t.column("segment")
+            low, high = bucket.lists(term)
+            found: list[list] = [[], [], []]
+            for x, s, a, z in zip(term.view(np.int64).tolist(), segment.to_pylist(), low.tolist(), high.tolist()):
+                for k in range(a, z):
+                    n = int(bucket.starts[k + 1] - bucket.starts[k])
+                    if (n <= often) if s is None else bucket.segments[k] == s:
+                        for column, v in zip(found, (x, int(bucket.segments[k]), bucket.positions[bucket.starts[k] : bucket.starts[k + 1]].astype(np.int64))):
+                            column.append(v)
+            return pa.table({"term": pa.array(found[0], pa.int64()), "segment": pa.array(found[1], pa.int64()), "at": pa.array(found[2], pa.list_(pa.int64()))})
+
+        plain = self.every_shard(terms.withColumn("segment", F.lit(None).cast("long")))
+        spread = self.frequent.join(terms, "term", "left_semi").select("term", "segment").withColumn("bucket", self.shard() + self.away())
+        return self.asked(plain.unionByName(spread), fetch, "term long, segment long, at array<long>")
+
+    def met(self, places: DataFrame, term: Column, offset: Column, span: int | None) -> DataFrame:
+        """places (segment, at, exact and more) which have the term at `at` + offset, or within span words; exact: as before, and at `at` + offset."""
+        own = places.withColumn("term", term).withColumn("offset", offset)
+        own = own.withColumn("bucket", F.explode(F.array_distinct(F.array(self.shard() + self.home(), self.shard() + self.away()))))  # a list is in one of the two
+
+        def look(bucket, t):
+            lists = bucket.list_of(t.column("term").to_numpy().view(np.uint64), t.column("segment").to_numpy())
+            at, offset_ = t.column("at").to_numpy(), t.column("offset").to_numpy()
+            here = bucket.has(lists, at + offset_, at + offset_)
+            kept = here & t.column("exact").to_numpy(zero_copy_only=False) if span is None else bucket.has(lists, at - span, at + span)
+            exact = pa.array(here & t.column("exact").to_numpy(zero_copy_only=False))
+            return t.set_column(t.column_names.index("exact"), "exact", exact).filter(pa.array(kept))
+
+        return self.asked(own, look, _ddl(own), F.pmod("segment", F.lit(16))).drop("term", "offset", "bucket")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def phrases_of(items: DataFrame, stage: Stage, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """phrases (p, terms): the different ones. members (p, item_id): whose they are; an item's id may be null.
+
+    A phrase is `window` consecutive words of an item; an item of fewer words, but not none, is one phrase.
     """
-    return _answered(docs, items, window, None, block, id_col, text_col, share)
 
+    def rows(batches):
+        for b in batches:
+            raw, at = text_buffer(b.column(1))
+            terms, row = word_hashes(raw, at)
+            cut = np.searchsorted(row, np.arange(len(at)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms[a:z].view(np.int64) for a, z in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))], ["item_id", "words"])
+
+    own = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    words = own.mapInArrow(trimmed(rows), "item_id string, words array<long>").filter("size(words) > 0")
+    each = words.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(words) - {window})), i -> slice(words, i + 1, {window}))")).alias("terms"))
+    each = stage.put(each.distinct(), "windows")
+    phrases = stage.put(each.select("terms").distinct().withColumn("p", F.monotonically_increasing_id()), "phrases")
+    return phrases, stage.put(each.join(phrases, "terms").select("p", "item_id"), "members")
+
+
+def search(index: Index, phrases: DataFrame, stage: Stage, span: int | None = None) -> DataFrame:
+    """segment, p, start, length: places of phrases, as positions. With span: also, of length 0, places of the rarest term with all others within span."""
+    if span is not None and span >= GAP:
+        raise ValueError(f"the span has to be below {GAP}")
+    term = F.posexplode("terms").alias("offset", "term")
+    vocabulary = stage.put(phrases.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    known = phrases.select("p", term).join(stage.put(index.frequencies(vocabulary), "frequencies"), "term")
+    ordered = known.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("o"))
+    ordered = ordered.join(phrases.select("p", F.size("terms").alias("length")), "p").filter("size(o) = length").select("p", "length", F.expr("transform(o, x -> x.term)").alias("terms"), F.expr("transform(o, x -> x.offset - o[0].offset)").alias("offsets"), F.expr("o[0].offset").alias("rarest"))
+    ordered = stage.put(ordered, "ordered")
+    lists = stage.put(index.postings(ordered.select(F.col("terms")[0].alias("term")).distinct()), "lists")
+    places = lists.join(ordered.withColumn("term", F.col("terms")[0]), "term").select("segment", F.explode("at").alias("at"), "p", "length", "terms", "offsets", "rarest", F.lit(True).alias("exact"))
+    done = places.filter("length = 1")
+    for k in (1, 2):  # by themselves: they leave next to nothing but matches
+        more = index.met(places.filter(f"length > {k}"), F.col("terms")[k], F.col("offsets")[k], span)
+        done, places = done.unionByName(more.filter(f"length = {k + 1}")), more
+    rest = stage.put(places.filter("length > 3"), "places")
+    rest = rest.select("segment", "at", "p", "length", "rarest", "exact", F.explode(F.expr("slice(arrays_zip(terms, offsets), 4, length)")).alias("x"))
+    rest = index.met(rest, F.col("x.terms"), F.col("x.offsets"), span).groupBy("segment", "at", "p", "length", "rarest").agg(F.count(F.lit(1)).alias("n"), F.min("exact").alias("exact")).filter("n = length - 3")
+    kept = ["segment", "at", "p", "length", "rarest", "exact"]
+    found = done.select(kept).unionByName(rest.select(kept))
+    found = stage.put(found, "found")
+    here = found.filter("exact").select("segment", "p", (F.col("at") - F.col("rarest")).alias("start"), F.col("length").cast("long").alias("length"))
+    if span is not None:
+        here = here.unionByName(found.select("segment", "p", F.col("at").alias("start"), F.lit(0).cast("long").alias("length")))
+    return here
+
+
+def hits_of(index: Index, found: DataFrame) -> DataFrame:
+    """found with `first`, the position of its document's first word."""
+    last = f"shiftright(first + n_words - 1, {BLOCK})"
+    where = index.documents.filter("n_words > 0").select("segment", "first", "n_words", F.explode(F.expr(f"sequence(shiftright(first, {BLOCK}), {last})")).alias("block"))
+    return found.withColumn("block", F.shiftright("start", BLOCK)).join(where, ["segment", "block"]).filter("start between first and first + n_words - 1").drop("block", "n_words")
+
+
+def islands(spans: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, end: spans (start, length) that touch or overlap as one."""
+    own = Window.partitionBy(*keys)
+    by = own.orderBy("start", "end")
+    df = spans.withColumn("end", F.col("start") + F.col("length")).withColumn("before", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("island", F.sum(F.when(F.col("before") >= F.col("start"), 0).otherwise(1)).over(by))
+    return df.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+    """One row per document: doc_id, n_words, matches (item_id, start, length in words), by start.
+
+    Exact: runs of words covered by an item's phrases. With `span`: also, as a match of length 0, each place of a phrase's
+    rarest word that has all its other words within that many words before or after, in any order.
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without contaminated documents; each row has its own decision."""
+    Null texts and texts without a word have no words and no matches. Repeated documents and items are answered each by
+    itself. Ids of documents and items may be null. Empty tables are answered: no documents no rows, no items no matches.
+    """
+    stage = Stage(docs.sparkSession, "decontaminate")
+    index = Index(docs, stage, id_col, text_col, **sizes)
+    phrases, members = phrases_of(items, stage, window)
+    found = stage.put(hits_of(index, search(index, phrases, stage, span)).join(members, "p"), "hits")
+    exact = islands(found.filter("length > 0"), "segment", "first", "item_id").withColumn("length", F.col("end") - F.col("start"))
+    each = exact.drop("end").unionByName(found.filter("length = 0").select("segment", "first", "item_id", "start", "length").distinct())
+    lists = each.groupBy("segment", "first").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("first")).alias("start"), "length", "item_id"))).alias("m"))
+    out = "transform(coalesce(m, array()), x -> named_struct('item_id', x.item_id, 'start', x.start, 'length', x.length))"
+    return index.documents.join(lists, ["segment", "first"], "left").select("doc_id", "n_words", F.expr(out).alias("matches"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_hit, n_near.
+
+    n_hit counts words inside any match, longest_hit those of the longest run; contaminated: any are, and at least one word
+    in `share`. n_near: places where a phrase's words stand within `span` words of its rarest, 0 if no span is given. Items
+    without an id count for n_hit, and all together as one of n_items; they have no id to be part of items_sha256.
+
+    Null texts and texts without a word have no words, and no hits. Repeated documents are answered each by itself, repeated
+    items are one. Null document ids are kept. No documents no rows, no items no hits.
+    """
+    stage = Stage(docs.sparkSession, "decontaminate")
+    index = Index(docs, stage, id_col, text_col, **sizes)
+    phrases, members = phrases_of(items, stage, window)
+    found = stage.put(hits_of(index, search(index, phrases, stage, span)), "hits")
+    place = ["segment", "first"]
+    exact = found.filter("length > 0")
+    size = F.col("end") - F.col("start")
+    words = islands(exact.select(*place, "start", "length").distinct(), *place).groupBy(*place).agg(F.sum(size).alias("n_hit"), F.max(size).alias("longest_hit"))
+    ids = exact.select(*place, "p").distinct().join(members, "p").groupBy(*place).agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nameless"))
+    hit = words.join(ids, place)
+    if span is not None:
+        near = found.filter("length = 0").select(*place, "start").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n_near"))
+        hit = hit.join(near, place, "full_outer")
+    else:
+        hit = hit.withColumn("n_near", F.lit(0))
+    hit = stage.put(hit, "summary")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    ids_ = F.coalesce("ids", F.array().cast("array<string>"))
+    return index.documents.join(hit, place, "left").select(
+        "doc_id", "n_words", zero("n_hit").alias("n_hit"), (F.size(ids_) + F.coalesce(F.col("nameless"), F.lit(False)).cast("int")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ids_), ","), 256).alias("items_sha256"), ((zero("n_hit") > 0) & (zero("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
+        zero("longest_hit").alias("longest_hit"), zero("n_near").alias("n_near"),
+    )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows and columns without documents that have a match with an item, however long they are; each row has its own decision.
+
+    With `share`: without those of which at least one word in so many is inside a match. Rows with a null or empty text stay;
+    repeated rows go or stay together; without items all stay; an empty table stays empty.
+    """
     keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return drop_rows(docs, contamination(keyed, items).filter("contaminated").select("doc_id"), Stage(docs.sparkSession, "decontaminate"), id_col, text_col)
+    found = contamination(keyed, items, share=share or 1)
+    return drop_rows(docs, found.filter("n_hit > 0" if share is None else "contaminated").select("doc_id"), Stage(docs.sparkSession, "decontaminate"), id_col, text_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import table
-from siteloom.llm.decontaminate import contamination
+from siteloom.llm.decontaminate import SPAN, contamination
 from siteloom.llm.exact_dedup import exact_groups
 from siteloom.llm import lm
 from siteloom.llm.line_dedup import repeated_lines
@@ -24,7 +24,8 @@ from siteloom.llm.toxicity import toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """One row per document: its words inside phrases of the benchmark, the items they belong to, and places that have a phrase's words nearby."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=SPAN)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
