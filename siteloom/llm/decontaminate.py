@@ -28,9 +28,11 @@ by_value(__name__)
 #: Words of a phrase, and words within which a proximity match has all of them, before or after the rarest.
 WINDOW, SPAN = 13, 20
 #: Bytes of text in a segment and, about, in a bucket; buckets of a shard; postings of a term in a segment from which its list is spread.
-SEGMENT_BYTES, BUCKET_BYTES, BUCKETS, FREQUENT = 2 << 20, 32 << 20, 1024, 1024
+SEGMENT_BYTES, BUCKET_BYTES, BUCKETS, FREQUENT = 4 << 20, 32 << 20, 1024, 1024
 #: Positions are words in a segment, with so many left out between documents: no phrase or span reaches from one into the next.
 GAP = 64
+#: Tasks over which places that ask the same bucket are spread.
+SALT = 32
 #: Bits of a position that are one block, in which places and documents meet.
 BLOCK = 10
 
@@ -65,32 +67,35 @@ def bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray,
 
 
 class Bucket:
-    """One bucket of the index, opened for search: lists by (term, segment), each with its positions."""
+    """One bucket of the index, opened for search: terms, each with its lists by segment, each with its positions."""
 
     def __init__(self, uri: str, number: int):
-        store = opened(uri)
-        self.terms, self.segments = store.array(f"terms-{number}", np.uint64), store.array(f"segments-{number}", np.int64)
-        self.starts, self.positions = store.array(f"starts-{number}", np.int64), store.array(f"positions-{number}", np.uint32)
+        array = lambda name, kind: opened(uri).array(f"{name}-{number}", kind)
+        self.terms, self.ends, self.names = array("terms", np.uint64), array("ends", np.int64), array("names", np.int64)
+        self.segments, self.starts, self.positions = array("segments", np.uint32), array("starts", np.uint32), array("positions", np.uint32)
 
     def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.terms, terms), np.searchsorted(self.terms, terms, "right")
+        """First list of each term and the one after its last."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        there = self.terms[at] == terms
+        return np.where(there, self.ends[at], 0), np.where(there, self.ends[at + 1], 0)
 
     def list_of(self, terms: np.ndarray, segments: np.ndarray) -> np.ndarray:
         """The list of each term in each segment; -1 where there is none."""
         low, high = self.lists(terms)
-        at = bisect(self.segments, low, high, segments)
-        own = np.minimum(at, max(len(self.segments) - 1, 0))
-        return np.where((at < high) & (self.segments[own] == segments), at, -1) if len(self.segments) else np.full(len(terms), -1)
+        name = np.minimum(np.searchsorted(self.names, segments), len(self.names) - 1)
+        at = bisect(self.segments, low, high, name)
+        return np.where((self.names[name] == segments) & (at < high) & (self.segments[np.minimum(at, len(self.segments) - 1)] == name), at, -1)
 
     def has(self, lists: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether each list has a position between low and high."""
         own = np.maximum(lists, 0)
-        a, z = self.starts[own], self.starts[own + 1]
+        a, z = self.starts[own].astype(np.int64), self.starts[own + 1].astype(np.int64)
         return (lists >= 0) & (bisect(self.positions, a, z, low) < bisect(self.positions, a, z, high, True))
 
 
 class Index:
-    """The positional index of a table of texts.
+    """The positional index of a table of texts, which is to be one that is read the same way again if a task is lost: a stored one.
 
     documents: segment, doc_id, n_words, first (position of the first word); one row per input row.
     frequent: term, segment, n of the lists that are spread.
@@ -127,7 +132,7 @@ class Index:
                         take = np.repeat(ends[lists] - np.cumsum(counts[lists]), counts[lists]) + np.arange(counts[lists].sum())
                         for column, v in zip(made, (int(number >> 24) % shards * each + int(home[lists[0]]), len(lists), len(take), squeeze(kinds[lists]), squeeze(counts[lists].astype(np.uint32)), squeeze(np.diff(position[take], prepend=np.uint32(0))))):
                             column.append(v)
-                    of_docs = [[None], [to - cut], [0], [None], [None], [None]]
+                    of_docs = [[-1 - int(number >> 24)], [to - cut], [0], [None], [None], [None]]
                     made = [x + y for x, y in zip(of_docs, made)]
                     n, often = len(made[0]), np.flatnonzero(spread)
                     first_row = lambda v, kind: pa.array([v if i == 0 else None for i in range(n)], pa.list_(kind))
@@ -139,14 +144,13 @@ class Index:
                     )
                     number += 1
 
-        kind = "bucket int, segment long, n_lists long, n long, terms binary, counts binary, positions binary, ids array<long>, words array<long>, firsts array<long>, often array<long>, times array<long>"
-        read = stage.put(own.mapInArrow(trimmed(rows), kind), "segments")
-        each_doc = F.explode(F.arrays_zip("ids", "words", "firsts")).alias("d")
-        self.documents = read.filter("bucket is null").select("segment", each_doc).select("segment", F.col("d.ids").alias("doc_id"), F.col("d.words").alias("n_words"), F.col("d.firsts").alias("first"))
-        self.frequent = read.filter("bucket is null and size(often) > 0").select("segment", F.explode(F.arrays_zip("often", "times")).alias("o")).select(F.col("o.often").alias("term"), "segment", F.col("o.times").alias("n"))
+        columns = ["ids", "words", "firsts", "often", "times"]
+        lists = ", ".join(f"{c} array<long>" for c in columns)
 
         def store(key, t):
             b = key[0].as_py()
+            if b < 0:  # the documents of one partition
+                return t.select(["bucket", "segment", *columns])
             column = lambda c: t.column(c).to_pylist()
             sizes, n = column("n_lists"), column("n")
             terms = np.concatenate([unsqueeze(x, k, np.uint64) for x, k in zip(column("terms"), sizes)])
@@ -156,12 +160,22 @@ class Index:
             order = np.lexsort((segments, terms))
             ends, own = np.cumsum(counts), counts[order]
             take = np.repeat(ends[order] - np.cumsum(own), own) + np.arange(len(positions))
-            for name, x in (("terms", terms[order]), ("segments", segments[order]), ("starts", np.concatenate([[0], np.cumsum(own)])), ("positions", positions[take])):
+            kinds, ends_ = np.unique(terms[order], return_index=True)
+            names, number = np.unique(segments[order], return_inverse=True)
+            if len(positions) >= 1 << 32:
+                raise ValueError("a bucket has too many postings: make buckets smaller")
+            made = {"terms": kinds, "ends": np.append(ends_, len(order)), "names": names, "segments": number.astype(np.uint32), "starts": np.concatenate([[0], np.cumsum(own)]).astype(np.uint32), "positions": positions[take]}
+            for name, x in made.items():
                 opened(uri).write(f"{name}-{b}", x)
-            return pa.table({"bucket": pa.array([b], pa.int32())})
+            none = pa.nulls(1, pa.list_(pa.int64()))
+            return pa.table({"bucket": pa.array([b], pa.int32()), "segment": pa.nulls(1, pa.int64()), **dict.fromkeys(columns, none)})
 
-        written = read.filter("bucket is not null").select("bucket", "segment", "n_lists", "n", "terms", "counts", "positions").groupBy("bucket").applyInArrow(store, "bucket int")
-        self.buckets = frozenset(r.bucket for r in stage.put(written, "buckets").collect())  # a number for each BUCKET_BYTES of text
+        made = own.mapInArrow(trimmed(rows), f"bucket int, segment long, n_lists long, n long, terms binary, counts binary, positions binary, {lists}")
+        read = stage.put(made.groupBy("bucket").applyInArrow(store, f"bucket int, segment long, {lists}"), "segments")
+        self.buckets = frozenset(r.bucket for r in read.filter("bucket >= 0").select("bucket").collect())  # a number for each BUCKET_BYTES of text
+        each_doc = F.explode(F.arrays_zip("ids", "words", "firsts")).alias("d")
+        self.documents = read.filter("bucket < 0").select("segment", each_doc).select("segment", F.col("d.ids").alias("doc_id"), F.col("d.words").alias("n_words"), F.col("d.firsts").alias("first"))
+        self.frequent = read.filter("bucket < 0 and size(often) > 0").select("segment", F.explode(F.arrays_zip("often", "times")).alias("o")).select(F.col("o.often").alias("term"), "segment", F.col("o.times").alias("n"))
 
     def shard(self, segment: str = "segment") -> Column:
         return F.expr(f"cast(shiftright({segment}, 24) % {self.shards} * {self.each} as int)")
@@ -196,7 +210,7 @@ class Index:
         def count(bucket, t):
             own = t.column("term").to_numpy().view(np.uint64)
             low, high = bucket.lists(own)
-            sizes = np.diff(bucket.starts)
+            sizes = np.diff(bucket.starts.astype(np.int64))
             upto = np.concatenate([[0], np.cumsum(np.where(sizes > often, 0, sizes))])
             return pa.table({"term": t.column("term"), "n": pa.array(upto[high] - upto[low])})
 
@@ -213,9 +227,9 @@ class Index:
             found: list[list] = [[], [], []]
             for x, s, a, z in zip(term.view(np.int64).tolist(), segment.to_pylist(), low.tolist(), high.tolist()):
                 for k in range(a, z):
-                    n = int(bucket.starts[k + 1] - bucket.starts[k])
-                    if (n <= often) if s is None else bucket.segments[k] == s:
-                        for column, v in zip(found, (x, int(bucket.segments[k]), bucket.positions[bucket.starts[k] : bucket.starts[k + 1]].astype(np.int64))):
+                    n, name = int(bucket.starts[k + 1]) - int(bucket.starts[k]), int(bucket.names[bucket.segments[k]])
+                    if (n <= often) if s is None else name == s:
+                        for column, v in zip(found, (x, name, bucket.positions[bucket.starts[k] : bucket.starts[k + 1]].astype(np.int64))):
                             column.append(v)
             return pa.table({"term": pa.array(found[0], pa.int64()), "segment": pa.array(found[1], pa.int64()), "at": pa.array(found[2], pa.list_(pa.int64()))})
 
@@ -236,7 +250,7 @@ class Index:
             exact = pa.array(here & t.column("exact").to_numpy(zero_copy_only=False))
             return t.set_column(t.column_names.index("exact"), "exact", exact).filter(pa.array(kept))
 
-        return self.asked(own, look, _ddl(own), F.pmod("segment", F.lit(16))).drop("term", "offset", "bucket")
+        return self.asked(own, look, _ddl(own), F.pmod(F.xxhash64("segment"), F.lit(SALT))).drop("term", "offset", "bucket")
 
 
 def _ddl(df: DataFrame) -> str:
