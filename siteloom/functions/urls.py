@@ -186,6 +186,14 @@ def slug_to_title(c: Column) -> Column:
     return capitalised(F.translate(c, "-", " "))
 
 
+def humanized_slug(c: Column) -> Column:
+    """The last path segment as words, with marks put back into known ones and a capital at the start; the URL itself where there is none."""
+    words = F.regexp_replace(F.try_element_at(path_segments(c), F.lit(-1)), "-", " ")
+    for plain, written in vocab.SLUG_REPAIRS:
+        words = F.regexp_replace(words, rf"(?iu)\b{plain}\b", written)
+    return F.coalesce(F.when(F.trim(words) != "", F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 30))), c)
+
+
 def is_raw_url_title(title: Column, url: Column, hosts_too: bool = False) -> Column:
     """Whether a title is no more than an address. hosts_too: also if it is the host, with or without www."""
     t = F.trim(F.coalesce(title, F.lit("")))
@@ -216,9 +224,10 @@ def _any(c: Column, tokens) -> Column:
     return out
 
 
-def is_noise_path(p: Column) -> Column:
+def is_noise_path(p: Column, notices: str = vocab.NOTICE_SECTION) -> Column:
+    """Whether a path leads to what isn't worth reading. notices: NOTICE_SECTION, or NOTICE_ARTICLE where the section's own page is."""
     low = F.lower(_untrailed(F.coalesce(p, F.lit(""))))
-    out = low.isin(*vocab.NOISE_EQUAL) | _any(low, vocab.NOISE_INSIDE)
+    out = low.isin(*vocab.NOISE_EQUAL) | _any(low, [notices if t == vocab.NOTICE_SECTION else t for t in vocab.NOISE_INSIDE])
     for t in vocab.NOISE_START:
         out = out | low.startswith(t)
     for t in vocab.NOISE_END:

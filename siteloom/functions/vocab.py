@@ -101,3 +101,8 @@ COMPARED_METRICS = (
     ("timeoutCount", False, 0.30), ("snapshotFailCount", False, 0.20), ("textExtractFailCount", False, 0.20), ("pagesCaptured", True, 0.10),
     ("emptyTitleCount", False, 0.20),
 )
+
+# Words of addresses that have lost their marks, and how they are written.
+SLUG_REPAIRS = (("stod", "stöd"), ("gora", "göra"), ("miljo", "miljö"), ("hallbar", "hållbar"), ("naring", "näring"), ("omsorg", "omsorg"))
+# Part of a path of service notices: where the whole section is noise, and where only its articles are.
+NOTICE_SECTION, NOTICE_ARTICLE = "/driftinformation", "/driftinformation/"

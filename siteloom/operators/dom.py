@@ -7,13 +7,17 @@ visible.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import text
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg head".split())
 OUTSIDE = frozenset("nav header footer aside form".split())

@@ -6,21 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import text, urls, vocab
-from siteloom.operators import classify
+from siteloom.operators import classify, navigation
 
 
-def count_tag(html: Column, tag: str) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?i)<{tag}[\s>]"), 0))
-
-
-def has(html: Column, pattern: str) -> Column:
-    return F.coalesce(html, F.lit("")).rlike(pattern)
-
-
-def body_classes(html: Column) -> Column:
-    """Body classes that tell the template: each once, in order, six at most."""
-    all_ = F.filter(F.split(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<body[^>]*\sclass=["']([^"']*)["']""", 1), r"\s+"), lambda c: c != "")
-    low = F.transform(all_, lambda c: F.lower(c))
+def telling_classes(classes: Column) -> Column:
+    """Of a body's classes those that tell the template: each once, in order, six at most."""
+    low = F.transform(classes, lambda c: F.lower(c))
 
     def tells(c: Column) -> Column:
         out = text.contains_any(c, vocab.CLASS_PARTS)
@@ -42,25 +33,19 @@ def fingerprint_hash(parts: dict[str, Column]) -> Column:
 
 
 def fingerprints(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with path_shape, cms, classes, content_type, heading_shape, section_bucket, four flags and fingerprint."""
-    html = F.col(html_col)
-    heading = text.collapse_whitespace(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", ""))
-    signs = {
-        "pdf_links": has(html, r"""(?i)href=["'][^"']*[.]pdf"""), "time_event": has(html, r"(?i)<time[^>]*\sdatetime="), "list_items": has(html, r"(?i)<main[\s>].*<li[\s>]"),
-        "search_in_main": has(html, r"""(?is)<main[\s>].*<input[^>]*type=["']search"""), "contact_form": has(html, r"(?is)<main[\s>].*<form[\s>].*<textarea"),
-    }
-    df = pages.withColumn("_type", classify.content_type(urls.path(F.col(url_col)), heading, signs)).withColumn("cms", classify.detect_cms(html)["kind"])
+    """pages with path_shape, cms, classes, content_type, heading_shape, section_bucket, four flags and fingerprint; a page's elements are read once."""
+    df = pages.withColumn("_s", navigation.template_signs(F.col(html_col)))
+    sign = lambda k: F.col(f"_s.{k}") > 0
+    signs = {k: sign(k) for k in classify.SIGNS} | {"list_items": F.col("_s.list_items") > 5}
+    df = df.withColumn("_type", classify.content_type(urls.path(F.col(url_col)), F.col("_s.heading"), signs)).withColumn("cms", classify.detect_cms(F.col(html_col))["kind"])
     df = (
         df.withColumn("path_shape", urls.path_shape(F.col(url_col)))
         .withColumn("content_type", F.col("_type.content_type"))
-        .withColumn("classes", body_classes(html))
-        .withColumn("heading_shape", F.concat(F.lit("h1:"), count_tag(html, "h1"), F.lit(",h2:"), count_tag(html, "h2"), F.lit(",h3:"), count_tag(html, "h3")))
-        .withColumn("section_bucket", section_bucket(count_tag(html, "section") + count_tag(html, "article")))
-        .withColumn("has_main", has(html, r"(?i)<main[\s>]|role=[\"']main"))
-        .withColumn("has_breadcrumb", has(html, r"(?i)breadcrumb"))
-        .withColumn("has_local_nav", has(html, r"(?is)<aside[\s>].*<nav[\s>]|<main[\s>].*<nav[\s>]"))
-        .withColumn("has_header_nav", has(html, r"(?is)<header[\s>].*<nav[\s>]|<body[^>]*>\s*<nav[\s>]"))
-        .drop("_type")
+        .withColumn("classes", telling_classes(F.col("_s.body_classes")))
+        .withColumn("heading_shape", F.concat(*(x for k in ("h1", "h2", "h3") for x in (F.lit(("" if k == "h1" else ",") + k + ":"), F.col(f"_s.{k}").cast("string")))))
+        .withColumn("section_bucket", section_bucket(F.col("_s.sections")))
+        .withColumns({k: sign(k) for k in ("has_main", "has_breadcrumb", "has_local_nav", "has_header_nav")})
+        .drop("_type", "_s")
     )
     flag = lambda c: F.when(F.col(c), "1").otherwise("0")
     parts = {

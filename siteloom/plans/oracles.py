@@ -70,8 +70,8 @@ TOPIC = _clamped(
 MICRO = f"({_has(FOLDED, vocab.MICROSITE_TOKENS)} OR (n = 1 AND ({' OR '.join(f'ends_with(first, {chr(39)}{e}{chr(39)})' for e in vocab.MICROSITE_ENDINGS)})))"
 NEWS = rf"({_has('first', vocab.NEWS_ROOT_TOKENS)} OR first = 'anslag' OR (regexp_matches({FOLDED}, '\b20[0-9]{{2}}\b') AND NOT contains({FOLDED}, '{vocab.NOTICEBOARD}')) OR {_has(FOLDED, vocab.NEWS_TITLE_TOKENS)})"
 
-#: Known pages: all, and one level up from every second one.
-KNOWN = "k AS (SELECT site, lower(canonical) AS key, min_by(canonical, page_id) AS known FROM (SELECT site, canonical, page_id FROM v UNION ALL SELECT site, prefix, page_id FROM v WHERE page_id % 2 = 0) WHERE canonical IS NOT NULL GROUP BY 1, 2)"
+#: Known pages: all, and the sections one level up.
+KNOWN = "k AS (SELECT site, lower(canonical) AS key, min_by(canonical, page_id) AS known FROM (SELECT site, canonical, page_id FROM v UNION ALL SELECT site, prefix, page_id FROM v) WHERE canonical IS NOT NULL GROUP BY 1, 2)"
 #: All proper prefixes of a page's path, the nearest first.
 ANCESTOR = f"""{KNOWN}, up AS (
   SELECT v.page_id, v.site, i, site || '/' || array_to_string(segs[:i], '/') AS prefix FROM v, unnest(range(1, n)) AS r(i)
@@ -100,6 +100,21 @@ top AS (SELECT site, max(page_id) AS last FROM v GROUP BY site),
 made AS (SELECT ok.site, prefix AS url, site AS parent, true AS synthetic, last + row_number() OVER (PARTITION BY ok.site ORDER BY lower(prefix)) AS ord FROM ok JOIN top USING (site)),
 it AS (SELECT v.site, canonical AS url, coalesce(ok.prefix, v.site) AS parent, false AS synthetic, page_id AS ord FROM v LEFT JOIN ok ON ok.site = v.site AND ok.prefix = v.prefix UNION ALL SELECT site, url, parent, synthetic, ord FROM made)"""
 
+#: Sections as homepage links; what hangs below which, and what becomes of the root pages.
+CANDIDATES = "cand AS (SELECT site, min(prefix) AS url, min(page_id) AS ord, regexp_extract(min(prefix), '([^/]*)$', 1) <> 'en' AS accepted FROM v WHERE prefix IS NOT NULL GROUP BY site, prefix)"
+VISIBLE = f"""{CANDIDATES}, y AS (SELECT DISTINCT site, lower(url) AS k, accepted FROM cand),
+t AS (SELECT it.site, it.url, it.parent, false AS is_start, it.parent = it.site AS is_root, coalesce(a.accepted, false) AS yes, coalesce(b.accepted, false) AS yes_parent, a.accepted IS NOT NULL AND NOT a.accepted AS no
+      FROM it LEFT JOIN y a ON a.site = it.site AND a.k = lower(it.url) LEFT JOIN y b ON b.site = it.site AND b.k = lower(it.parent) UNION ALL SELECT DISTINCT site, site, '', true, false, false, false, false FROM v),
+r AS (SELECT site, (SELECT count(*) FROM y WHERE y.site = t.site AND accepted) AS accepted, count(*) FILTER (is_root AND yes) AS overlap, count(*) FILTER (is_root) AS before, count(*) FILTER (is_root AND NOT yes) AS suppressed,
+      count(*) FILTER (is_root AND no) AS rejected, count(*) FILTER (NOT is_start AND NOT is_root AND NOT yes_parent) AS lost, count(*) AS flat FROM t GROUP BY site),
+r1 AS (SELECT *, CASE WHEN accepted = 0 THEN 'no_accepted_homepage_anchors' WHEN accepted < 2 AND before >= 3 THEN 'sparse_homepage_anchors' WHEN overlap = 0 AND before > 0 THEN 'homepage_anchors_do_not_overlap_primary_roots'
+      WHEN before >= 4 AND overlap > 0 AND overlap < least(2, accepted) THEN 'homepage_anchors_low_overlap_with_primary_roots' ELSE '' END AS early FROM r),
+r2 AS (SELECT site, accepted, overlap, before AS roots_before, CASE WHEN early <> '' THEN before ELSE overlap END AS roots_after, suppressed, rejected AS rejected_suppressed, CASE WHEN early <> '' THEN 0 ELSE lost END AS orphaned,
+      CASE WHEN early <> '' THEN early WHEN overlap = 0 THEN 'suppression_would_empty_navigation' WHEN before >= 3 AND overlap < greatest(2, before // 2) THEN 'suppression_would_collapse_visible_roots'
+           WHEN lost >= 25 AND lost > greatest(overlap * 5, flat // 10) THEN 'suppression_would_massively_orphan_descendants' ELSE '' END AS reason FROM r1)"""
+# Words of addresses that have lost their marks don't occur in the tables; a test has them.
+WORDS = "coalesce(upper(substr(w, 1, 1)) || substr(w, 2), url)"
+
 GENERATOR = """lower(coalesce(nullif(regexp_extract(html, '(?is)<meta\\s[^>]*name=["'']generator["''][^>]*content=["'']([^"'']+)["'']', 1), ''), regexp_extract(html, '(?is)<meta\\s[^>]*content=["'']([^"'']+)["''][^>]*name=["'']generator["'']', 1)))"""
 
 
@@ -159,12 +174,13 @@ def oracle_sql() -> dict[str, str]:
         "link_reject_histogram": f"WITH {ANCHORS} SELECT why AS reason, count(*) AS n FROM c WHERE why IS NOT NULL GROUP BY 1",
         "cms_detect": _cms(),
         "content_type": f"WITH {U} SELECT page_id, {kind} AS content_type, {grade} AS confidence FROM v",
-        "template_fingerprint": f"""WITH {U}, f AS (SELECT *, {h1} AS heading, {SHAPE} AS path_shape, 'h1:' || {tag('h1')} || ',h2:' || {tag('h2')} || ',h3:' || {tag('h3')} AS heading_shape, {tag('section')} + {tag('article')} AS k FROM v),
+        "template_fingerprint": f"""WITH {U}, f AS (SELECT *, {h1} AS heading, {SHAPE} AS path_shape, 'h1:' || {tag('h1')} || ',h2:' || {tag('h2')} || ',h3:' || {tag('h3')} AS heading_shape,
+              CASE WHEN regexp_matches(html, '<main[\\s>]') THEN len(regexp_extract_all(regexp_extract(html, '(?is)<main[\\s>](.*)', 1), '<(section|article)[\\s>]')) ELSE 0 END AS k FROM v),
             g AS (SELECT *, {fkind} AS content_type, CASE WHEN k = 0 THEN 'none' WHEN k <= 3 THEN 'small' WHEN k <= 8 THEN 'medium' ELSE 'large' END AS section_bucket FROM f), cms AS ({_cms()})
             SELECT g.page_id, path_shape, content_type, heading_shape, section_bucket,
-              upper(substr(sha256('classes=|cms=' || cms || '|contentType=' || content_type || '|hasBreadcrumb=' || regexp_matches(html, '(?i)breadcrumb')::int || '|hasHeaderNav=' || (regexp_matches(html, '(?is)<header[\\s>].*<nav[\\s>]') OR regexp_matches(html, '(?is)<body[^>]*>\\s*<nav[\\s>]'))::int
-                || '|hasLocalNav=' || (regexp_matches(html, '(?is)<aside[\\s>].*<nav[\\s>]') OR regexp_matches(html, '(?is)<main[\\s>].*<nav[\\s>]'))::int || '|hasMain=' || regexp_matches(html, '(?i)<main[\\s>]|role=["'']main')::int
-                || '|headingShape=' || heading_shape || '|pathShape=' || path_shape || '|sectionBucket=' || section_bucket), 1, 16)) AS fingerprint FROM g JOIN cms USING (page_id)""",
+              upper(substr(sha256('classes=|cms=' || cms || '|contentType=' || content_type || '|hasBreadcrumb=' || regexp_matches(html, '(class|aria-label)="[^"]*[Bb]readcrumb|class="([^"]* )?crumbs[ "]')::int
+                || '|hasHeaderNav=' || regexp_matches(html, '(?s)(<header[\\s>]|class="[^"]*header).*<nav[\\s>]|role="navigation"')::int || '|hasLocalNav=' || regexp_matches(html, '(?s)(<aside[\\s>]|class="[^"]*sidebar).*<nav[\\s>]|class="[^"]*(local-nav|left-nav|sidenav)')::int
+                || '|hasMain=' || regexp_matches(html, '<main[\\s>]|role="main"')::int || '|headingShape=' || heading_shape || '|pathShape=' || path_shape || '|sectionBucket=' || section_bucket), 1, 16)) AS fingerprint FROM g JOIN cms USING (page_id)""",
         "root_class": f"""WITH {U}, t AS (SELECT *, {TOPIC} AS topic FROM v), s AS (SELECT *, topic + CASE WHEN contains({FOLDED}, '{vocab.NOTICEBOARD}') THEN 0.45e0 ELSE 0e0 END + CASE WHEN page_id % 3 = 0 THEN 0.25e0 ELSE 0e0 END + CASE WHEN page_id % 2 = 0 THEN 0.10e0 ELSE 0e0 END AS total FROM t),
             k AS (SELECT *, {root_kind} AS kind FROM s)
             SELECT page_id, CASE WHEN kind = 'Notice' THEN 'UtilityRoot' ELSE kind END AS kind, kind = 'EligibleStructuralRoot' AS eligible, round(topic, 6) AS topic_score,
@@ -176,7 +192,9 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_urls": f"WITH {U} SELECT site_id, count(*) AS n_groups FROM (SELECT site AS site_id, lower(prefix) AS k FROM v WHERE prefix IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
         "orphan_pages": f"WITH {U} SELECT site AS site_id, canonical AS url, prefix AS parent_url, page_id FROM v WHERE page_id % 3 <> 0 AND prefix IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v w WHERE w.site = v.site AND lower(w.canonical) = lower(v.prefix))",
         "nearest_ancestor": f"WITH {U}, {ANCESTOR} SELECT page_id, ancestor FROM v LEFT JOIN near USING (page_id)",
-        "section_join": f"WITH {U}, {KNOWN}, s AS (SELECT site, known FROM k WHERE len(string_split(known, '/')) = 4) SELECT page_id, known AS section FROM v LEFT JOIN s ON s.site = v.site AND starts_with(lower(canonical), lower(known) || '/')",
+        "section_join": f"""WITH {U}, {KNOWN}, s AS (SELECT site, known, lower({SECTION}) AS sp FROM (SELECT site, known, substr(known, length(site) + 1) AS path FROM k)),
+            m AS (SELECT page_id, arg_max(known, length(sp)) AS section FROM v JOIN s ON s.site = v.site AND sp NOT IN ('', '/') AND starts_with(lower(v.path), sp || '/') AND length(v.path) > length(sp) + 1 AND lower(known) <> lower(canonical) GROUP BY page_id)
+            SELECT page_id, section FROM v LEFT JOIN m USING (page_id)""",
         "url_parent_score": f"WITH {U}, {ANCESTOR}, q AS (SELECT v.*, ancestor, {ARTICLE.replace('path', 'ancestor')} AS parent_article FROM v LEFT JOIN near USING (page_id)) SELECT page_id, round(score, 6) AS confidence, score >= {vocab.PARENT_THRESHOLD}e0 AS accepted FROM (SELECT page_id, {parent_score} AS score FROM q)",
         "synthetic_parents": f"WITH {U}, {SYNTHETIC} SELECT site AS site_id, prefix AS prefix_url, n_children, round(score, 6) AS confidence, score >= {vocab.SYNTHETIC_THRESHOLD}e0 AS accepted, title, site AS parent_url FROM sc",
         "depth_recalc": f"WITH {U}, {TREE} SELECT site AS site_id, url, parent AS parent_url, CASE WHEN parent = site THEN 1 ELSE 2 END AS depth, synthetic AS is_synthetic FROM it",
@@ -191,7 +209,25 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT * FROM i WHERE m <= 4 OR i IN (round_even(0 * ((m - 1) / 3e0), 0), round_even(1 * ((m - 1) / 3e0), 0), round_even(2 * ((m - 1) / 3e0), 0), round_even(3 * ((m - 1) / 3e0), 0)))
             SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY i) AS k FROM p) WHERE m <= 4 OR k = 1""",
         "link_cap": f"WITH {ANCHORS} SELECT page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM a) WHERE k <= 3",
-        "depth_cap": f"WITH {U} SELECT page_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY page_id) AS k FROM (SELECT page_id, (n + page_id % 2)::int AS depth FROM v)) WHERE k <= 40",
+        "depth_cap": f"WITH {U} SELECT page_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY site, depth ORDER BY page_id) AS k FROM (SELECT page_id, site, (n + page_id % 2)::int AS depth FROM v)) WHERE k <= 3",
+        "structural_links": f"""WITH {ANCHORS}, n AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, CASE WHEN trim(text) <> '' THEN trim(text) ELSE trim(href) END AS name FROM a),
+            q AS (SELECT page_id, pos, name, href, least(0.999e0, 0.91e0 + 0.04e0 + CASE WHEN length(name) >= 6 THEN 0.02e0 ELSE 0e0 END + CASE WHEN length(name) >= 14 THEN 0.02e0 ELSE 0e0 END + CASE WHEN n >= 4 THEN 0.04e0 ELSE 0e0 END + CASE WHEN n >= 8 THEN 0.04e0 ELSE 0e0 END) AS score
+                  FROM n WHERE trim(href) <> '' AND NOT regexp_matches(lower(href), '^(#|javascript:|mailto:|tel:)'))
+            SELECT page_id, pos, name, 'nav' AS kind, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, pos) AS k FROM q) WHERE k = 1""",
+        "local_links": f"""WITH {ANCHORS}, q AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM a WHERE trim(href) <> '' AND NOT regexp_matches(lower(href), '^(#|javascript:|mailto:|tel:)'))
+            SELECT page_id, pos, CASE WHEN text <> '' THEN text ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS name, 'nav' AS kind, 0.9e0 AS confidence, true AS is_structural, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM q WHERE k = 1""",
+        "likely_sections": f"WITH {U} SELECT page_id, {TOPIC} >= 0.55e0 AND NOT {UTILITY} AND NOT {MICRO} AND NOT {NEWS} AND NOT {_has(FOLDED, vocab.ERROR_TOKENS)} AS likely FROM v",
+        "link_attachment": f"""WITH {U}, {ANCHORS}, l AS (SELECT c.page_id, c.pos, v.canonical AS parent, v.site AS start, c.pos < 3 AS st, starts_with(lower(c.target), lower(v.canonical) || '/') AS below, lower(c.target) = lower(v.canonical) AS same, lower(v.canonical) = lower(v.site) AS at_start
+              FROM c JOIN v ON v.page_id = c.page_id WHERE why IS NULL)
+            SELECT page_id, pos, NOT same AND (st OR at_start OR below) AS attached, st OR (NOT at_start AND below) AS is_structural, CASE WHEN NOT at_start AND (st OR below) THEN parent ELSE start END AS parent, CASE WHEN at_start THEN false ELSE true END AS upgrades FROM l""",
+        "accepted_ancestor": f"WITH {U}, {CANDIDATES}, m AS (SELECT v.page_id, arg_min(cand.url, cand.ord) AS accepted_ancestor FROM v JOIN cand ON cand.site = v.site AND accepted AND starts_with(lower(v.canonical), lower(cand.url) || '/') GROUP BY 1) SELECT page_id, accepted_ancestor FROM v LEFT JOIN m USING (page_id)",
+        "visible_root_report": f"WITH {U}, {TREE}, {VISIBLE} SELECT site AS site_id, CASE WHEN reason = '' THEN 'applied' ELSE 'skipped' END AS status, reason, accepted, overlap, roots_before, roots_after, suppressed, rejected_suppressed, orphaned, CASE WHEN reason = '' THEN roots_before - overlap ELSE 0 END AS crawlable_not_visible FROM r2",
+        "visible_tree": f"""WITH {U}, {TREE}, {VISIBLE} SELECT t.site AS site_id, url, parent AS parent_url FROM t JOIN r2 ON r2.site = t.site WHERE reason <> '' OR is_start OR yes OR yes_parent""",
+        "page_files": f"""WITH {U}, p AS (SELECT site AS site_id, canonical AS url, 'pages/p_' || sha1(canonical) || '.htm' AS file, page_id, 0 AS kind FROM v UNION ALL SELECT site, replace(canonical, '://www.', '://'), 'pages/p_' || sha1(canonical) || '.htm', page_id, 1 FROM v WHERE host LIKE 'www.%')
+            SELECT site_id, url, file FROM (SELECT *, row_number() OVER (PARTITION BY site_id, lower(url) ORDER BY page_id, kind) AS k FROM p) WHERE k = 1""",
+        "ordered_children": f"WITH {U} SELECT page_id, row_number() OVER (PARTITION BY site, lower(prefix) ORDER BY lower(title), canonical, page_id) AS place FROM v WHERE prefix IS NOT NULL",
+        "seed_subtrees": f"WITH {U}, {TREE} SELECT site AS site_id, min(url) AS url, CASE WHEN bool_or(lower(parent) = lower(site)) THEN 1 ELSE 2 END AS level FROM it GROUP BY site, lower(url) UNION ALL SELECT DISTINCT site, site, 0 FROM v",
+        "slug_words": f"WITH {U} SELECT page_id, {WORDS} AS words FROM (SELECT *, replace(segs[-1], '-', ' ') AS w FROM v)",
         "event_counters": "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase' AND value > 5) AS purchases FROM events GROUP BY 1",
         "distinct_patterns": f"WITH {EVENT_K} SELECT user_id, count(DISTINCT event_type) AS n_types, count(DISTINCT k) AS n_k FROM e GROUP BY 1",
         "json_field_histogram": f"WITH {EVENT_K} SELECT k, count(*) AS n FROM e GROUP BY 1",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import text, urls
-from siteloom.operators import classify, compare, dom, fingerprint, frontier, hierarchy, links, quality, tree
+from siteloom.operators import classify, compare, dom, fingerprint, frontier, hierarchy, links, navigation, quality, roots, tree, viewer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,8 +127,9 @@ def orphan_pages(s, d):
 
 
 def _known(s, d):
+    """Known pages: all sections that the addresses of pages name, and the pages."""
     i = items(s, d)
-    return i.select("site_id", "url", "ord").unionByName(i.filter("ord % 2 = 0").select("site_id", urls.immediate_prefix_url(_u()).alias("url"), "ord"))
+    return i.select("site_id", "url", "ord").unionByName(i.select("site_id", urls.immediate_prefix_url(_u()).alias("url"), "ord").filter("url is not null"))
 
 
 def nearest_ancestor(s, d):
@@ -136,8 +137,7 @@ def nearest_ancestor(s, d):
 
 
 def section_join(s, d):
-    known = _known(s, d).filter(urls.path_segment_count(_u()) == 1)
-    sections = known.groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
+    sections = _known(s, d).groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
     return hierarchy.longest_section(items(s, d), sections).select(F.col("ord").alias("page_id"), "section")
 
 
@@ -174,7 +174,7 @@ def link_cap(s, d):
 
 def depth_cap(s, d):
     i = items(s, d).withColumn("depth", urls.path_segment_count(_u()) + (F.col("ord") % 2).cast("int"))
-    return links.capped(i, ["depth"], ["ord"], 40).select(F.col("ord").alias("page_id"), "depth")
+    return links.capped(i, ["site_id", "depth"], ["ord"], 3).select(F.col("ord").alias("page_id"), "depth")
 
 
 def frontier_bfs(s, d):
@@ -195,6 +195,74 @@ def dom_links(s, d):
     return links.best_by_confidence(dom.scored_links(dom.links(pages(s, d))).withColumnRenamed("href", "url")).select("page_id", "url", "container", F.round("confidence", 6).alias("confidence"), "is_structural")
 
 
+def structural_links(s, d):
+    found = navigation.structural_links(navigation.placed_links(pages(s, d)), F.lit(True))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "name", "kind", F.round("confidence", 6).alias("confidence"))
+
+
+def local_links(s, d):
+    found = navigation.local_links(navigation.placed_links(pages(s, d)))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "name", "kind", "confidence", "is_structural", F.col("rank").cast("long").alias("rank"))
+
+
+def likely_sections(s, d):
+    return items(s, d).select(F.col("ord").alias("page_id"), roots.is_likely_section(_u(), F.col("title")).alias("likely"))
+
+
+def link_attachment(s, d):
+    """What each internal link makes of its page and its target: attached, structural, under which parent; the first three links of a page are structural."""
+    found = links.internal(links.classified(links.anchors(pages(s, d))))
+    parent, child = urls.canonical_url(F.col("page_url")), urls.canonical_url(_u())
+    start, structural, no = F.concat(urls.scheme(parent), F.lit("://"), urls.host(parent)), F.col("pos") < 3, F.lit(False)
+    is_child = frontier.is_structural_child(parent, child, start, F.lit(True), structural, no)
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), frontier.should_attach(parent, child, start, no, structural).alias("attached"), is_child.alias("is_structural"), frontier.resolve_parent(parent, child, start, F.lit(True), is_child, no).alias("parent"), frontier.should_upgrade(start, parent, no, structural, start).alias("upgrades"))
+
+
+def _tree(s, d):
+    """The site trees with missing sections, and the start pages."""
+    t = hierarchy.insert_synthetic_parents(items(s, d)).select("site_id", "url", "parent_url", "start_url", F.col("ord").cast("long").alias("ord"))
+    starts = items(s, d).groupBy("site_id").agg(F.first("start_url").alias("start_url")).select("site_id", F.col("start_url").alias("url"), F.lit("").alias("parent_url"), "start_url", F.lit(-1).cast("long").alias("ord"))
+    return t.unionByName(starts)
+
+
+def _candidates(s, d):
+    """Sections of each site as homepage links; all but one language's are accepted."""
+    sections = items(s, d).select("site_id", urls.immediate_prefix_url(_u()).alias("url"), "ord").filter("url is not null").groupBy("site_id", "url").agg(F.min("ord").alias("ord"))
+    return sections.withColumn("accepted", urls.last_path_segment(_u()) != "en")
+
+
+def visible_root_report(s, d):
+    t = _tree(s, d)
+    return roots.visible_roots(t, t, _candidates(s, d))[1]
+
+
+def visible_tree(s, d):
+    t = _tree(s, d)
+    return roots.visible_roots(t, t, _candidates(s, d))[0].select("site_id", "url", "parent_url")
+
+
+def accepted_ancestor(s, d):
+    return roots.first_accepted_ancestor(items(s, d), _candidates(s, d).filter("accepted")).select(F.col("ord").alias("page_id"), "accepted_ancestor")
+
+
+def page_files(s, d):
+    return viewer.page_files(items(s, d))
+
+
+def ordered_children(s, d):
+    i = items(s, d).withColumn("parent_url", urls.immediate_prefix_url(_u())).filter("parent_url is not null")
+    return viewer.ordered_children(i).select(F.col("ord").alias("page_id"), F.col("place").cast("long").alias("place"))
+
+
+def seed_subtrees(s, d):
+    t = _tree(s, d)
+    return viewer.seed_subtrees(t.filter("ord = -1").select("site_id", "url"), t).select("site_id", "url", "level")
+
+
+def slug_words(s, d):
+    return pages(s, d).select("page_id", urls.humanized_slug(_u()).alias("words"))
+
+
 # ---- events -------------------------------------------------------------------------------------------------------
 
 def _k():
@@ -308,7 +376,8 @@ def stream_saturation(s, d):
 QUERIES: tuple[Callable, ...] = (
     url_normalize, url_canonical_key, url_segments, url_path_shape, page_file_key, url_predicates, same_site_host, page_title, display_title, anchor_extract, link_classify, link_reject_histogram,
     cms_detect, content_type, template_fingerprint, root_class, root_topology_by_site, duplicate_titles, duplicate_urls, orphan_pages, nearest_ancestor, section_join, url_parent_score, synthetic_parents,
-    depth_recalc, dedup_best_row, tree_preorder, spread_sample, link_cap, depth_cap, frontier_bfs, text_sections, dom_links, event_counters, distinct_patterns, json_field_histogram, first_seen_top20, saturation_by_user,
+    depth_recalc, dedup_best_row, tree_preorder, spread_sample, link_cap, depth_cap, frontier_bfs, text_sections, dom_links, structural_links, local_links, likely_sections, link_attachment, visible_root_report, visible_tree,
+    accepted_ancestor, page_files, ordered_children, seed_subtrees, slug_words, event_counters, distinct_patterns, json_field_histogram, first_seen_top20, saturation_by_user,
     novelty_flags, average_rounded, events_by_hour, run_metric_delta, run_verdict, urls_added_removed, parent_changes, acceptance_decision, quality_warnings, stream_saturation,
 )
 
