@@ -8,11 +8,13 @@ Which bytes lie in a `length`-byte string that also starts elsewhere? Three step
 2. The rest, about where copies begin, end or differ, goes with what shares its minimizer into shards. A shard builds the
    Burrows-Wheeler transform of its stretches, compresses it to runs, and samples, at the first and last row of each run,
    how far that suffix agrees with its neighbour. Streaming over the text gives all matching statistics from these samples:
-   inside a run, the match of the next suffix is one shorter. Windows with a match of `length` bytes are repeated.
+   inside a run, the match of the next suffix is one shorter. Windows with a match of `length` bytes are repeated. A group
+   of one minimizer that is larger than HOT_BYTES would make a shard of its own, however large: the hashes of its windows
+   are counted instead, dealt out by hash and summed up for each slice of the texts before.
 3. Spans are filed by text, and a last scan takes them out.
 
-Texts never move: the requests of step 2 and the spans of step 3 lie in the shared folder as sorted arrays, and the workers
-that scan the texts look them up there.
+Texts never move: the requests of step 2, its repeated windows and the spans of step 3 lie in the shared folder as sorted
+arrays, and the workers that scan the texts look them up there.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import _BASE, _INVERSE, Stage, _byte_codes, _power, by_value, slices, span_hashes, splitmix, text_buffer, trimmed
-from siteloom.llm.lm import Store, opened
+from siteloom.llm.lm import Store, opened, squeeze, unsqueeze
 
 by_value(__name__)
 
 LENGTH, GRAM = 400, 100
 #: Bytes of text in a worker at a time, bytes of a shard, rows of a file of requests or spans.
 SLICE_BYTES, SHARD_BYTES, ROWS_IN_FILE = 2 << 20, 1 << 20, 1_000_000
+#: Bytes of different stretches with one minimizer that go into a shard; windows of larger groups that are counted in one task.
+HOT_BYTES, COUNTED = 1 << 18, 4_000_000
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -213,8 +217,8 @@ class Filed:
         return [store.array(f"{c}-{k}", np.int64)[a:z] for c in columns]
 
 
-def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, lo, hi: first and last start of runs of repeated windows, for texts by their key."""
+def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES, counted: int = COUNTED) -> tuple[DataFrame, tuple]:
+    """key, lo, hi: first and last start of runs of repeated windows, for texts by their key; and where counted_spans() finds the others."""
 
     def rows(batches):
         for b in batches:
@@ -231,24 +235,39 @@ def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram:
     own = stage.put(all_.join(shared, "m", "left_semi"), "shared")
     whole = stage.put(own.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "whole")
     copied = own.join(whole.filter("n > 1").select("digest"), "digest", "left_semi").select("key", "lo", "hi")
-    open_ = whole.filter("n = 1").select("m").distinct()
-    asked = whole.join(open_, "m", "left_semi").select("one.key", "one.lo", "one.hi", "m", F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("single"))
-    total = whole.join(open_, "m", "left_semi").agg(F.coalesce(F.sum(F.expr(f"one.hi - one.lo + {length + 1}")), F.lit(0))).head()[0]
+    each = F.sum(F.expr(f"one.hi - one.lo + {length + 1}"))
+    sized = whole.groupBy("m").agg(F.min("n").alias("least"), each.alias("size"), F.sum(F.expr("one.hi - one.lo + 1")).alias("windows")).filter("least = 1")
+    open_ = stage.put(sized.select("m", "size", "windows", (F.col("size") > hot_bytes).cast("long").alias("hot")), "open")
+    asked = whole.join(open_, "m").select("one.key", "one.lo", "one.hi", "m", F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("single"), "hot")
+    total, crowd = open_.agg(F.coalesce(F.sum(F.expr("if(hot = 0, size, 0)")), F.lit(0)), F.coalesce(F.sum(F.expr("if(hot = 1, windows, 0)")), F.lit(0))).head()
     place, shards = file_rows(asked, stage, "requests"), max(1, -(-int(total) // SHARD_BYTES))
+    bits = max(1, (int(crowd) // counted).bit_length())
 
     def fetch(batches):
         filed = Filed(*place)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             raw, at = text_buffer(b.column(1))
             ids = b.column(0).to_pylist()
             for a, z in slices(at, SLICE_BYTES):
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
+                windows = []
                 for d, key in enumerate(text_keys(ids[a:z], raw[at[a] : at[z]], at[a : z + 1] - at[a]).tolist(), a):
-                    lo, hi, m, single = filed.of(key, ("lo", "hi", "m", "single"))
-                    for x, y, mm, s in zip(lo.tolist(), hi.tolist(), m.tolist(), single.tolist()):
-                        for column, v in zip(out, ((mm & 0xFFFFFFFFFFFFFFFF) % shards, mm, key - (1 << 64) if key >> 63 else key, x, s, raw[at[d] + x : at[d] + y + length].tobytes())):
+                    for x, y, mm, s, h in zip(*(v.tolist() for v in filed.of(key, ("lo", "hi", "m", "single", "hot")))):
+                        own = raw[at[d] + x : at[d] + y + length]
+                        if h:
+                            windows.append(window_hashes(own, length))
+                        else:
+                            for column, v in zip(out, ((mm & 0xFFFFFFFFFFFFFFFF) % shards, mm, signed(key), x, s, own.tobytes(), None)):
+                                column.append(v)
+                if windows:
+                    w, n = np.unique(np.concatenate(windows), return_counts=True)
+                    part = (w >> np.uint64(64 - bits)).astype(np.int64)
+                    for k in np.unique(part).tolist():
+                        mine = part == k
+                        for column, v in zip(out, (k, None, None, len(w[mine]), None, squeeze(np.diff(w[mine], prepend=np.uint64(0))), squeeze(n[mine] > 1))):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], ["shard", "m", "key", "lo", "single", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), *(pa.array(x, pa.binary()) for x in out[5:])], ["shard", "m", "key", "lo", "single", "bytes", "several"])
 
     def search(key, t):
         found: list[list[int]] = [[], [], []]
@@ -276,8 +295,48 @@ def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram:
             look()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("key", "lo", "hi"), found)})
 
-    indexed = docs.mapInArrow(trimmed(fetch), "shard long, m long, key long, lo long, single long, bytes binary").groupBy("shard").applyInArrow(search, "key long, lo long, hi long")
-    return copied.unionByName(indexed)
+    fetched = stage.put(docs.mapInArrow(trimmed(fetch), "shard long, m long, key long, lo long, single long, bytes binary, several binary"), "fetched", compression="zstd")
+    indexed = fetched.filter("several is null").drop("several").groupBy("shard").applyInArrow(search, "key long, lo long, hi long")
+    uri = f"{stage.root}/again"
+
+    def count(key, t):
+        sizes = t.column("n").to_pylist()
+        w = np.concatenate([np.cumsum(unsqueeze(x, n, np.uint64), dtype=np.uint64) for x, n in zip(t.column("bytes").to_pylist(), sizes)])
+        several = np.concatenate([unsqueeze(x, n, bool) for x, n in zip(t.column("several").to_pylist(), sizes)])
+        order = np.argsort(w, kind="stable")
+        w, several = w[order], several[order]
+        same = w[1:] == w[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        opened(uri).write(f"windows-{key[0].as_py()}", np.unique(w[several]))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64())})
+
+    # a stretch that is there once is in a text that is there once, so that equal windows of it are at different places
+    parts = fetched.filter("several is not null").select(F.col("shard").alias("part"), F.col("lo").alias("n"), "bytes", "several").groupBy("part").applyInArrow(count, "part long")
+    files = {r.part for r in stage.put(parts, "again-files").collect()}  # one for each COUNTED windows or so
+    hot = file_rows(asked.filter("hot = 1 and single = 1").select("key", "lo", "hi"), stage, "hot")
+    return copied.unionByName(indexed), (hot, uri, bits, files)
+
+
+def window_hashes(raw: np.ndarray, length: int) -> np.ndarray:
+    starts = np.arange(len(raw) - length + 1)
+    return span_hashes(raw, starts, starts + length)
+
+
+def counted_spans(hot: tuple, text: np.ndarray, key: int, length: int) -> list[np.ndarray]:
+    """First and last start of runs of windows of a text that were counted more than once."""
+    place, uri, bits, files = hot
+    found: list[tuple[int, int]] = []
+    for x, y in zip(*(v.tolist() for v in Filed(*place).of(key, ("lo", "hi")))):
+        w = window_hashes(text[x : y + length], length)
+        part = (w >> np.uint64(64 - bits)).astype(np.int64)
+        again = np.zeros(len(w), bool)
+        for k in np.unique(part).tolist():
+            if k in files and len(known := opened(uri).array(f"windows-{k}", np.uint64)):
+                mine = np.flatnonzero(part == k)
+                again[mine] = known[np.minimum(np.searchsorted(known, w[mine]), len(known) - 1)] == w[mine]
+        found += [(x + a, x + z) for a, z in ranges(np.flatnonzero(again))]
+    return [np.array([s[i] for s in found], np.int64) for i in (0, 1)]
 
 
 def union_of(lo: np.ndarray, hi: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -291,7 +350,7 @@ def union_of(lo: np.ndarray, hi: np.ndarray, length: int) -> list[tuple[int, int
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot_bytes: int = HOT_BYTES, counted: int = COUNTED) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (start, end).
 
     Texts are UTF-8 bytes, null as none; matches do not cross texts. Every byte is removed that a `length`-byte string covers
@@ -300,7 +359,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     stage = Stage(docs.sparkSession, "substring-dedup")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    place = file_rows(spans_of_repeats(own, stage, length, gram or min(GRAM, max(1, length // 4))), stage, "spans")
+    spans_, hot = spans_of_repeats(own, stage, length, gram or min(GRAM, max(1, length // 4)), hot_bytes, counted)
+    place = file_rows(spans_, stage, "spans")
 
     def rows(batches):
         filed = Filed(*place)
@@ -310,8 +370,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for a, z in slices(at, SLICE_BYTES):
                 n, removed, kept, spans = [], [], [], []
                 for d, key in enumerate(text_keys(ids[a:z], raw[at[a] : at[z]], at[a : z + 1] - at[a]).tolist(), a):
-                    cut = union_of(*filed.of(key, ("lo", "hi")), length)
                     text = raw[at[d] : at[d + 1]]
+                    cut = union_of(*(np.concatenate(v) for v in zip(filed.of(key, ("lo", "hi")), counted_spans(hot, text, key, length))), length)
                     stay = np.ones(len(text), bool)
                     for x, y in cut:
                         stay[x:y] = False

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from siteloom.llm.substring_dedup import digest, matching_statistics, remove_repeats, repeated_windows
+from siteloom.llm.substring_dedup import COUNTED, HOT_BYTES, digest, matching_statistics, remove_repeats, repeated_windows
 
 from .helpers import documents, odd_texts, prose
 
@@ -41,10 +41,11 @@ def repetitive(seed, n):
     return out + ["abcde" * 200, "xy" * 50 + "abcde" * 100, "z" * 1500, "short"]
 
 
-@pytest.mark.parametrize("length,n", [(400, 40), (60, 40), (24, 25)])
-def test_against_brute_force(spark, length, n):
+@pytest.mark.parametrize("length,n,hot_bytes", [(400, 40, HOT_BYTES), (400, 40, 0), (60, 40, HOT_BYTES), (60, 40, 300), (24, 25, HOT_BYTES), (24, 25, 0)])
+def test_against_brute_force(spark, length, n, hot_bytes):
     texts = [t for t in odd_texts() if len(t or "") < 20_000] + repetitive(length, n)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digest(remove_repeats(documents(spark, texts, extra=True), length=length)).collect()}
+    texts += [prose(4, 60) + " " + prose(i, 3) for i in range(20)]  # one passage, and something else after each copy
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digest(remove_repeats(documents(spark, texts, extra=True), length=length, hot_bytes=hot_bytes, counted=COUNTED if hot_bytes else 500)).collect()}
     assert got == slow(texts, length)
 
 
