@@ -1,7 +1,7 @@
 """Sequence packing by cutting-stock column generation.
 
 Every document is tokenised and cut into full sequences and one rest. What has to be packed is then only a histogram of
-rest lengths, in classes of GRAIN tokens: 255 numbers however many documents there are. A linear program over patterns (how many rests
+rest lengths, in classes of GRAIN tokens: 127 numbers however many documents there are. A linear program over patterns (how many rests
 of each length share a sequence) is solved by column generation: a knapsack, solved by dynamic programming, prices new
 patterns. The patterns' amounts are rounded down, what that leaves is packed first-fit decreasing, and every rest finds its
 sequence from its rank among the rests of its class. A class counts as its longest length, which costs GRAIN / 2 tokens of
@@ -24,11 +24,11 @@ by_value(__name__)
 
 SIZE = 1024
 #: Tokens in a class of lengths.
-GRAIN = 4
-#: Rests of one length that one task ranks.
-RANKED = 200_000
+GRAIN = 8
+#: Pieces, of whatever length, that are ranked together.
+RANKED = 8_192
 #: The program stops at patterns within this share of its lower bound, or after so many columns.
-GAP, COLUMNS = 1e-3, 6_000
+GAP, COLUMNS = 1e-3, 20_000
 
 
 # ---- the program --------------------------------------------------------------------------------------------------
@@ -174,7 +174,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_encoders: dict[int, object] = {}
+_encoders: dict[str, object] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +185,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
 
     def rows(batches):
         spec = sent.value
-        if len(spec) not in _encoders:
-            _encoders[len(spec)] = load_tokenizer(spec)
-        encode = _encoders[len(spec)]
+        if spec not in _encoders:
+            _encoders[spec] = load_tokenizer(spec)
+        encode = _encoders[spec]
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
         for b in batches:
             out: list[list] = [[] for _ in names]
@@ -202,14 +202,18 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(rows), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def ranked(cut: DataFrame, counts: dict[int, int], per_task: int = RANKED) -> DataFrame:
-    """cut with `rank`, from 0 within each class. A class with many pieces is ranked in parts, each from where the last one ends."""
-    parts = F.create_map(*(F.lit(v) for x, n in sorted(counts.items()) for v in (x, max(1, -(-n // per_task))))) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(parts, F.col("class"))))
+def ranked(cut: DataFrame, pieces: int, per_task: int = RANKED) -> DataFrame:
+    """cut with `rank`, from 0 within each class.
+
+    Pieces are dealt into parts of about per_task by a hash, so that no task gets more than another however common a length
+    is. A part's pieces of a class are ranked there, from where the parts before it end.
+    """
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(1, -(-pieces // per_task)))))
     sizes = dealt.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("class", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
-    return dealt.withColumn("inside", inside).join(before.select("class", "part", F.coalesce("before", F.lit(0)).alias("before")), ["class", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    inside = F.row_number().over(Window.partitionBy("part", "class").orderBy("doc_id", "start", "ids_crc32")) - 1
+    own = dealt.repartition("part").withColumn("inside", inside)  # the window and the join below need no other shuffle of the pieces
+    return own.join(before.select("part", "class", F.coalesce("before", F.lit(0)).alias("before")), ["part", "class"]).withColumn("rank", F.col("before") + F.col("inside"))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,6 +242,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, grain:
                 sequence[own], place[own] = s[:, 1] + k // s[:, 2], s[:, 3] + k % s[:, 2] * x
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(place)], [*kept, "sequence_id", "place"])
 
-    placed = ranked(cut, counts).select(*kept, "class", F.col("rank").cast("long").alias("rank")).mapInArrow(trimmed(rows), ", ".join(f"{c} long" for c in (*kept, "sequence_id", "place")))
+    placed = ranked(cut, sum(counts.values())).select(*kept, "class", F.col("rank").cast("long").alias("rank")).mapInArrow(trimmed(rows), ", ".join(f"{c} long" for c in (*kept, "sequence_id", "place")))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most `size` rows
     return placed.select(*kept, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))

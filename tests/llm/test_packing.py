@@ -3,9 +3,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
-from siteloom.llm.packing import best_pattern, pack, plan, solve, tokenizer_path
+from siteloom.llm.packing import best_pattern, pack, plan, ranked, solve, tokenizer_path
 
 from .helpers import documents, odd_texts, prose
 
@@ -46,6 +47,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert two == 2 * one and pack(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("per_task", [1, 7, 10_000])
+def test_ranks_have_no_gaps(spark, per_task):
+    rows = [(i, 0, i * 7, 3 if i % 10 else i % 4) for i in range(500)] + [(5, 0, 35, 3)] * 4
+    got = defaultdict(list)
+    for r in ranked(spark.createDataFrame(rows, "doc_id long, start long, ids_crc32 long, class int"), len(rows), per_task).collect():
+        got[r["class"]].append(r["rank"])
+    assert sum(map(len, got.values())) == len(rows) and all(sorted(own) == list(range(len(own))) for own in got.values())
+
+
 def test_plan_places_every_rest_once():
     r = random.Random(2)
     for n in (1, 7, 300, 20_000):
