@@ -29,8 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = getattr(spark, "_siteloom_work", None)
         if not base:
@@ -77,10 +79,24 @@ def trimmed(rows):
     return run
 
 
+_open: dict[str, SparkSession] = {}
+
+
+def release(*operators: str) -> None:
+    """Delete the intermediate tables of all calls so far, or of those of some operators, whose results nobody reads any more."""
+    for root in [r for r in _open if not operators or r.rpartition("/")[2].rpartition("-")[0] in operators]:
+        spark = _open.pop(root)
+        try:
+            _remove(spark, root)
+        except Exception:  # the session has ended before: what is left is the shared folder's to clear
+            pass
+
+
 class Stage:
     """Intermediate tables of one operator call, written as Parquet in the shared folder.
 
-    Writing cuts the lineage: a lost executor costs a re-read of the table, not a re-run of what made it.
+    Writing cuts the lineage: a lost executor costs a re-read of the table, not a re-run of what made it. Results are read
+    from these tables, so they stay until release() or the end of the driver.
     """
 
     def __init__(self, spark: SparkSession, operator: str):
@@ -88,6 +104,9 @@ class Stage:
         self.spark, self.root = spark, f"{work_dir(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        if not _open:
+            atexit.register(release)
+        _open[self.root] = spark
 
     def path(self, name: str) -> str:
         self.n += 1

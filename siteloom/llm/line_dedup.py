@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import Stage
+from siteloom.llm.common import Stage, fresh_name, row_key
 
 #: Edits within which lines are linked, and characters from which a line is long enough for that to mean something.
 EDITS, LEAST = 2, 20
@@ -24,10 +24,10 @@ SHORT, PART = 5, 10
 LARGE, SEND = 4, 2_000_000
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line for each line that isn't blank."""
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """doc_id, line_no (from 0), line for each line that isn't blank, and further columns."""
     split = F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("line_no", "line")
-    return docs.select(F.col(id_col).alias("doc_id"), split).filter(~F.col("line").rlike(r"\A\s*\z"))
+    return docs.select(F.col(id_col).alias("doc_id"), *more, split).filter(~F.col("line").rlike(r"\A\s*\z"))
 
 
 def entries(edits: int) -> list[tuple[int, int, int]]:
@@ -172,32 +172,43 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return classes, stage.put(links, "links")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_links, n_dropped, dropped (line numbers, ascending), one row per id.
-
-    A line is dropped if it equals, or is linked to, a line that comes earlier by (doc_id, line_no). n_links: links of the
-    document's lines to different lines, counted for each of its lines. Blank lines are kept and not counted. Null and blank
-    texts have no lines. Rows of one id are one document: their lines count together, with each row's own line numbers. Ids
-    may be null: null comes first. An empty table gives no rows. Lines are equal or not as whole texts, however long.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, edits: int, least: int, grow: bool, *keys: str) -> DataFrame:
+    """doc_id (and own_key, a hash of id and text, if in keys), n_lines, n_links, n_dropped, dropped of documents, or rows, that have lines."""
     classes, links = line_links(docs, id_col, text_col, edits, least, grow)
     first = classes.select("id", "first")
     both = links.join(first.toDF("u", "u_first"), "u").join(first.toDF("v", "v_first"), "v")
     ends = both.select(F.col("u").alias("id"), (F.col("v_first") < F.col("u_first")).alias("earlier")).unionByName(both.select(F.col("v").alias("id"), (F.col("u_first") < F.col("v_first")).alias("earlier")))
     linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("earlier").alias("earlier"))
     kinds = Stage(docs.sparkSession, "line-dedup").put(classes.select("id", "copies", "first").join(linked, "id", "left").filter("copies > 1 or n_links is not null").drop("copies"), "kinds")
-    rows = lines_of(docs, id_col, text_col).select("doc_id", "line_no", F.xxhash64("line").alias("id"))
+    own = fresh_name(docs, "own_key")
+    rows = lines_of(docs.withColumn(own, row_key(id_col, text_col)), id_col, text_col, own).select("doc_id", F.col(own).alias("own_key"), "line_no", F.xxhash64("line").alias("id"))
     gone = F.col("first").isNotNull() & (F.coalesce("earlier", F.lit(False)) | (place_of("doc_id", "line_no") != F.col("first")))
-    found = rows.join(kinds, "id", "left").groupBy("doc_id").agg(
+    return rows.join(kinds, "id", "left").groupBy("doc_id", *keys).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.sum(F.when(gone, 1).otherwise(0)).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("dropped")
     )  # a document's own lines
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_links, n_dropped, dropped (line numbers, ascending), one row per id.
+
+    A line is dropped if it equals, or is linked to, a line that comes earlier by (doc_id, line_no). n_links: links of the
+    document's lines to different lines, counted for each of its lines. Blank lines are kept and not counted. Null and blank
+    texts have no lines. Rows of one id are one document: their lines count together, with each row's own line numbers. Ids
+    may be null: null comes first. An empty table gives no rows. Lines are equal or not as whole texts, however long.
+    """
+    found = _found(docs, id_col, text_col, edits, least, grow)
     every = docs.select(F.col(id_col).alias("own_id")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return every.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")), "left").select(F.col("own_id").alias("doc_id"), zero("n_lines"), zero("n_links"), zero("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
-    """doc_id, text without the lines that repeated_lines() drops."""
-    gone = repeated_lines(docs, id_col, text_col, edits, least, grow).select(F.col("doc_id").alias("own_id"), "dropped")
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return text.join(gone, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')").alias("text"))
+    """doc_id, text without the lines that repeated_lines() tells of, one row per input row.
+
+    Decisions are each row's own, by id and text: rows that share an id keep their other lines. Of lines at the same number
+    of rows with one id none comes earlier, so equal ones there stay.
+    """
+    gone = _found(docs, id_col, text_col, edits, least, grow, "own_key").filter("n_dropped > 0").select("own_key", "dropped")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row_key(id_col, text_col).alias("own_key"))
+    kept = "if(dropped is null, text, array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n'))"
+    return text.join(gone, "own_key", "left").select("doc_id", F.expr(kept).alias("text"))

@@ -65,6 +65,8 @@ class Store:
                 path = own.name
             size = os.path.getsize(path)
             self.opened[name] = np.memmap(path, dtype, "r") if size else np.zeros(0, dtype)
+            if not self.local:
+                os.unlink(path)  # the copy lives as long as it is mapped
         return self.opened[name]
 
 
@@ -355,4 +357,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() by a model of the same documents' training rows; see there for nulls, empty texts, repeated rows and empty tables."""
     return score(docs, train(docs, id_col, text_col), id_col, text_col)

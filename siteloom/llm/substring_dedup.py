@@ -36,6 +36,8 @@ LENGTH, GRAM = 400, 100
 SLICE_BYTES, SHARD_BYTES, ROWS_IN_FILE = 2 << 20, 1 << 20, 1_000_000
 #: Bytes of different stretches with one minimizer that go into a shard; windows of larger groups that are counted in one task.
 HOT_BYTES, COUNTED = 1 << 18, 4_000_000
+#: Copied stretches that are sent to every executor: 16 MB of longs.
+SEND = 2_000_000
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -234,7 +236,9 @@ def spans_of_repeats(docs: DataFrame, stage: Stage, length: int = LENGTH, gram:
     shared = all_.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("m")
     own = stage.put(all_.join(shared, "m", "left_semi"), "shared")
     whole = stage.put(own.groupBy("m", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "whole")
-    copied = own.join(whole.filter("n > 1").select("digest"), "digest", "left_semi").select("key", "lo", "hi")
+    copies = stage.put(whole.filter("n > 1").select("digest"), "copies")
+    copies = F.broadcast(copies) if copies.limit(SEND + 1).count() <= SEND else copies  # some are in a large part of all texts: those rows stay where they are
+    copied = own.join(copies, "digest", "left_semi").select("key", "lo", "hi")
     each = F.sum(F.expr(f"one.hi - one.lo + {length + 1}"))
     sized = whole.groupBy("m").agg(F.min("n").alias("least"), each.alias("size"), F.sum(F.expr("one.hi - one.lo + 1")).alias("windows")).filter("least = 1")
     open_ = stage.put(sized.select("m", "size", "windows", (F.col("size") > hot_bytes).cast("long").alias("hot")), "open")

@@ -229,11 +229,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, by a model learned from `rows` labelled rows at most.
+
+    Null and empty texts are scored, too, by the model's constant. Repeated rows are scored each. Null ids are held out. An
+    empty table gives no rows; without labels there is nothing to learn, and no text is predicted toxic.
+    """
     return score(docs, train(docs, labels, id_col, text_col, rows), id_col, text_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without those predicted toxic; each row has its own decision."""
+    """The input's rows and columns without those predicted toxic; each row has its own decision. Nulls, repeats and empty tables as in toxicity()."""
     keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = score(keyed, train(docs, labels, id_col, text_col))
     return drop_rows(docs, found.filter("predicted = 1").select("doc_id"), Stage(docs.sparkSession, "toxicity"), id_col, text_col)

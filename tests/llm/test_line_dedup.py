@@ -137,3 +137,9 @@ def test_query_links_exchanged_words_and_short_lines(spark, tmp_path):
     texts = [base, base.replace(base.split(" ")[15], "something"), "short line here", "short line hers", "abc", "abd"]
     documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     assert [x.dropped for x in op2_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == ["", "0", "", "0", "", ""]
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "a line that is there twice\nits own first"), (2, "another line\nits own second"), (2, "a line that is there twice\nits own third"), (2, None), (None, "")]
+    out = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, ""), (1, rows[0][1]), (2, ""), (2, rows[1][1]), (2, "its own third")]
