@@ -13,11 +13,10 @@ REASONS = ("empty_href", "hash_link", "javascript_link", "mailto", "tel", "inval
 
 def anchors(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, page_url, pos (from 0), href, text of each anchor, in document order. Expressions only: no Python sees the page."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"), F.regexp_extract_all(html, F.lit(ANCHOR), 1).alias("hrefs"), F.regexp_extract_all(html, F.lit(ANCHOR), 2).alias("texts"))
-    each = df.select("page_id", "page_url", F.posexplode(F.arrays_zip("hrefs", "texts")).alias("pos", "a"))
-    clean = text.collapse_whitespace(text.html_unescape(F.regexp_replace(F.col("a.texts"), "(?s)<[^>]*>", "")))
-    return each.select("page_id", "page_url", "pos", text.html_unescape(F.col("a.hrefs")).alias("href"), clean.alias("text"))
+    found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(ANCHOR), 0)  # the page is searched once, its parts in the short matches
+    each = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("page_url"), F.posexplode(found).alias("pos", "a"))
+    clean = text.collapse_whitespace(text.html_unescape(F.regexp_replace(F.regexp_extract("a", ANCHOR, 2), "(?s)<[^>]*>", "")))
+    return each.select("page_id", "page_url", "pos", text.html_unescape(F.regexp_extract("a", ANCHOR, 1)).alias("href"), clean.alias("text"))
 
 
 def classified(links: DataFrame, drop_query: bool = True) -> DataFrame:
