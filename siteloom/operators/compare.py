@@ -49,6 +49,32 @@ def parent_changes(previous: DataFrame, current: DataFrame, keys: list[str]) ->
     return a.join(b, [*keys, "_k"]).filter(F.lower("old_parent") != F.lower("new_parent")).select(*keys, "url", "old_parent", "new_parent")
 
 
+def in_both(previous: DataFrame, current: DataFrame, keys: list[str], col: str = "url") -> DataFrame:
+    """keys and the values of a column, lower-cased, that both runs have."""
+    one = lambda df: df.select(*keys, F.lower(col).alias(col)).distinct()
+    return one(previous).join(one(current), [*keys, col])
+
+
+def in_either(previous: DataFrame, current: DataFrame, keys: list[str], col: str = "url") -> DataFrame:
+    """keys and the values of a column, lower-cased, that either run has."""
+    return previous.unionByName(current, allowMissingColumns=True).select(*keys, F.lower(col).alias(col)).distinct()
+
+
+def report_changes(previous: DataFrame, current: DataFrame, previous_items: DataFrame, current_items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cms_changed, group_changed, changed_parents, common, reviews of reports (keys, cms, primary_group) and items (keys, url, parent_url) of two runs.
+
+    reviews: what somebody has to look at. Names are compared without regard to case, absent ones as empty.
+    """
+    name = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    a = previous.select(*keys, F.col("cms").alias("_c"), F.col("primary_group").alias("_g"))
+    moved = parent_changes(previous_items, current_items, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("changed_parents"))
+    common = in_both(previous_items, current_items, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("common"))
+    df = current.join(a, keys).join(moved, keys, "left").join(common, keys, "left").na.fill(0, ["changed_parents", "common"])
+    df = df.withColumn("cms_changed", name(F.col("cms")) != name(F.col("_c"))).withColumn("group_changed", name(F.col("primary_group")) != name(F.col("_g")))
+    flags = {"cms_changed": F.col("cms_changed"), "primary_group_changed": F.col("group_changed"), "parents_changed": needs_parent_review(F.col("changed_parents"), F.col("common"))}
+    return df.select(*keys, "cms_changed", "group_changed", "changed_parents", "common", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items()))).alias("reviews"))
+
+
 def needs_parent_review(changed: Column, common: Column) -> Column:
     return changed > F.greatest(F.lit(10), F.floor(common / 5))
 

@@ -119,6 +119,14 @@ def saturation(events: DataFrame, keys: list[str], patterns: list[str], last: in
     return out.withColumn("saturated", (F.col("pages") >= last) & (F.col("new_in_window") == 0))
 
 
+def until_saturated(events: DataFrame, keys: list[str], patterns: list[str], last: int, order: str = "ord") -> DataFrame:
+    """events up to where a run could have stopped: the first page at which the last `last` pages had nothing new; all of a run that never got there."""
+    own = Window.partitionBy(*keys).orderBy(order)
+    df = novelty(events, keys, patterns, order).withColumn("_n", F.row_number().over(own)).withColumn("_new", F.sum(F.col("is_new").cast("int")).over(own.rowsBetween(1 - last, 0)))
+    stop = F.min(F.when((F.col("_n") >= last) & (F.col("_new") == 0), F.col("_n"))).over(Window.partitionBy(*keys))
+    return df.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop"))).drop("_n", "_new", "_stop")
+
+
 def first_seen(events: DataFrame, keys: list[str], pattern: str, attributes: list[str], order: str = "ord", top: int = 20) -> DataFrame:
     """The most frequent patterns of each key, `top` at most, ties by first sight, with the attributes of their first event."""
     g = events.filter(F.trim(F.coalesce(F.col(pattern), F.lit(""))) != "").groupBy(*keys, pattern).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_ord"), *(F.min_by(a, order).alias(a) for a in attributes))

@@ -235,6 +235,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, first_ord) AS rank FROM g) WHERE rank <= 20""",
         "saturation_by_user": f"WITH {NOVEL}, t AS (SELECT user_id, count(*) AS pages, count(*) FILTER (is_new) AS new_pages, count(*) FILTER (back <= 20 AND is_new) AS new_in_window FROM w GROUP BY 1) SELECT *, pages >= 20 AND new_in_window = 0 AS saturated FROM t",
         "stream_saturation": f"WITH {NOVEL}, t AS (SELECT user_id::varchar AS run_id, count(*) AS pages, count(*) FILTER (is_new) AS new_pages, count(*) FILTER (back <= 20 AND is_new) AS new_in_window FROM w GROUP BY 1) SELECT *, pages >= 20 AND new_in_window = 0 AS saturated FROM t",
+        "until_saturated": f"""WITH {NOVEL}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum(is_new::int) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING) AS new FROM w),
+            z AS (SELECT user_id, min(n) FILTER (n >= 5 AND new = 0) AS stop FROM q GROUP BY 1) SELECT user_id, count(*) AS pages, max(event_id) AS last_event FROM q JOIN z USING (user_id) WHERE stop IS NULL OR n <= stop GROUP BY 1""",
+        "report_changes": """WITH h AS (SELECT *, ts >= TIMESTAMP '2024-01-16' AS late FROM events), r AS (SELECT user_id, late, arg_min(event_type, event_id) AS cms, arg_max(event_type, event_id) AS grp FROM h GROUP BY 1, 2),
+            p AS (SELECT user_id, event_type, min(event_id) FILTER (NOT late) % 3 AS a, min(event_id) FILTER (late) % 3 AS b FROM h GROUP BY 1, 2),
+            m AS (SELECT user_id, count(*) FILTER (a <> b) AS changed_parents, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS common FROM p GROUP BY 1)
+            SELECT user_id, x.cms <> y.cms AS cms_changed, x.grp <> y.grp AS group_changed, changed_parents, common,
+              array_to_string(list_filter([CASE WHEN x.cms <> y.cms THEN 'cms_changed' END, CASE WHEN x.grp <> y.grp THEN 'primary_group_changed' END, CASE WHEN changed_parents > greatest(10, common // 5) THEN 'parents_changed' END], lambda f: f IS NOT NULL), ',') AS reviews
+            FROM r x JOIN r y USING (user_id) JOIN m USING (user_id) WHERE NOT x.late AND y.late""",
         "novelty_flags": f"WITH {NOVEL} SELECT event_id, is_new FROM w",
         "average_rounded": f"WITH {EVENT_K} SELECT event_type, round_even(avg(k), 1) AS average, arg_max(event_id, ts) AS last_event FROM e GROUP BY 1",
         "events_by_hour": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

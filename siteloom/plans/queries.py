@@ -292,6 +292,11 @@ def saturation_by_user(s, d):
     return quality.saturation(e, ["user_id"], ["event_type", "k"], 20, "event_id")
 
 
+def until_saturated(s, d):
+    e = events(s, d).withColumn("k", (_k() % 10).cast("string"))
+    return quality.until_saturated(e, ["user_id"], ["event_type", "k"], 5, "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("pages"), F.max("event_id").alias("last_event"))
+
+
 def novelty_flags(s, d):
     e = events(s, d).withColumn("k", (_k() % 10).cast("string"))
     return quality.novelty(e, ["user_id"], ["event_type", "k"], "event_id").select("event_id", "is_new")
@@ -343,6 +348,15 @@ def parent_changes(s, d):
     return compare.parent_changes(one(i.filter("ord % 2 = 0")), one(i.filter("ord % 2 = 1")), ["site_id"])
 
 
+def report_changes(s, d):
+    """Sections of the event log as reports: the user's first event type before and after the middle is the cms, its last one the primary group."""
+    a, b = _halves(s, d)
+    report = lambda e: e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("cms"), F.max_by("event_type", "event_id").alias("primary_group"))
+    items_ = lambda e: e.groupBy("user_id", F.col("event_type").alias("url")).agg(F.concat(F.lit("p"), (F.min("event_id") % 3).cast("string")).alias("parent_url"))
+    found = compare.report_changes(report(a), report(b), items_(a), items_(b), ["user_id"])
+    return found.select("user_id", "cms_changed", "group_changed", "changed_parents", "common", F.array_join("reviews", ",").alias("reviews"))
+
+
 def acceptance_decision(s, d):
     m = compare.summarise(_metric_deltas(s, d), ["user_id"])
     profile = F.element_at(F.array(*(F.lit(x) for x in ("smoke", "cms-diagnostic", "nav-diagnostic", "snapshot-diagnostic", "full-validation"))), (F.col("user_id") % 5 + 1).cast("int"))
@@ -377,8 +391,8 @@ QUERIES: tuple[Callable, ...] = (
     url_normalize, url_canonical_key, url_segments, url_path_shape, page_file_key, url_predicates, same_site_host, page_title, display_title, anchor_extract, link_classify, link_reject_histogram,
     cms_detect, content_type, template_fingerprint, root_class, root_topology_by_site, duplicate_titles, duplicate_urls, orphan_pages, nearest_ancestor, section_join, url_parent_score, synthetic_parents,
     depth_recalc, dedup_best_row, tree_preorder, spread_sample, link_cap, depth_cap, frontier_bfs, text_sections, dom_links, structural_links, local_links, likely_sections, link_attachment, visible_root_report, visible_tree,
-    accepted_ancestor, page_files, ordered_children, seed_subtrees, slug_words, event_counters, distinct_patterns, json_field_histogram, first_seen_top20, saturation_by_user,
-    novelty_flags, average_rounded, events_by_hour, run_metric_delta, run_verdict, urls_added_removed, parent_changes, acceptance_decision, quality_warnings, stream_saturation,
+    accepted_ancestor, page_files, ordered_children, seed_subtrees, slug_words, event_counters, distinct_patterns, json_field_histogram, first_seen_top20, saturation_by_user, until_saturated,
+    novelty_flags, average_rounded, events_by_hour, run_metric_delta, run_verdict, urls_added_removed, parent_changes, report_changes, acceptance_decision, quality_warnings, stream_saturation,
 )
 
 

@@ -43,6 +43,22 @@ def robots_sitemaps(robots: DataFrame, text_col: str = "text") -> DataFrame:
     return robots.withColumn("sitemap", F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1)))
 
 
+#: Where a site's map is looked for if its robots file names none.
+WELL_KNOWN = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
+
+
+def sitemap_roots(sites: DataFrame, robots: DataFrame, documents: DataFrame) -> DataFrame:
+    """site_id, url of the maps to start from: those that robots (site_id, text) name, else the first well-known place that documents (url) have.
+
+    sites: site_id, start_url.
+    """
+    named = robots_sitemaps(robots).select("site_id", F.col("sitemap").alias("url")).distinct()
+    origin = F.regexp_extract("start_url", r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
+    guessed = sites.join(named.select("site_id").distinct(), "site_id", "left_anti").select("site_id", F.posexplode(F.array(*(F.concat(origin, F.lit(w)) for w in WELL_KNOWN))).alias("rank", "url"))
+    there = guessed.withColumn("_k", F.lower("url")).join(documents.select(F.lower("url").alias("_k")).distinct(), "_k", "left_semi")
+    return named.unionByName(there.groupBy("site_id").agg(F.min_by("url", "rank").alias("url")))
+
+
 def sitemap_urls(documents: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
     """site_id, url of all pages that the root sitemaps lead to. documents: url, xml of fetched sitemaps; roots: site_id, url. Indexes are followed to a depth of three."""
     docs = sitemap_locations(documents).select(F.lower("url").alias("_key"), "kind", "loc")

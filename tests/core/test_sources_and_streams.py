@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from siteloom.operators import quality
 from siteloom.sources import readers, sinks
 from siteloom.streaming import events as st
@@ -101,3 +103,28 @@ def test_entry_imports_without_spark():
     root = Path(__file__).resolve().parents[2]
     code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 40)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "True"
+
+
+def test_options_targets_and_log(spark, tmp_path):
+    from siteloom.sources import options
+
+    o = options.parsed(["--sites", "s.txt", "--max-pages-per-site", "7", "--cap-gb", "1.5", "--viewport", "800x600", "--keep-query", "--preview", "--no-dated-output"])
+    assert (o.input_file, o.max_pages, o.max_bytes, o.viewport, o.drop_query, o.quick_preview, o.dated_output, o.max_depth) == ("s.txt", 7, 3 << 29, (800, 600), False, True, False, 3)
+    assert options.parsed([]) == options.Options() and options.parsed(["--max-depth", "0"]).max_depth == 0
+    for bad in (["--max-depth", "-1"], ["--max-pages", "0"], ["--viewport", "99x600"], ["--webp-quality", "101"], ["--preview", "--preview-seconds", "0"]):
+        with pytest.raises(ValueError):
+            options.parsed(bad)
+    (tmp_path / "t.json").write_text('{"targets": [{"name": "a", "url": "https://a.se", "expectedCms": "Drupal"}]}')
+    assert [(r.name, r.expected_cms, r.profile) for r in options.targets(spark, f"{tmp_path}/none.json", f"{tmp_path}/t.json").collect()] == [("a", "Drupal", None)]
+    assert options.targets(spark, f"{tmp_path}/none.json").count() == 0
+    lines = []
+    with options.EventLog(lines.append).scope("CRAWL", host="a.se", title="two words"):
+        pass
+    assert lines[0].endswith('EVT CRAWL_START host=a.se title="two words"') and " EVT CRAWL_END host=a.se" in lines[1] and "ms=" in lines[1]
+
+
+def test_sitemap_roots(spark):
+    sites = spark.createDataFrame([("a", "https://a.se/x"), ("b", "https://b.se"), ("c", "https://c.se")], "site_id string, start_url string")
+    robots = spark.createDataFrame([("a", "User-agent: *\nSitemap: https://a.se/m.xml"), ("b", "User-agent: *")], "site_id string, text string")
+    docs = spark.createDataFrame([("https://b.se/sitemap_index.xml",), ("https://a.se/sitemap.xml",)], "url string")
+    assert sorted(tuple(r) for r in readers.sitemap_roots(sites, robots, docs).collect()) == [("a", "https://a.se/m.xml"), ("b", "https://b.se/sitemap_index.xml")]
