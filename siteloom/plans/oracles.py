@@ -216,6 +216,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, pos, name, 'nav' AS kind, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, pos) AS k FROM q) WHERE k = 1""",
         "local_links": f"""WITH {ANCHORS}, q AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS k FROM a WHERE trim(href) <> '' AND NOT regexp_matches(lower(href), '^(#|javascript:|mailto:|tel:)'))
             SELECT page_id, pos, CASE WHEN text <> '' THEN text ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS name, 'nav' AS kind, 0.9e0 AS confidence, true AS is_structural, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM q WHERE k = 1""",
+        "dom_links": f"""WITH {ANCHORS}, q AS (SELECT page_id, pos, href, greatest(0.05e0, least(0.999e0, 0.91e0 + CASE WHEN length(text) BETWEEN 3 AND 60 THEN 0.02e0 ELSE -0.05e0 END - CASE WHEN pos > 200 THEN 0.05e0 ELSE 0e0 END)) AS score FROM a)
+            SELECT page_id, href AS url, 'nav' AS container, round(score, 6) AS confidence, true AS is_structural FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY score DESC, pos) AS k FROM q) WHERE k = 1""",
+        "quality_warnings": f"""WITH {U}, {ANCHORS}, f AS (SELECT site, count(*) AS flat, count(*) FILTER (title = '') AS empty, max(n) AS depth, count(DISTINCT prefix) AS nodes, count(*) FILTER (n >= 2) AS deep, count(*) FILTER (canonical <> site) AS roots,
+              count(*) FILTER (canonical <> site AND {UTILITY}) AS utility, count(*) FILTER (canonical <> site AND NOT {UTILITY} AND n >= 2) AS discovered, count(*) FILTER (canonical <> site AND {RAW.format('title', '').replace('lower(url)', 'lower(canonical)')}) AS raw,
+              count(*) FILTER (prefix IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v w WHERE w.site = v.site AND lower(w.canonical) = lower(v.prefix))) AS orphans FROM v GROUP BY site),
+            t AS (SELECT site, count(*) AS same FROM (SELECT site, lower(title) FROM v WHERE trim(title) <> '' GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+            l AS (SELECT v.site, count(*) FILTER (why IS NULL) AS accepted, count(*) FILTER (why = 'external_host') AS outside, count(*) FILTER (why = 'binary_asset') AS files FROM c JOIN v USING (page_id) GROUP BY 1),
+            m AS (SELECT f.*, coalesce(same, 0) AS same, round_even(coalesce(accepted, 0) / flat, 1) AS links, coalesce(outside, 0) AS outside, coalesce(files, 0) AS files FROM f LEFT JOIN t USING (site) LEFT JOIN l USING (site))
+            SELECT site AS site_id, w.code AS code, w.severity AS severity FROM (SELECT site, unnest(list_filter([
+              CASE WHEN nodes < 0.3 * flat THEN {{'code': 'tree_far_smaller_than_flat', 'severity': 'warning'}} END, CASE WHEN orphans / flat > 0.4 THEN {{'code': 'high_orphan_ratio', 'severity': 'warning'}} END,
+              CASE WHEN same / flat > 0.15 THEN {{'code': 'high_duplicate_titles', 'severity': 'warning'}} END, CASE WHEN empty / flat > 0.1 THEN {{'code': 'high_empty_title_ratio', 'severity': 'warning'}} END,
+              CASE WHEN roots > 50 THEN {{'code': 'root_child_explosion', 'severity': 'error'}} END, CASE WHEN deep > 20 THEN {{'code': 'root_leaf_pollution', 'severity': 'error'}} END,
+              CASE WHEN deep BETWEEN 1 AND 20 THEN {{'code': 'root_child_path_depth_too_high', 'severity': 'warning'}} END, CASE WHEN raw > 0 THEN {{'code': 'raw_url_labels_at_root', 'severity': 'error'}} END,
+              CASE WHEN utility > 5 THEN {{'code': 'utility_root_pollution', 'severity': 'warning'}} END, CASE WHEN discovered > 10 THEN {{'code': 'orphan_content_cluster', 'severity': 'warning'}} END,
+              CASE WHEN depth = 1 THEN {{'code': 'low_max_depth', 'severity': 'warning'}} END, CASE WHEN links < 2 THEN {{'code': 'low_average_outlinks', 'severity': 'warning'}} END,
+              CASE WHEN files > 50 THEN {{'code': 'many_binary_rejections', 'severity': 'info'}} END, CASE WHEN outside > 200 THEN {{'code': 'many_external_rejections', 'severity': 'info'}} END], lambda z: z IS NOT NULL)) AS w FROM m)""",
         "likely_sections": f"WITH {U} SELECT page_id, {TOPIC} >= 0.55e0 AND NOT {UTILITY} AND NOT {MICRO} AND NOT {NEWS} AND NOT {_has(FOLDED, vocab.ERROR_TOKENS)} AS likely FROM v",
         "link_attachment": f"""WITH {U}, {ANCHORS}, l AS (SELECT c.page_id, c.pos, v.canonical AS parent, v.site AS start, c.pos < 3 AS st, starts_with(lower(c.target), lower(v.canonical) || '/') AS below, lower(c.target) = lower(v.canonical) AS same, lower(v.canonical) = lower(v.site) AS at_start
               FROM c JOIN v ON v.page_id = c.page_id WHERE why IS NULL)

@@ -370,9 +370,25 @@ def acceptance_decision(s, d):
     return compare.gate(runs).select("user_id", "decision", "exit_code")
 
 
+def _site_metrics(s, d):
+    """What the warning rules look at, for each site, as far as its pages and links tell it; the tree's nodes are its sections."""
+    i = items(s, d)
+    site = F.concat(urls.scheme(F.col("page_url")), F.lit("://"), urls.host(F.col("page_url")))
+    found = links.classified(links.anchors(pages(s, d))).groupBy(site.alias("site_id")).agg(
+        F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason") == "external_host").alias("external_rejections"), F.count_if(F.col("reason") == "binary_asset").alias("binary_rejections")
+    )
+    flat = i.groupBy("site_id").agg(F.count(F.lit(1)).alias("flat"), F.count_if(F.trim("title") == "").alias("empty_titles"), F.max(urls.path_segment_count(_u())).alias("max_depth"), F.countDistinct(urls.immediate_prefix_url(_u())).alias("tree_nodes"))
+    lost = quality.orphans(i.withColumn("parent_url", urls.immediate_prefix_url(_u()))).groupBy("site_id").agg(F.count(F.lit(1)).alias("orphans"))
+    same = quality.duplicate_groups(i, F.col("title"), "duplicate_titles")
+    m = flat
+    for more in (quality.root_topology(i).drop("verdict"), found, lost, same):
+        m = m.join(more, "site_id", "left")
+    m = m.na.fill(0)
+    return m.withColumn("average_outlinks", F.bround(F.col("accepted") / F.col("flat"), 1)).withColumn("nav_groups", F.lit(1))
+
+
 def quality_warnings(s, d):
-    m = quality.root_topology(items(s, d)).withColumn("flat", F.col("root_children")).withColumn("tree_nodes", F.col("root_children"))
-    return quality.warnings(m, ["site_id"]).select("site_id", "code", "severity")
+    return quality.warnings(_site_metrics(s, d), ["site_id"]).select("site_id", "code", "severity")
 
 
 def stream_saturation(s, d):
