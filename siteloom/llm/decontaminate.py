@@ -190,7 +190,7 @@ class Index:
         return terms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1)))).withColumn("bucket", F.col("shard") * self.each + self.home()).drop("shard")
 
     def asked(self, queries: DataFrame, answer, schema: str, *salt: Column) -> DataFrame:
-        """answer(Bucket, batch) for the queries (with a column `bucket`) of each bucket that there is; they stream past it, in one task or, by salt, in several."""
+        """answer(Bucket, batch) for the queries (with a column `bucket`) of each bucket that there is; they stream past it, in one task or, by salt, in several. Those of bucket -1 are passed on."""
         uri, there = self.uri, self.buckets
 
         def rows(batches):
@@ -198,8 +198,9 @@ class Index:
                 t = pa.Table.from_batches([b])
                 number = t.column("bucket").to_numpy()
                 for k in np.unique(number):
-                    if int(k) in there:
-                        yield from answer(Bucket(uri, int(k)), t.filter(pa.array(number == k))).to_batches()
+                    if int(k) in there or k < 0:
+                        own = t.filter(pa.array(number == k))
+                        yield from (own if k < 0 else answer(Bucket(uri, int(k)), own)).to_batches()
 
         return queries.repartition("bucket", *salt).mapInArrow(trimmed(rows), schema)
 
@@ -238,9 +239,10 @@ class Index:
         return self.asked(plain.unionByName(spread), fetch, "term long, segment long, at array<long>")
 
     def met(self, places: DataFrame, term: Column, offset: Column, span: int | None) -> DataFrame:
-        """places (segment, at, exact and more) which have the term at `at` + offset, or within span words; exact: as before, and at `at` + offset."""
+        """places (segment, at, exact and more) which have the term at `at` + offset, or within span words; exact: as before, and at `at` + offset. Without a term they stay."""
         own = places.withColumn("term", term).withColumn("offset", offset)
-        own = own.withColumn("bucket", F.explode(F.array_distinct(F.array(self.shard() + self.home(), self.shard() + self.away()))))  # a list is in one of the two
+        either = F.array_distinct(F.array(self.shard() + self.home(), self.shard() + self.away()))  # a list is in one of the two
+        own = own.withColumn("bucket", F.explode(F.when(F.col("term").isNull(), F.array(F.lit(-1))).otherwise(either)))
 
         def look(bucket, t):
             lists = bucket.list_of(t.column("term").to_numpy().view(np.uint64), t.column("segment").to_numpy())
@@ -248,7 +250,8 @@ class Index:
             here = bucket.has(lists, at + offset_, at + offset_)
             kept = here & t.column("exact").to_numpy(zero_copy_only=False) if span is None else bucket.has(lists, at - span, at + span)
             exact = pa.array(here & t.column("exact").to_numpy(zero_copy_only=False))
-            return t.set_column(t.column_names.index("exact"), "exact", exact).filter(pa.array(kept))
+            k = t.schema.get_field_index("exact")
+            return t.set_column(k, t.schema.field(k), exact).filter(pa.array(kept))
 
         return self.asked(own, look, _ddl(own), F.pmod(F.xxhash64("segment"), F.lit(SALT))).drop("term", "offset", "bucket")
 
@@ -275,7 +278,7 @@ def phrases_of(items: DataFrame, stage: Stage, window: int = WINDOW, item_col: s
     each = words.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(words) - {window})), i -> slice(words, i + 1, {window}))")).alias("terms"))
     each = stage.put(each.distinct(), "windows")
     phrases = stage.put(each.select("terms").distinct().withColumn("p", F.monotonically_increasing_id()), "phrases")
-    return phrases, stage.put(each.join(phrases, "terms").select("p", "item_id"), "members")
+    return phrases, each.join(phrases, "terms").select("p", "item_id")
 
 
 def search(index: Index, phrases: DataFrame, stage: Stage, span: int | None = None) -> DataFrame:
@@ -283,23 +286,18 @@ def search(index: Index, phrases: DataFrame, stage: Stage, span: int | None = No
     if span is not None and span >= GAP:
         raise ValueError(f"the span has to be below {GAP}")
     term = F.posexplode("terms").alias("offset", "term")
-    vocabulary = stage.put(phrases.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-    known = phrases.select("p", term).join(stage.put(index.frequencies(vocabulary), "frequencies"), "term")
+    vocabulary = phrases.select(F.explode("terms").alias("term")).distinct()
+    known = phrases.select("p", term).join(index.frequencies(vocabulary), "term")
     ordered = known.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("o"))
     ordered = ordered.join(phrases.select("p", F.size("terms").alias("length")), "p").filter("size(o) = length").select("p", "length", F.expr("transform(o, x -> x.term)").alias("terms"), F.expr("transform(o, x -> x.offset - o[0].offset)").alias("offsets"), F.expr("o[0].offset").alias("rarest"))
     ordered = stage.put(ordered, "ordered")
-    lists = stage.put(index.postings(ordered.select(F.col("terms")[0].alias("term")).distinct()), "lists")
+    lists = index.postings(ordered.select(F.col("terms")[0].alias("term")).distinct())
     places = lists.join(ordered.withColumn("term", F.col("terms")[0]), "term").select("segment", F.explode("at").alias("at"), "p", "length", "terms", "offsets", "rarest", F.lit(True).alias("exact"))
-    done = places.filter("length = 1")
     for k in (1, 2):  # by themselves: they leave next to nothing but matches
-        more = index.met(places.filter(f"length > {k}"), F.col("terms")[k], F.col("offsets")[k], span)
-        done, places = done.unionByName(more.filter(f"length = {k + 1}")), more
-    rest = stage.put(places.filter("length > 3"), "places")
-    rest = rest.select("segment", "at", "p", "length", "rarest", "exact", F.explode(F.expr("slice(arrays_zip(terms, offsets), 4, length)")).alias("x"))
-    rest = index.met(rest, F.col("x.terms"), F.col("x.offsets"), span).groupBy("segment", "at", "p", "length", "rarest").agg(F.count(F.lit(1)).alias("n"), F.min("exact").alias("exact")).filter("n = length - 3")
-    kept = ["segment", "at", "p", "length", "rarest", "exact"]
-    found = done.select(kept).unionByName(rest.select(kept))
-    found = stage.put(found, "found")
+        places = index.met(places, F.get("terms", F.lit(k)), F.get("offsets", F.lit(k)), span)
+    rest = places.select("segment", "at", "p", "length", "rarest", "exact", F.explode_outer(F.expr("slice(arrays_zip(terms, offsets), 4, length)")).alias("x"))
+    rest = index.met(rest, F.col("x.terms"), F.col("x.offsets"), span).groupBy("segment", "at", "p", "length", "rarest").agg(F.count(F.lit(1)).alias("n"), F.min("exact").alias("exact"))
+    found = stage.put(rest.filter("n = greatest(length - 3, 1)"), "found")
     here = found.filter("exact").select("segment", "p", (F.col("at") - F.col("rarest")).alias("start"), F.col("length").cast("long").alias("length"))
     if span is not None:
         here = here.unionByName(found.select("segment", "p", F.col("at").alias("start"), F.lit(0).cast("long").alias("length")))
@@ -367,7 +365,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         hit = hit.join(near, place, "full_outer")
     else:
         hit = hit.withColumn("n_near", F.lit(0))
-    hit = stage.put(hit, "summary")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     ids_ = F.coalesce("ids", F.array().cast("array<string>"))
     return index.documents.join(hit, place, "left").select(
