@@ -28,7 +28,7 @@ by_value(__name__)
 #: Words of a phrase, and words within which a proximity match has all of them, before or after the rarest.
 WINDOW, SPAN = 13, 20
 #: Bytes of text in a segment and, about, in a bucket; buckets of a shard; postings of a term in a segment from which its list is spread.
-SEGMENT_BYTES, BUCKET_BYTES, BUCKETS, FREQUENT = 2 << 20, 8 << 20, 4096, 1024
+SEGMENT_BYTES, BUCKET_BYTES, BUCKETS, FREQUENT = 2 << 20, 16 << 20, 2048, 1024
 #: Positions are words in a segment, with so many left out between documents: no phrase or span reaches from one into the next.
 GAP = 64
 #: Tasks over which places that ask the same bucket are spread.
