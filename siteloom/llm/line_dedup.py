@@ -7,10 +7,16 @@ dealt out, and texts only for candidate pairs and for lines that share a segment
 
 With `grow` the threshold follows the length: one edit from 5 characters, two from 20, and a tenth of the shorter line where
 about its first or its last third is the same in both. These thirds are keys of their own, cut to a few lengths.
+
+Groups of near copies are not written out as pairs. Of many lines that share a third, those within a 21st of a center's
+length from it are a core: any two of them are linked, by the triangle inequality. A line is in four cores at most, so the
+lines that it shares one with are counted by inclusion and exclusion. Pairs are made and verified for what shares none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,9 @@ EDITS, LEAST = 2, 20
 SHORT, PART = 5, 10
 #: Lines that share a segment from which they are verified as they meet; keys that are sent to every executor, 16 MB of longs.
 LARGE, SEND = 4, 2_000_000
+#: Lines that share a third from which cores are looked for, how often among what is left, and the part of the center's length
+#: that a core's lines may differ from it in: twice that is no more than a PART of the shortest one's.
+CROWD, ROUNDS, RADIUS = 16, 3, 2 * PART + 1
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -40,15 +49,18 @@ def entries(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keyed(lines: DataFrame, edits: int, least: int, probe: bool, below: int | None = None) -> DataFrame:
-    """key, id, line, n, shorter for the segments that a line files, or for the substrings that it looks up. The shorter line has from `least` to under `below` characters."""
-    wanted = entries(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
+def keyed(lines: DataFrame, edits: int, least: int, probe: bool, below: int | None = None, middle: bool = False) -> DataFrame:
+    """key, id, line, n, cores, shorter for the segments that a line files, or for the substrings that it looks up. The shorter line has from `least` to under `below` characters.
+
+    middle: of two edits the segment between them alone, for lines that share neither third: there one edit lies in either.
+    """
+    wanted = [x for x in (entries(edits) if probe else [(0, i, 0) for i in range(edits + 1)]) if not middle or x[1] == 1]
     each = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in wanted)
-    df = lines.select("id", "line", "n", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
+    df = lines.select("id", "line", "n", "cores", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
     parts = edits + 1
     place, long = f"cast(m * e.i div {parts} + e.s as int)", f"cast(m * (e.i + 1) div {parts} - m * e.i div {parts} as int)"
     df = df.filter(f"m >= {least}{f' and m < {below}' if below else ''} and {place} >= 0 and {place} + {long} <= n")
-    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", "n", F.expr("cast(e.d as byte)").alias("shorter"))
+    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", "n", "cores", F.expr("cast(e.d as byte)").alias("shorter"))
 
 
 def third(m: str) -> str:
@@ -62,8 +74,56 @@ def ends_keyed(lines: DataFrame, probe: bool) -> DataFrame:
     wide = lines.filter(F.col("n") >= PART * (EDITS + 1))
     sizes = f"array_distinct(transform(sequence(0, 4), j -> {third(f'(n - (n div {PART}) * j div 4)')}))" if probe else f"array({third('n')})"
     ends = "array(named_struct('e', 0, 't', left(line, a)), named_struct('e', 1, 't', right(line, a)))"
-    df = wide.select("id", "line", "n", F.explode(F.expr(sizes)).alias("a")).select("id", "line", "n", "a", F.explode(F.expr(ends)).alias("e"))
-    return df.select(F.expr("xxhash64('end', a, e.e, e.t)").alias("key"), "id", "line", "n", F.lit(None).cast("byte").alias("shorter"))
+    df = wide.select("id", "line", "n", "cores", F.explode(F.expr(sizes)).alias("a")).select("id", "line", "n", "cores", "a", F.explode(F.expr(ends)).alias("e"))
+    return df.select(F.expr("xxhash64('end', a, e.e, e.t)").alias("key"), "id", "line", "n", "cores", F.lit(None).cast("byte").alias("shorter"))
+
+
+def core_keys(lines: DataFrame) -> DataFrame:
+    """lines that may differ in more than EDITS, with a key for each third at either end, in two sets of length bands whose borders lie apart.
+
+    Lines with a key in common have the same characters there over a third of the longest line that the band takes.
+    """
+    power = lambda x: f"cast(shiftleft(1L, greatest(0, length(bin({x})) - 3)) as int)"
+    wide = lines.filter(F.col("n") >= PART * (EDITS + 1)).withColumn("s", F.expr(f"array({power('n')}, {power('n * 16 div 15')})"))
+    bands = "array(named_struct('lo', n div s[0] * s[0], 's', s[0]), named_struct('lo', (n + s[1] div 2) div s[1] * s[1] - s[1] div 2, 's', s[1]))"
+    df = wide.select(*lines.columns, F.posexplode(F.expr(bands)).alias("band", "b")).withColumn("a", F.expr(third("(b.lo + b.s - 1)")))
+    df = df.select(*lines.columns, "band", "b", "a", F.explode(F.expr("array(named_struct('e', 0, 't', left(line, a)), named_struct('e', 1, 't', right(line, a)))")).alias("e"))
+    return df.select(F.expr("xxhash64('core', band, b.lo, a, e.e, e.t)").alias("key"), *lines.columns)
+
+
+def cores_of(classes: DataFrame, stage: Stage) -> DataFrame | None:
+    """id, first, cores: the cores of each line that is in any; None where no lines crowd. Any two lines of a core are linked."""
+    lines = core_keys(classes)
+    crowded = stage.put(lines.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= CROWD).select("key"), "crowded")
+    if not (n := crowded.limit(SEND + 1).count()):
+        return None
+    rest = stage.put(lines.join(F.broadcast(crowded) if n <= SEND else crowded, "key"), "crowd", compression="zstd")
+    found = []
+    for _ in range(ROUNDS):
+        # the line with most copies is most often what the others were made from
+        center = rest.groupBy("key").agg(F.max(F.struct("copies", "id")).alias("c"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= CROWD).select("key", F.col("c.id").alias("id"))
+        center = stage.put(rest.join(center, ["key", "id"]).select("key", F.col("id").alias("c_id"), F.col("line").alias("c_line"), F.col("n").alias("c_n")), "centers", compression="zstd")
+        if center.head() is None:
+            break
+        near = F.expr(f"abs(n - c_n) <= c_n div {RADIUS} and levenshtein(line, c_line, c_n div {RADIUS}) >= 0")
+        found.append(stage.put(rest.join(center, "key").filter(near).select("key", "id", "first", F.xxhash64("key", "c_id").alias("core")), "core"))
+        before, rest = rest, stage.put(rest.join(found[-1], ["key", "id"], "left_anti"), "crowd", compression="zstd")
+        stage.drop(before, center)
+    if not found:
+        return None
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return stage.put(every.groupBy("id").agg(F.min("first").alias("first"), F.array_sort(F.collect_set("core")).alias("cores")), "cores")
+
+
+def core_links(cores: DataFrame) -> DataFrame:
+    """id, n_links, earlier: to how many lines that share a core with it a line is linked, and whether one of them comes earlier."""
+    some = "explode(transform(sequence(1, cast(shiftleft(1, size(cores)) - 1 as int)), b -> named_struct('of', filter(cores, (c, i) -> shiftright(b, i) % 2 = 1), 'sign', if(bit_count(b) % 2 = 1, 1, -1))))"
+    sets = cores.select("id", "first", F.expr(some).alias("x")).select("id", "first", F.xxhash64("x.of").alias("set"), "x.sign")
+    counted = sets.groupBy("set").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("least"))
+    out = sets.join(counted, "set").groupBy("id").agg((F.sum(F.col("sign") * F.col("k")) - 1).alias("n_links"), F.max(F.col("least") < F.col("first")).alias("earlier"))
+    return out.filter("n_links > 0")
 
 
 def place_of(doc: str, line: str):
@@ -132,6 +192,15 @@ def within_part(a: str, b: str) -> str:
     return f"size(filter({left}, z -> levenshtein(z.x, z.y, z.k) >= 0)) > 0"
 
 
+def within_few(a: str, b: str) -> str:
+    """SQL for whether a (as long or longer) and b are 1 edit apart, or 2 where both are long enough, whatever they share."""
+    led = f"transform(array(named_struct('a', {a}, 'b', {b}, 'm', length({b}))), z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', {common('z.a', 'z.b', 'z.m', False)}))"
+    both = f"transform({led}, z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', z.lead, 'tail', {common('z.a', 'z.b', '(z.m - z.lead)', True)}))"
+    left = f"transform({both}, z -> named_struct('x', substring(z.a, z.lead + 1, length(z.a) - z.lead - z.tail), 'y', substring(z.b, z.lead + 1, z.m - z.lead - z.tail), 'k', if(z.m < {LEAST}, 1, {EDITS})))"
+    left = f"filter({left}, z -> length(z.x) < 3 or contains(z.y, substring(z.x, 3, length(z.x) - 4)))"
+    return f"size(filter({left}, z -> levenshtein(z.x, z.y, z.k) >= 0)) > 0"
+
+
 def verified(pairs: DataFrame, edits: int, grow: bool = False) -> DataFrame:
     """Of pairs with the lines a (as long or longer) and b, those within the threshold."""
     return pairs.filter(F.expr(within_part("a", "b") if grow else within("a", "b", edits)))
@@ -145,40 +214,75 @@ def line_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grow: the threshold follows the length instead; `edits` and `least` are then not looked at.
     """
     stage = Stage(docs.sparkSession, "line-dedup")
+    classes = classes_of(docs, id_col, text_col, stage)
+    return classes, pair_links(classes, None, stage, edits, least, grow)
+
+
+def counted_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """line_links() with `grow`, as classes, cores (cores_of) and the links between lines that share no core."""
+    stage = Stage(docs.sparkSession, "line-dedup")
+    classes = classes_of(docs, id_col, text_col, stage)
+    cores = cores_of(classes, stage)
+    return classes, cores, pair_links(classes, cores, stage, grow=True)
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, stage: Stage) -> DataFrame:
+    """The classes of line_links()."""
     own = lines_of(docs, id_col, text_col).withColumn("place", place_of("doc_id", "line_no")).groupBy("line").agg(F.count(F.lit(1)).alias("copies"), F.min("place").alias("first"))
-    classes = stage.put(own.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"), "copies", "first"), "classes", compression="zstd")
+    return stage.put(own.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"), "copies", "first"), "classes", compression="zstd")
+
+
+def pair_links(classes: DataFrame, cores: DataFrame | None, stage: Stage, edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
+    """The links of line_links() as pairs, without those of lines that share a core."""
+    lines = classes.select("id", "line", "n")
+    if cores is None:
+        lines = lines.withColumn("cores", F.lit(None).cast("array<bigint>"))
+    elif cores.limit(SEND // 10 + 1).count() <= SEND // 10:
+        lines = lines.join(F.broadcast(cores.select("id", "cores")), "id", "left")
+    else:
+        lines = stage.put(lines.join(cores.select("id", "cores"), "id", "left"), "lines", compression="zstd")
     if grow:
-        filed, asked = (keyed(classes.filter(F.col("n") >= LEAST), EDITS, LEAST, x).unionByName(keyed(classes.filter(f"n between {SHORT} and {LEAST}"), 1, SHORT, x, LEAST)).unionByName(ends_keyed(classes, x)) for x in (False, True))
+        wide = PART * (EDITS + 1)
+        parts = lambda x: (keyed(lines.filter(f"n between {SHORT} and {LEAST}"), 1, SHORT, x, LEAST), keyed(lines.filter(f"n between {LEAST} and {wide + 1}"), EDITS, LEAST, x, wide), keyed(lines.filter(F.col("n") >= wide), EDITS, wide, x, middle=True), ends_keyed(lines, x))
+        filed, asked = (reduce(DataFrame.unionByName, parts(x)) for x in (False, True))
     else:
-        long = classes.filter(F.col("n") >= least)
+        long = lines.filter(F.col("n") >= least)
         filed, asked = keyed(long, edits, least, False), keyed(long, edits, least, True)
 
     # Where many lines share a segment, they take their text along and are verified as they meet: pairs that fail are never
     # made. Elsewhere hashes go alone, and texts are fetched for the few pairs that met.
     large = stage.put(filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LARGE).select("key", F.lit(True).alias("large")), "large")
     large = F.broadcast(large) if large.limit(SEND + 1).count() <= SEND else large
-    filed, asked = (df.join(large, "key", "left").withColumn("own", F.when(F.col("large"), F.col("line"))) for df in (filed, asked))
-    filed = filed.select("key", F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("own").alias("v_line"))
-    asked = asked.select("key", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("own").alias("u_line"), "shorter")
-    near = F.expr(f"u_line is null or {within_part('u_line', 'v_line') if grow else within('u_line', 'v_line', edits)}")
+    filed, asked = (df.join(large, "key", "left").withColumn("own", F.when(F.col("large"), F.struct("line", "cores"))) for df in (filed, asked))
+    filed = filed.select("key", F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("own").alias("v_own"))
+    asked = asked.select("key", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("own").alias("u_own"), "shorter")
+    # Lines that share a third meet by it, so that those who share a segment need not be held against the wider threshold.
+    near = f"if(shorter is null, {within_part('u_own.line', 'v_own.line')}, {within_few('u_own.line', 'v_own.line')})" if grow else within("u_own.line", "v_own.line", edits)
+    near = F.expr(f"u_own is null or not coalesce(arrays_overlap(u_own.cores, v_own.cores), false) and {near}")
     lengths = F.expr(f"u <> v and (u_n > v_n or u_n = v_n and u > v) and u_n - v_n <= coalesce(shorter, v_n div {PART})")
-    met = filed.join(asked, (filed.key == asked.key) & lengths & near).select("u", "v").distinct()
+    met = filed.join(asked, (filed.key == asked.key) & lengths & near).groupBy("u", "v").agg(F.max(F.col("u_own").isNotNull()).alias("sure"))
     met = stage.put(met, "met")
-    wanted = stage.put(met.select(F.col("u").alias("id")).unionByName(met.select(F.col("v").alias("id"))).distinct(), "wanted")
+    sure, open_ = met.filter("sure").select("u", "v"), met.filter("not sure")
+    wanted = stage.put(open_.select(F.col("u").alias("id")).unionByName(open_.select(F.col("v").alias("id"))).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.limit(SEND + 1).count() <= SEND else wanted
-    texts = stage.put(classes.join(wanted, "id", "left_semi").select("id", "line"), "texts", compression="zstd")
-    text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name))
-    links = verified(met.join(text("a", "u"), "u").join(text("b", "v"), "v"), edits, grow).select("u", "v")
-    return classes, stage.put(links, "links")
+    texts = stage.put(lines.join(wanted, "id", "left_semi").select("id", "line", "cores"), "texts", compression="zstd")
+    text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name), F.col("cores").alias(f"{name}_cores"))
+    both = open_.join(text("a", "u"), "u").join(text("b", "v"), "v").filter("not coalesce(arrays_overlap(a_cores, b_cores), false)")
+    return stage.put(sure.unionByName(verified(both, edits, grow).select("u", "v")), "links")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, edits: int, least: int, grow: bool, *keys: str) -> DataFrame:
     """doc_id (and own_key, a hash of id and text, if in keys), n_lines, n_links, n_dropped, dropped of documents, or rows, that have lines."""
-    classes, links = line_links(docs, id_col, text_col, edits, least, grow)
+    if grow:
+        classes, cores, links = counted_links(docs, id_col, text_col)
+    else:
+        (classes, links), cores = line_links(docs, id_col, text_col, edits, least), None
     first = classes.select("id", "first")
     both = links.join(first.toDF("u", "u_first"), "u").join(first.toDF("v", "v_first"), "v")
-    ends = both.select(F.col("u").alias("id"), (F.col("v_first") < F.col("u_first")).alias("earlier")).unionByName(both.select(F.col("v").alias("id"), (F.col("u_first") < F.col("v_first")).alias("earlier")))
+    ends = both.select(F.explode(F.expr("array(struct(u as id, v_first < u_first as earlier), struct(v as id, u_first < v_first as earlier))")).alias("e")).select("e.id", "e.earlier")
     linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("earlier").alias("earlier"))
+    if cores is not None:
+        linked = linked.unionByName(core_links(cores)).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
     kinds = Stage(docs.sparkSession, "line-dedup").put(classes.select("id", "copies", "first").join(linked, "id", "left").filter("copies > 1 or n_links is not null").drop("copies"), "kinds")
     own = fresh_name(docs, "own_key")
     rows = lines_of(docs.withColumn(own, row_key(id_col, text_col)), id_col, text_col, own).select("doc_id", F.col(own).alias("own_key"), "line_no", F.xxhash64("line").alias("id"))

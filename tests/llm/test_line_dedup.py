@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from siteloom.llm.line_dedup import EDITS, LEAST, banded_distance, drop_repeated_lines, line_links, repeated_lines, verified
+from siteloom.llm.line_dedup import EDITS, LEAST, banded_distance, counted_links, drop_repeated_lines, line_links, repeated_lines, verified
 
 from .helpers import documents, odd_texts, prose
 
@@ -130,6 +131,34 @@ def test_threshold_grows_with_the_length(spark):
     assert any(distance(*p) > 5 for p in want) and any(max(map(len, p)) < 20 for p in want)
 
 
+def test_near_copies_are_counted_without_their_pairs(spark):
+    r = random.Random(5)
+    texts = []
+    for base, many in ((prose(1, 45), 60), (prose(2, 40) + " " + prose(1, 5), 30), (prose(3, 60)[: 512 - 8], 40)):
+        texts += [base, base]
+        for _ in range(many):  # about a border between length classes, some with edits at both ends, in one third or the middle
+            a = base if r.random() < 0.7 else r.choice(texts)
+            k, at = r.randrange(1, 10), r.choice([0, len(a) // 3, len(a) // 2, 2 * len(a) // 3])
+            texts.append(a[:at] + edited(r, a[at : at + len(a) // 4], k) + a[at + len(a) // 4 :] + r.choice(["", "", " and more"]))
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(x, i)
+    links = {x: set() for x in first}
+    for a, b in combinations(first, 2):
+        if linked(a, b):
+            links[a].add(b)
+            links[b].add(a)
+    docs = documents(spark, texts)
+    classes, cores, pairs = counted_links(docs)
+    every, n = line_links(docs, grow=True)[1], sum(map(len, links.values())) // 2
+    assert every.count() == n > 1000 and pairs.count() < n / 2
+    in_cores = {x.id: set(x.cores) for x in cores.collect()}
+    shared = [(x.u, x.v) for x in every.collect() if in_cores.get(x.u, set()) & in_cores.get(x.v, set())]
+    assert len(shared) + pairs.count() == n and max(map(len, in_cores.values())) > 2
+    got = {x.doc_id: (x.n_links, x.n_dropped) for x in repeated_lines(docs, grow=True).collect()}
+    assert got == {i: (len(links[x]), int(first[x] < i or any(first[y] < first[x] for y in links[x]))) for i, x in enumerate(texts)}
+
+
 def test_query_links_exchanged_words_and_short_lines(spark, tmp_path):
     from siteloom.llm.queries import op2_line_dedup
 
