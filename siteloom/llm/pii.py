@@ -2,7 +2,7 @@
 
 Generators of high recall propose spans: the four base formats, and wider ones (addresses written out with "at" and "dot",
 any longer run of digits and separators, and the same from where a number begins). Boosted trees score each wide candidate by its format and the words before it.
-They are trained on a bounded sample with labels from two sources: base matches of the corpus, rewritten into forms that only
+They are trained on all labelled candidates, with labels from two sources: base matches of the corpus, rewritten into forms that only
 the wide generators propose, beside decoys of the same shape; and wide candidates of the corpus, labelled by what evidence
 there is: words before it that say what it is, and a format or check digits that fit. A threshold for each kind, calibrated
 on held-out candidates, decides which are redacted beside the base matches that pass their checks. The texts are read once:
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -44,8 +45,8 @@ EVIDENCE = (r"\be?-?mail|\b(?:contact|write|reach)", r"\b(?:tel|phone|call|fax|m
 #: Runs of digits that are no number to call: dates, and four or more numbers with dots between.
 _DATE = r"^\(?(?:(?:19|20)[0-9]{2}([-./ ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./ ])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![0-9])"
 _DOTTED = r"^[0-9]+(?:\.[0-9]+){3,}$"
-#: Candidates to learn from, the precision asked of the threshold, and the shape of the model.
-SAMPLE_CANDIDATES, PRECISION, TREES, DEPTH = 20_000, 0.95, 12, 3
+#: What the candidates learned from weigh together at most, the precision asked of the threshold, and the shape of the model.
+CANDIDATE_WEIGHT, PRECISION, TREES, DEPTH = 20_000, 0.95, 12, 3
 _BLOCK = 256
 
 
@@ -190,13 +191,14 @@ def rewritten(found: DataFrame) -> DataFrame:
     return right.unionByName(df.select("doc_id", F.expr(one.format(pick(decoys), "''")).alias("c"), F.lit(0.0).alias("label")))
 
 
-def train(found: DataFrame, stage: Stage, rows: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> tuple[str, dict[str, float | None]]:
+def train(found: DataFrame, stage: Stage, rows: int = CANDIDATE_WEIGHT, precision: float = PRECISION) -> tuple[str, dict[str, float | None]]:
     """SQL for a candidate's probability (of a struct c with features f), and for each kind the threshold; None where full evidence has to decide.
 
     Labels are those of rewritten(), and of the corpus's own wide candidates: with words and format, or words and check
     digits, they are personal data; with neither, or where the words before them call them something else, they are not; the
-    rest is left out. Up to half of `rows` are taken of either label. Half of the sample trains, half sets the thresholds at
-    `precision`, each label of the corpus weighed as it occurs. Where a half lacks a label there is nothing to learn.
+    rest is left out. All labelled candidates count, alike ones as one row with their number. Half of them, by hash, trains,
+    with `rows` // 4 as the most that all of one label and source weigh; the other half sets the thresholds at `precision`, each
+    as often as it occurs. Where a half lacks a label there is nothing to learn.
     """
     kinds = ("email", "card", "phone")
     certain = "c.f[0] / 2"
@@ -204,22 +206,25 @@ def train(found: DataFrame, stage: Stage, rows: int = SAMPLE_CANDIDATES, precisi
     label = f"case when {sure} = 2 then 1D when {sure} = 0 or {other} then 0D end"
     each = found.select("doc_id", F.explode("wide").alias("c")).select("doc_id", "c", F.expr(label).alias("label"), F.lit(True).alias("own")).filter("label is not null")
     each = each.unionByName(rewritten(found).withColumn("own", F.lit(False)))
-    every = stage.put(each.select(F.expr(feature_list("c")).alias("f"), "label", "own", F.expr(kind_of("c")).alias("kind"), F.xxhash64("doc_id", "c.start", "c.end", "c.text").alias("h")), "labelled")
-    n = {(r.label, r.own): r.n for r in every.groupBy("label", "own").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = F.expr("pmod(xxhash64(doc_id, c.start, c.end, c.text), 2)").alias("half")
+    every = each.select(F.expr(feature_list("c")).alias("f"), "label", "own", F.expr(kind_of("c")).alias("kind"), half)
+    every = stage.put(every.groupBy("f", "label", "own", "kind", "half").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    n = {(r.label, r.own): r.n for r in every.groupBy("label", "own").agg(F.sum("n").alias("n")).collect()}
     if len({v for v, _ in n}) < 2:
         return certain, dict.fromkeys(kinds)
-    one = lambda v, own: every.filter((F.col("label") == v) & (F.col("own") == own)).orderBy("h", "f").limit(rows // 4)
-    sample = stage.put(one(1.0, True).unionByName(one(0.0, True)).unionByName(one(1.0, False)).unionByName(one(0.0, False)), "sample")
-    learn = sample.filter("h % 2 = 0").select(array_to_vector("f").alias("features"), "label")
+    share = F.lit(1.0)
+    for (v, own), k in n.items():
+        share = F.when((F.col("label") == v) & (F.col("own") == own), min(1.0, rows // 4 / k)).otherwise(share)
+    learn = every.filter("half = 0").groupBy("f", "label").agg(F.sum(F.col("n") * share).alias("w"))
+    learn = stage.put(learn.select(array_to_vector("f").alias("features"), "label", "w"), "learn")
+    alike = learn.count()
     if learn.agg(F.countDistinct("label")).head()[0] < 2:
         return certain, dict.fromkeys(kinds)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(learn.coalesce(2))
+    bins = 32 if alike <= 10_000 else isqrt(alike) + 1  # MLlib looks for splits in all rows where they are no more than the square of the bins, or 10,000
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False, weightCol="w", maxBins=bins).fit(learn)
     score = probability(trees_to_sql(model.toDebugString, "c.f"))
-    weight = F.lit(1.0)
-    for (v, own), k in n.items():
-        weight = F.when((F.col("label") == v) & (F.col("own") == own), max(1.0, k / (rows // 4)) if own else 1.0).otherwise(weight)
-    tested = sample.filter("h % 2 <> 0").select("kind", F.expr(score.replace("c.f", "f")).alias("p"), (F.col("label") * weight).alias("yes"), weight.alias("w"))
-    tested = tested.groupBy("kind", "p").agg(F.sum("yes").alias("yes"), F.sum("w").alias("w")).orderBy("kind", F.desc("p")).collect()  # as many rows as leaves can make
+    tested = every.filter("half = 1").select("kind", F.expr(score.replace("c.f", "f")).alias("p"), (F.col("label") * F.col("n")).alias("yes"), "n")
+    tested = tested.groupBy("kind", "p").agg(F.sum("yes").alias("yes"), F.sum("n").alias("w")).orderBy("kind", F.desc("p")).collect()  # as many rows as leaves can make
     thresholds: dict[str, float | None] = dict.fromkeys(kinds)
     for kind in kinds:
         right = every_ = 0.0

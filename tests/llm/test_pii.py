@@ -123,3 +123,14 @@ def test_wide_forms_of_base_matches_are_learned(spark):
     false = [got[len(base) + len(wide) + i] != "" for i in range(len(decoys))]
     assert sum(hit) >= 0.9 * len(hit), [(wide[i], got[len(base) + i]) for i, h in enumerate(hit) if not h][:5]
     assert sum(hit) / (sum(hit) + sum(false)) >= 0.95, [(decoys[i], got[len(base) + len(wide) + i]) for i, h in enumerate(false) if h][:5]
+
+
+def test_all_labelled_candidates_are_learned_from(spark):
+    """What counts are given is not cut at `rows`: a rare kind of candidate reaches the thresholds however many others there are."""
+    docs = documents(spark, [t for t, _ in planted(60)])
+    stage = Stage(spark, "pii")
+    train(candidates(docs, "doc_id", "text"), stage, rows=8)
+    [learned] = [p for p in stage.paths.values() if p.endswith("-labelled")]
+    every = spark.read.parquet(learned)
+    assert every.agg({"n": "sum"}).head()[0] > 8 and every.count() == every.dropDuplicates(["f", "label", "own", "kind", "half"]).count()
+    assert train(candidates(docs, "doc_id", "text"), stage, rows=8)[1]["phone"] is not None
