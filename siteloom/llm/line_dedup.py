@@ -8,13 +8,15 @@ dealt out, and texts only for candidate pairs and for lines that share a segment
 With `grow` the threshold follows the length: one edit from 5 characters, two from 20, and a tenth of the shorter line where
 about its first or its last third is the same in both. These thirds are keys of their own, cut to a few lengths.
 
-Groups of near copies are not written out as pairs. Of many lines that share a third, those within a 21st of a center's
-length from it are a core: any two of them are linked, by the triangle inequality. A line is in four cores at most, so the
-lines that it shares one with are counted by inclusion and exclusion. Pairs are made and verified for what shares none.
+Groups of near copies are not written out as pairs. Of many lines that share a third, the one with most copies is the center
+of a star, and each line of a star knows its distance from the center. Two of them whose distances add up to no more than
+either's threshold are linked, by the triangle inequality. A line is in one star at most, so such links are counted from how
+many lines a star has at each distance. Pairs are verified and written for what is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ LARGE, SEND = 4, 2_000_000
 #: Lines that share a third from which cores are looked for, how often among what is left, and the part of the center's length
 #: that a core's lines may differ from it in: twice that is no more than a PART of the shortest one's.
 CROWD, ROUNDS, RADIUS = 16, 3, 2 * PART + 1
+#: Steps in which distances from a star's center are told apart, up to the threshold of its length; at most twice as many.
+STEPS = 32
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -50,17 +54,17 @@ def entries(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keyed(lines: DataFrame, edits: int, least: int, probe: bool, below: int | None = None, middle: bool = False) -> DataFrame:
-    """key, id, line, n, cores, shorter for the segments that a line files, or for the substrings that it looks up. The shorter line has from `least` to under `below` characters.
+    """key, id, line, n, spot, shorter for the segments that a line files, or for the substrings that it looks up. The shorter line has from `least` to under `below` characters.
 
     middle: of two edits the segment between them alone, for lines that share neither third: there one edit lies in either.
     """
     wanted = [x for x in (entries(edits) if probe else [(0, i, 0) for i in range(edits + 1)]) if not middle or x[1] == 1]
     each = ", ".join(f"named_struct('d', {d}, 'i', {i}, 's', {s})" for d, i, s in wanted)
-    df = lines.select("id", "line", "n", "cores", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
+    df = lines.select("id", "line", "n", "spot", F.explode(F.expr(f"array({each})")).alias("e")).withColumn("m", F.expr("cast(n - e.d as int)"))
     parts = edits + 1
     place, long = f"cast(m * e.i div {parts} + e.s as int)", f"cast(m * (e.i + 1) div {parts} - m * e.i div {parts} as int)"
     df = df.filter(f"m >= {least}{f' and m < {below}' if below else ''} and {place} >= 0 and {place} + {long} <= n")
-    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", "n", "cores", F.expr("cast(e.d as byte)").alias("shorter"))
+    return df.select(F.expr(f"xxhash64(m, e.i, substring(line, {place} + 1, {long}))").alias("key"), "id", "line", "n", "spot", F.expr("cast(e.d as byte)").alias("shorter"))
 
 
 def third(m: str) -> str:
@@ -70,12 +74,12 @@ def third(m: str) -> str:
 
 
 def ends_keyed(lines: DataFrame, probe: bool) -> DataFrame:
-    """keyed() for the first and the last third of lines that may differ in more than EDITS; `shorter` is null."""
+    """keyed() for the first and the last third of lines that may differ in more than EDITS; `shorter` is -1 for the first, -2 for the last."""
     wide = lines.filter(F.col("n") >= PART * (EDITS + 1))
     sizes = f"array_distinct(transform(sequence(0, 4), j -> {third(f'(n - (n div {PART}) * j div 4)')}))" if probe else f"array({third('n')})"
     ends = "array(named_struct('e', 0, 't', left(line, a)), named_struct('e', 1, 't', right(line, a)))"
-    df = wide.select("id", "line", "n", "cores", F.explode(F.expr(sizes)).alias("a")).select("id", "line", "n", "cores", "a", F.explode(F.expr(ends)).alias("e"))
-    return df.select(F.expr("xxhash64('end', a, e.e, e.t)").alias("key"), "id", "line", "n", "cores", F.lit(None).cast("byte").alias("shorter"))
+    df = wide.select("id", "line", "n", "spot", F.explode(F.expr(sizes)).alias("a")).select("id", "line", "n", "spot", "a", F.explode(F.expr(ends)).alias("e"))
+    return df.select(F.expr("xxhash64('end', a, e.e, e.t)").alias("key"), "id", "line", "n", "spot", F.expr("cast(-1 - e.e as byte)").alias("shorter"))
 
 
 def core_keys(lines: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def core_keys(lines: DataFrame) -> DataFrame:
     bands = "array(named_struct('lo', n div s[0] * s[0], 's', s[0]), named_struct('lo', (n + s[1] div 2) div s[1] * s[1] - s[1] div 2, 's', s[1]))"
     df = wide.select(*lines.columns, F.posexplode(F.expr(bands)).alias("band", "b")).withColumn("a", F.expr(third("(b.lo + b.s - 1)")))
     df = df.select(*lines.columns, "band", "b", "a", F.explode(F.expr("array(named_struct('e', 0, 't', left(line, a)), named_struct('e', 1, 't', right(line, a)))")).alias("e"))
-    return df.select(F.expr("xxhash64('core', band, b.lo, a, e.e, e.t)").alias("key"), *lines.columns)
+    return df.select(F.expr("xxhash64('core', band, b.lo, a, e.e, e.t)").alias("key"), F.expr("shiftleft(1, 2 * band + e.e)").alias("kind"), *lines.columns)
 
 
 def cores_of(classes: DataFrame, stage: Stage) -> DataFrame | None:
@@ -126,6 +130,66 @@ def core_links(cores: DataFrame) -> DataFrame:
     return out.filter("n_links > 0")
 
 
+def stars_of(classes: DataFrame, stage: Stage) -> DataFrame | None:
+    """id, first, star, kinds, far, most for each line that is in a star; None where no lines crowd.
+
+    star: its center's id. kinds: bits for which of the center's thirds it has (core_keys). far, most: its distance from the
+    center and the edits that its length allows, in steps of the star, the first rounded up and the second down.
+    """
+    lines = core_keys(classes)
+    crowded = stage.put(lines.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= CROWD).select("key"), "crowded")
+    if not (n := crowded.limit(SEND + 1).count()):
+        return None
+    rest = stage.put(lines.join(F.broadcast(crowded) if n <= SEND else crowded, "key"), "crowd", compression="zstd")
+    found = []
+    for _ in range(ROUNDS):
+        # the line with most copies is most often what the others were made from
+        center = rest.groupBy("key").agg(F.max(F.struct("copies", "id")).alias("c"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= CROWD).select("key", F.col("c.id").alias("id"))
+        center = stage.put(rest.join(center, ["key", "id"]).select("key", F.col("id").alias("star"), F.col("line").alias("c_line"), F.col("n").alias("c_n")), "centers", compression="zstd")
+        if not (n := center.limit(SEND // 100 + 1).count()):
+            break
+        texts = center.dropDuplicates(["star"]).drop("key")
+        keys, texts = (F.broadcast(x) if n <= SEND // 100 else x for x in (center.select("key", "star"), texts))
+        near = rest.join(keys, "key").groupBy("id", "star").agg(F.sum("kind").cast("int").alias("kinds"), *(F.first(c).alias(c) for c in ("line", "n", "first")))
+        # stored before it is filtered, lest the distance is worked out for each place that refers to it
+        near = stage.put(near.join(texts, "star").select("id", "first", "star", "kinds", "n", "c_n", F.expr(far_from("line", "c_line")).alias("far")), "far").filter("far >= 0")
+        step = f"greatest(1, c_n div {PART * STEPS})"
+        near = stage.put(near.selectExpr("id", "first", "star", "kinds", f"cast((far + {step} - 1) div {step} as int) as far", f"cast(n div {PART} div {step} as int) as most"), "near")
+        # of several centers that of the most lines, so that a group stays together
+        size = near.groupBy("star").agg(F.count(F.lit(1)).alias("size"))
+        found.append(stage.put(near.join(F.broadcast(size) if n <= SEND // 100 else size, "star").groupBy("id").agg(F.max_by(F.struct("first", "star", "kinds", "far", "most"), F.struct("size", "star")).alias("s")).select("id", "s.*"), "star"))
+        before, rest = rest, stage.put(rest.join(found[-1].select("id"), "id", "left_anti"), "crowd", compression="zstd")
+        stage.drop(before, center, near)
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def far_from(a: str, b: str) -> str:
+    """SQL for the edit distance of a and b up to a PART of the shorter one's length, else -1. What both have at either end is cut off first."""
+    led = f"transform(array(named_struct('a', {a}, 'b', {b}, 'm', least(length({a}), length({b})))), z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', {common('z.a', 'z.b', 'z.m', False)}))"
+    both = f"transform({led}, z -> named_struct('a', z.a, 'b', z.b, 'm', z.m, 'lead', z.lead, 'tail', {common('z.a', 'z.b', '(z.m - z.lead)', True)}))"
+    cut = lambda x: f"substring(z.{x}, z.lead + 1, length(z.{x}) - z.lead - z.tail)"
+    return f"transform({both}, z -> if(abs(length(z.a) - length(z.b)) > z.m div {PART}, -1, levenshtein({cut('a')}, {cut('b')}, cast(z.m div {PART} as int))))[0]"
+
+
+def in_star(u: str, v: str) -> str:
+    """SQL for whether the spots u and v are of one star and so near its center that their lines are linked."""
+    return f"coalesce({u}.star = {v}.star and ({u}.kinds & {v}.kinds) <> 0 and {u}.far + {v}.far <= least({u}.most, {v}.most), false)"
+
+
+def star_links(stars: DataFrame) -> DataFrame:
+    """id, n_links, earlier: to how many lines a line is linked by in_star(), and whether one of them comes earlier.
+
+    Lines alike in kinds, far and most are counted together: a star has 15 * 2 STEPS * STEPS / 2 such cells at most, however many its lines.
+    """
+    cell = ["star", "kinds", "far", "most"]
+    cells = stars.groupBy(*cell).agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("least"))
+    add = f"if({in_star('x', 'y')}, named_struct('n', s.n + y.k, 'least', least(s.least, y.least)), s)"
+    each = f"transform(c, x -> struct(x as of, aggregate(c, named_struct('n', 0L, 'least', cast(null as decimal(38, 0))), (s, y) -> {add}) as got))"
+    counted = cells.groupBy("star").agg(F.collect_list(F.struct(*cell, "k", "least")).alias("c")).select(F.explode(F.expr(each)).alias("e")).select(*(f"e.of.{x}" for x in cell), "e.got.*")
+    own = "if(2 * far <= most, 1, 0)"
+    return stars.join(counted, cell).select("id", F.expr(f"n - {own}").alias("n_links"), F.expr("coalesce(least < first, false)").alias("earlier")).filter("n_links > 0")
+
+
 def place_of(doc: str, line: str):
     """The place of a line as one number that sorts as (doc_id, line_no), null first. A number, so that its minimum is taken without a sort."""
     return F.expr(f"cast(coalesce(cast({doc} as decimal(20, 0)) + 9223372036854775809, 0) as decimal(20, 0)) * 2147483648 + {line}").cast("decimal(38, 0)")
@@ -223,7 +287,17 @@ def counted_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stage = Stage(docs.sparkSession, "line-dedup")
     classes = classes_of(docs, id_col, text_col, stage)
     cores = cores_of(classes, stage)
-    return classes, cores, pair_links(classes, cores, stage, grow=True)
+    spots = None if cores is None else cores.select("id", F.col("cores").alias("spot"))
+    return classes, cores, pair_links(classes, spots, stage, grow=True, together=lambda u, v: f"coalesce(arrays_overlap({u}, {v}), false)")
+
+
+def star_counted_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """line_links() with `grow`, as classes, stars (stars_of) and the links that in_star() doesn't tell."""
+    stage = Stage(docs.sparkSession, "line-dedup")
+    classes = classes_of(docs, id_col, text_col, stage)
+    stars = stars_of(classes, stage)
+    spots = None if stars is None else stars.select("id", F.struct("star", "kinds", "far", "most").alias("spot"))
+    return classes, stars, pair_links(classes, spots, stage, grow=True)
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str, stage: Stage) -> DataFrame:
@@ -232,15 +306,16 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, stage: Stage) -> Dat
     return stage.put(own.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n"), "copies", "first"), "classes", compression="zstd")
 
 
-def pair_links(classes: DataFrame, cores: DataFrame | None, stage: Stage, edits: int = EDITS, least: int = LEAST, grow: bool = False) -> DataFrame:
-    """The links of line_links() as pairs, without those of lines that share a core."""
+def pair_links(classes: DataFrame, spots: DataFrame | None, stage: Stage, edits: int = EDITS, least: int = LEAST, grow: bool = False, together: Callable[[str, str], str] = in_star) -> DataFrame:
+    """The links of line_links() as pairs, without those that two lines' spots (id, spot) tell by `together`."""
     lines = classes.select("id", "line", "n")
-    if cores is None:
-        lines = lines.withColumn("cores", F.lit(None).cast("array<bigint>"))
-    elif cores.limit(SEND // 10 + 1).count() <= SEND // 10:
-        lines = lines.join(F.broadcast(cores.select("id", "cores")), "id", "left")
+    if spots is None:
+        lines = lines.withColumn("spot", F.lit(None).cast("struct<star: bigint, kinds: int, far: int, most: int>"))
+        together = in_star
+    elif spots.limit(SEND // 10 + 1).count() <= SEND // 10:
+        lines = lines.join(F.broadcast(spots), "id", "left")
     else:
-        lines = stage.put(lines.join(cores.select("id", "cores"), "id", "left"), "lines", compression="zstd")
+        lines = stage.put(lines.join(spots, "id", "left"), "lines", compression="zstd")
     if grow:
         wide = PART * (EDITS + 1)
         parts = lambda x: (keyed(lines.filter(f"n between {SHORT} and {LEAST}"), 1, SHORT, x, LEAST), keyed(lines.filter(f"n between {LEAST} and {wide + 1}"), EDITS, LEAST, x, wide), keyed(lines.filter(F.col("n") >= wide), EDITS, wide, x, middle=True), ends_keyed(lines, x))
@@ -250,39 +325,44 @@ def pair_links(classes: DataFrame, cores: DataFrame | None, stage: Stage, edits:
         filed, asked = keyed(long, edits, least, False), keyed(long, edits, least, True)
 
     # Where many lines share a segment, they take their text along and are verified as they meet: pairs that fail are never
-    # made. Elsewhere hashes go alone, and texts are fetched for the few pairs that met.
+    # made. Lines that have a spot always do. Elsewhere hashes go alone, and texts are fetched for the few pairs that met.
     large = stage.put(filed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= LARGE).select("key", F.lit(True).alias("large")), "large")
     large = F.broadcast(large) if large.limit(SEND + 1).count() <= SEND else large
-    filed, asked = (df.join(large, "key", "left").withColumn("own", F.when(F.col("large"), F.struct("line", "cores"))) for df in (filed, asked))
-    filed = filed.select("key", F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("own").alias("v_own"))
-    asked = asked.select("key", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("own").alias("u_own"), "shorter")
-    # Lines that share a third meet by it, so that those who share a segment need not be held against the wider threshold.
-    near = f"if(shorter is null, {within_part('u_own.line', 'v_own.line')}, {within_few('u_own.line', 'v_own.line')})" if grow else within("u_own.line", "v_own.line", edits)
-    near = F.expr(f"u_own is null or not coalesce(arrays_overlap(u_own.cores, v_own.cores), false) and {near}")
-    lengths = F.expr(f"u <> v and (u_n > v_n or u_n = v_n and u > v) and u_n - v_n <= coalesce(shorter, v_n div {PART})")
-    met = filed.join(asked, (filed.key == asked.key) & lengths & near).groupBy("u", "v").agg(F.max(F.col("u_own").isNotNull()).alias("sure"))
+    filed, asked = (df.join(large, "key", "left").withColumn("own", F.expr("if(large or spot is not null, line, null)")) for df in (filed, asked))
+    filed = filed.select("key", F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("own").alias("v_own"), F.col("spot").alias("v_spot"))
+    asked = asked.select("key", F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("own").alias("u_own"), F.col("spot").alias("u_spot"), "shorter")
+    near = within("u_own", "v_own", edits)
+    if grow:
+        # Long lines that share a third meet by it, by the first if they share both, and are held against the wider threshold
+        # there alone.
+        part = third("v_n")
+        led, ended, long = f"left(u_own, {part}) = left(v_own, {part})", f"right(u_own, {part}) = right(v_own, {part})", f"v_n >= {wide}"
+        near = f"if(shorter = -1, {within_part('u_own', 'v_own')}, if(shorter = -2, not {led} and {within_part('u_own', 'v_own')}, not ({long} and ({led} or {ended})) and {within_few('u_own', 'v_own')}))"
+    near = F.expr(f"not {together('u_spot', 'v_spot')} and (u_own is null or v_own is null or {near})")
+    lengths = F.expr(f"u <> v and (u_n > v_n or u_n = v_n and u > v) and u_n - v_n <= if(shorter < 0, v_n div {PART}, shorter)")
+    met = filed.join(asked, (filed.key == asked.key) & lengths & near).groupBy("u", "v").agg(F.max(F.expr("u_own is not null and v_own is not null")).alias("sure"))
     met = stage.put(met, "met")
     sure, open_ = met.filter("sure").select("u", "v"), met.filter("not sure")
     wanted = stage.put(open_.select(F.col("u").alias("id")).unionByName(open_.select(F.col("v").alias("id"))).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.limit(SEND + 1).count() <= SEND else wanted
-    texts = stage.put(lines.join(wanted, "id", "left_semi").select("id", "line", "cores"), "texts", compression="zstd")
-    text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name), F.col("cores").alias(f"{name}_cores"))
-    both = open_.join(text("a", "u"), "u").join(text("b", "v"), "v").filter("not coalesce(arrays_overlap(a_cores, b_cores), false)")
+    texts = stage.put(classes.join(wanted, "id", "left_semi").select("id", "line"), "texts", compression="zstd")
+    text = lambda name, side: texts.select(F.col("id").alias(side), F.col("line").alias(name))
+    both = open_.join(text("a", "u"), "u").join(text("b", "v"), "v")
     return stage.put(sure.unionByName(verified(both, edits, grow).select("u", "v")), "links")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, edits: int, least: int, grow: bool, *keys: str) -> DataFrame:
     """doc_id (and own_key, a hash of id and text, if in keys), n_lines, n_links, n_dropped, dropped of documents, or rows, that have lines."""
     if grow:
-        classes, cores, links = counted_links(docs, id_col, text_col)
+        classes, stars, links = star_counted_links(docs, id_col, text_col)
     else:
-        (classes, links), cores = line_links(docs, id_col, text_col, edits, least), None
+        (classes, links), stars = line_links(docs, id_col, text_col, edits, least), None
     first = classes.select("id", "first")
     both = links.join(first.toDF("u", "u_first"), "u").join(first.toDF("v", "v_first"), "v")
     ends = both.select(F.explode(F.expr("array(struct(u as id, v_first < u_first as earlier), struct(v as id, u_first < v_first as earlier))")).alias("e")).select("e.id", "e.earlier")
     linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("earlier").alias("earlier"))
-    if cores is not None:
-        linked = linked.unionByName(core_links(cores)).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
+    if stars is not None:
+        linked = linked.unionByName(star_links(stars)).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
     kinds = Stage(docs.sparkSession, "line-dedup").put(classes.select("id", "copies", "first").join(linked, "id", "left").filter("copies > 1 or n_links is not null").drop("copies"), "kinds")
     own = fresh_name(docs, "own_key")
     rows = lines_of(docs.withColumn(own, row_key(id_col, text_col)), id_col, text_col, own).select("doc_id", F.col(own).alias("own_key"), "line_no", F.xxhash64("line").alias("id"))

@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from siteloom.llm.line_dedup import EDITS, LEAST, banded_distance, counted_links, drop_repeated_lines, line_links, repeated_lines, verified
+from siteloom.llm.line_dedup import EDITS, LEAST, banded_distance, counted_links, drop_repeated_lines, line_links, repeated_lines, star_counted_links, verified
 
 from .helpers import documents, odd_texts, prose
 
@@ -159,6 +159,36 @@ def test_near_copies_are_counted_without_their_pairs(spark):
     assert got == {i: (len(links[x]), int(first[x] < i or any(first[y] < first[x] for y in links[x]))) for i, x in enumerate(texts)}
 
 
+def test_lines_far_from_a_center_are_counted_without_their_pairs(spark):
+    r = random.Random(6)
+    texts = []
+    for base, edits in ((prose(7, 25), (1, 2, 3, 10, 12)), (prose(8, 30)[: 128 - 4], (0, 1, 2, 7, 8))):
+        texts += [base] * 3
+        for i in range(30):  # edits near the center and beyond a 21st of its length, in the middle, the first or the last third
+            at, k = len(base) * (i % 3) // 3, edits[i % 5]
+            texts.append(base[:at] + edited(r, base[at : at + len(base) // 3], k) + base[at + len(base) // 3 :])
+    docs = documents(spark, texts)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(x, i)
+    links = {x: set() for x in first}
+    for a, b in combinations(first, 2):
+        if linked(a, b):
+            links[a].add(b)
+            links[b].add(a)
+    n = sum(map(len, links.values())) // 2
+    classes, stars, pairs = star_counted_links(docs)
+    name, spots = {x.id: x.line for x in classes.collect()}, {x.id: x for x in stars.collect()}
+    near = lambda a, b: a.star == b.star and a.kinds & b.kinds and a.far + b.far <= min(a.most, b.most)
+    told = [frozenset((name[a.id], name[b.id])) for a, b in combinations(spots.values(), 2) if near(a, b)]
+    written = [frozenset((name[x.u], name[x.v])) for x in pairs.collect()]
+    assert {*told, *written} == {frozenset((a, b)) for a in links for b in links[a]} and len(told) + len(written) == n
+    # pairs of one line near the center and one far from it: with cores they were written
+    assert len(written) < n / 10 < counted_links(docs)[2].count()
+    got = {x.doc_id: (x.n_links, x.n_dropped) for x in repeated_lines(docs, grow=True).collect()}
+    assert got == {i: (len(links[x]), int(first[x] < i or any(first[y] < first[x] for y in links[x]))) for i, x in enumerate(texts)}
+
+
 def test_query_links_exchanged_words_and_short_lines(spark, tmp_path):
     from siteloom.llm.queries import op2_line_dedup
 
