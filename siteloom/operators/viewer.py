@@ -24,8 +24,9 @@ def ordered_groups(groups: DataFrame) -> DataFrame:
 
 
 def ordered_children(items: DataFrame) -> DataFrame:
-    """Items (site_id, url, parent_url, depth, title) with `place` from 1 among those of the same parent, by depth, then title."""
-    return items.withColumn("place", F.row_number().over(Window.partitionBy("site_id", F.lower("parent_url")).orderBy("depth", F.lower("title"), "url")))
+    """Items (site_id, url, parent_url, depth, title, and ord if there is one) with `place` from 1 among those of the same parent, by depth, then title; rows of one URL by ord."""
+    own = ["ord"] if "ord" in items.columns else []
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("site_id", F.lower("parent_url")).orderBy("depth", F.lower("title"), "url", *own)))
 
 
 def ordered_roots(roots: DataFrame, homepage: DataFrame) -> DataFrame:

@@ -189,6 +189,11 @@ def test_viewer(spark):
     assert {r.status: (r.n_sites, r.pages_done) for r in viewer.status_counts(viewer.run_status(sites)).collect()} == {"OK": (2, 7), "CAP": (1, 3), "ERROR": (1, 0)}
 
 
+def test_children_of_one_url_keep_their_order(spark):
+    kids = spark.createDataFrame([("a", "u", "p", 1, "x", k * 7 % 50) for k in range(50)], "site_id string, url string, parent_url string, depth int, title string, ord int").repartition(4)
+    assert [r.ord for r in viewer.ordered_children(kids).orderBy("place").collect()] == list(range(50))
+
+
 def test_slugs_and_noise(spark):
     df = spark.createDataFrame([("https://a.se/x/miljo-och-stod",), ("https://a.se/",), ("https://a.se/Hallbar-naring/",)], "u string")
     assert [r[0] for r in df.select(urls.humanized_slug(F.col("u"))).collect()] == ["Miljö och stöd", "https://a.se/", "Hållbar näring"]
