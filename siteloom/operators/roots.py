@@ -88,36 +88,43 @@ def visible_roots(tree: DataFrame, flat: DataFrame, candidates: DataFrame) -> tu
     pages that were not accepted go, unless one of seven reasons keeps the whole tree as it is: no accepted links, too few of
     them, none or too few among the root pages, or a result that is empty, collapsed or leaves masses of orphans. What hung
     below a page that went moves to the first accepted page above it by path; without one it is an orphan and goes, too.
+    A URL may have several rows: each is judged by its own parent and ord and counts as an orphan of its own, the last of
+    those that stay is shown. Root pages count once for each URL.
     """
-    own = cut(_keyed(tree).groupBy("site_id", "_k").agg(F.max_by(F.struct(*(F.col(c) for c in tree.columns), "_p", "_s"), "ord").alias("r")).filter("_k <> ''").select("_k", "r.*"))
+    own = cut(_keyed(tree).filter("_k <> ''"))
     accepted = candidates.filter("accepted").groupBy("site_id", urls.canonical_key(F.col("url")).alias("_k")).agg(F.min_by("url", "ord").alias("url"), F.min("ord").alias("ord")).filter("_k <> ''")
     yes = accepted.select("site_id", "_k", F.lit(True).alias("_yes"))
     is_start, is_root = F.col("_k") == F.col("_s"), (F.col("_p") == F.col("_s")) & (F.col("_k") != F.col("_s"))
-    own = own.join(yes, ["site_id", "_k"], "left").withColumn("_yes", F.coalesce("_yes", F.lit(False)))
-    own = cut(first_accepted_ancestor(own, accepted).withColumn("_gone", is_root & ~F.col("_yes")))
+    keys = own.groupBy("site_id", "_k").agg(F.max(is_root).alias("_root")).join(yes, ["site_id", "_k"], "left").withColumn("_yes", F.coalesce("_yes", F.lit(False)))
+    keys = cut(keys.withColumn("_gone", F.col("_root") & ~F.col("_yes")))
+    gone = keys.filter("_gone").select("site_id", "_k", "_gone")
+    own = cut(first_accepted_ancestor(own, accepted).join(gone, ["site_id", "_k"], "left").withColumn("_gone", F.coalesce("_gone", F.lit(False))))
 
     # Visible for sure: the start page, and what an accepted page is above. The rest is visible below what is visible, if that comes first.
-    visible = cut(own.filter(is_start | (~F.col("_gone") & F.col("accepted_ancestor").isNotNull())).select("site_id", "_k", "ord"))
+    first = lambda df: df.groupBy("site_id", "_k").agg(F.min("ord").alias("ord"))
+    visible = cut(first(own.filter(is_start | (~F.col("_gone") & F.col("accepted_ancestor").isNotNull()))))
     open_ = own.filter(~is_start & ~F.col("_gone") & F.col("accepted_ancestor").isNull())
     level = visible
     while True:
         above = level.select("site_id", F.col("_k").alias("_p"), F.col("ord").alias("_o"))
-        level = cut(open_.join(above, ["site_id", "_p"]).filter("_o < ord").select("site_id", "_k", "ord").join(visible, ["site_id", "_k"], "left_anti"))
+        earlier = visible.select("site_id", "_k", F.col("ord").alias("_o"))
+        level = cut(first(open_.join(above, ["site_id", "_p"]).filter("_o < ord")).join(earlier, ["site_id", "_k"], "left").filter("_o is null or ord < _o").select("site_id", "_k", "ord"))
         if level.head() is None:
             break
-        visible = cut(visible.unionByName(level))
-    shown = own.join(visible.select("site_id", "_k"), ["site_id", "_k"], "left_semi")
+        visible = cut(first(visible.unionByName(level)))
     above = visible.select("site_id", F.col("_k").alias("_p"), F.col("ord").alias("_o"))
-    shown = shown.join(above, ["site_id", "_p"], "left").withColumn("_kept", is_start | F.coalesce(F.col("_o") < F.col("ord"), F.lit(False)))
-    shown = shown.withColumn("parent_url", F.when(F.col("_kept"), F.col("parent_url")).otherwise(F.col("accepted_ancestor"))).withColumn("_p", F.coalesce(urls.canonical_key(F.col("parent_url")), F.lit("")))
-    shown = cut(shown.drop("_o", "_kept"))
+    judged = own.filter(is_start | ~F.col("_gone")).join(above, ["site_id", "_p"], "left").withColumn("_kept", is_start | F.coalesce(F.col("_o") < F.col("ord"), F.lit(False)))
+    judged = cut(judged.withColumn("_lost", ~F.col("_kept") & F.col("accepted_ancestor").isNull()))
+    shown = judged.filter("not _lost").withColumn("parent_url", F.when(F.col("_kept"), F.col("parent_url")).otherwise(F.col("accepted_ancestor")))
+    shown = shown.groupBy("site_id", "_k").agg(F.max_by(F.struct(*(F.col(c) for c in tree.columns if c != "site_id"), "_s"), "ord").alias("r")).select("site_id", "_k", "r.*")
+    shown = cut(shown.withColumn("_p", F.coalesce(urls.canonical_key(F.col("parent_url")), F.lit(""))))
 
     count = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
-    before = own.groupBy("site_id").agg(count(is_root, "roots_before"), count(is_root & F.col("_yes"), "overlap"), count(F.col("_gone"), "suppressed"))
+    before = keys.groupBy("site_id").agg(count(F.col("_root"), "roots_before"), count(F.col("_root") & F.col("_yes"), "overlap"), count(F.col("_gone"), "suppressed"))
     no = candidates.filter("not accepted").select("site_id", urls.canonical_key(F.col("url")).alias("_k")).distinct()
-    rejected = own.filter("_gone").join(no, ["site_id", "_k"], "left_semi").groupBy("site_id").agg(F.count(F.lit(1)).alias("rejected_suppressed"))
+    rejected = gone.join(no, ["site_id", "_k"], "left_semi").groupBy("site_id").agg(F.count(F.lit(1)).alias("rejected_suppressed"))
     after = shown.groupBy("site_id").agg(count(is_root, "roots_after"))
-    lost = own.filter(~F.col("_gone") & ~is_start).join(visible, ["site_id", "_k"], "left_anti").groupBy("site_id").agg(F.count(F.lit(1)).alias("orphaned"))
+    lost = judged.filter("_lost").groupBy("site_id").agg(F.count(F.lit(1)).alias("orphaned"))
     size = flat.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_flat"))
     report = before.join(accepted.groupBy("site_id").agg(F.count(F.lit(1)).alias("accepted")), "site_id", "left")
     for more in (after, lost, rejected, size):

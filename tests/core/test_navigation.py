@@ -133,6 +133,15 @@ def test_visible_root_reasons(spark, yes, n_roots, want):
     assert report.collect()[0].reason == want and kept.count() == (n_roots + 1 if want else 1 + len(yes))
 
 
+def test_each_row_of_a_url_may_be_an_orphan(spark):
+    edges = [("", None), ("/a", ""), ("/b", ""), ("/x", ""), ("/x/1", "/x"), ("/x/1", "/x"), ("/q/1", "/x"), ("/q/1", "/a"), ("/q/1", "/x"), ("/late", "/q/1"), ("/early", "/y"), ("/y", "/a"), ("/early", "/y"), ("/z", "/a"), ("/z", "")]
+    tree = tree_of(spark, "one.se", edges)
+    kept, report = roots.visible_roots(tree, tree, candidates(spark, "one.se", ["/a", "/b"]))
+    r = report.collect()[0]
+    assert (r.reason, r.roots_before, r.roots_after, r.suppressed, r.orphaned) == ("", 4, 2, 2, 5)
+    assert {x.url[14:]: x.parent_url[14:] for x in kept.collect()} == {"": "", "/a": "", "/b": "", "/q/1": "/a", "/late": "/q/1", "/early": "/y", "/y": "/a"} and kept.count() == 7
+
+
 def test_masses_of_orphans_keep_the_tree(spark):
     edges = [("", None), ("/a", ""), ("/b", ""), ("/c", ""), *((f"/c{i}", "/c") for i in range(30))]
     tree = tree_of(spark, "m.se", edges)
