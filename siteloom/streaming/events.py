@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,18 +45,33 @@ class Saturation(StatefulProcessor):
         self.recent = handle.getValueState("recent", "flags string, pages long, new_pages long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        flags, pages, new_pages = self.recent.get() if self.recent.exists() else ("", 0, 0)
-        for r in pd.concat(list(rows)).sort_values("ord").itertuples(index=False):
-            new = False
-            for k in range(self.patterns):
-                p = getattr(r, f"p{k}")
-                if p is None or not str(p).strip():
-                    continue
-                name = (f"{k}:{str(p).lower()}",)
-                if not self.seen.containsKey(name):
-                    self.seen.updateValue(name, (1,))
-                    new = True
-            flags, pages, new_pages = (flags + "01"[new])[-self.last :], pages + 1, new_pages + new
+        # Of a batch's rows only the first of each pattern and the last pages are held; the state is asked once for each pattern.
+        before = self.recent.get()
+        flags, pages, new_pages = before or ("", 0, 0)
+        firsts: list[dict] = [{} for _ in range(self.patterns)]
+        ends: list[tuple] = []
+        n = 0
+        for df in rows:
+            at = [(True, 0, i) if pd.isna(o) else (False, o, i) for i, o in enumerate(df["ord"].tolist(), n)]  # of one ord, and without any, as they come
+            n += len(at)
+            ends = heapq.nlargest(self.last, ends + at)
+            for k, first in enumerate(firsts):
+                for p, o in zip(df[f"p{k}"].tolist(), at):
+                    if p not in first or o < first[p]:
+                        first[p] = o
+        names: dict[str, tuple] = {}
+        for k, first in enumerate(firsts):
+            for p, o in first.items():
+                if not pd.isna(p) and str(p).strip():
+                    name = f"{k}:{str(p).lower()}"
+                    names[name] = min(o, names.get(name, o))
+        new = set()
+        for name, o in names.items():
+            if before is None or not self.seen.containsKey((name,)):
+                self.seen.updateValue((name,), (1,))
+                new.add(o)
+        flags = (flags + "".join("01"[o in new] for o in reversed(ends)))[-self.last :]
+        pages, new_pages = pages + n, new_pages + len(new)
         self.recent.update((flags, pages, new_pages))
         yield pd.DataFrame({"run_id": [key[0]], "pages": [pages], "new_pages": [new_pages], "new_in_window": [flags.count("1")], "saturated": [pages >= self.last and "1" not in flags]})
 

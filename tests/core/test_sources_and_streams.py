@@ -128,3 +128,50 @@ def test_sitemap_roots(spark):
     robots = spark.createDataFrame([("a", "User-agent: *\nSitemap: https://a.se/m.xml"), ("b", "User-agent: *")], "site_id string, text string")
     docs = spark.createDataFrame([("https://b.se/sitemap_index.xml",), ("https://a.se/sitemap.xml",)], "url string")
     assert sorted(tuple(r) for r in readers.sitemap_roots(sites, robots, docs).collect()) == [("a", "https://a.se/m.xml"), ("b", "https://b.se/sitemap_index.xml")]
+
+
+class _Kept:
+    """A state of one run, and how often it was asked."""
+
+    def __init__(self):
+        self.rows, self.value, self.asked = {}, None, 0
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.rows
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.rows[key] = value
+
+
+def test_stream_asks_its_state_once_for_each_pattern():
+    import random
+
+    import pandas as pd
+
+    r = random.Random(3)
+    s = st.Saturation(7, 2)
+    s.seen, s.recent = _Kept(), _Kept()
+    seen, flags, pages = set(), [], 0
+    for low, size, n in ((0, 2000, 40), (2000, 2, 200), (2002, 5, 200), (2007, 300, 3)):
+        batch = [(low + i, r.choice(["a", "A", "b", " ", None, f"p{r.randrange(n)}"]), r.choice(["x", "b", None])) for i in range(size)]
+        for _, *ps in batch:
+            fresh = {(k, p.lower()) for k, p in enumerate(ps) if p is not None and p.strip()} - seen
+            seen, flags, pages = seen | fresh, flags + [bool(fresh)], pages + 1
+        r.shuffle(batch)
+        df = pd.DataFrame(batch, columns=["ord", "p0", "p1"])
+        got = next(s.handleInputRows(("u",), iter([df[:150], df[150:]]), None)).iloc[0]
+        assert (got.pages, got.new_pages, got.new_in_window, got.saturated) == (pages, sum(flags), sum(flags[-7:]), pages >= 7 and not any(flags[-7:]))
+    assert {k for k, in s.seen.rows} == {f"{k}:{p}" for k, p in seen} and s.seen.asked + s.recent.asked < 400
