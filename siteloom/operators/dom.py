@@ -23,6 +23,8 @@ SKIPPED = frozenset("script style noscript template svg head".split())
 OUTSIDE = frozenset("nav header footer aside form".split())
 BLOCKS = frozenset("p li blockquote pre h1 h2 h3 h4 h5 h6 td dt dd figcaption".split())
 CONTAINER_BASE = {"breadcrumb": 0.96, "listing": 0.95, "header_nav": 0.93, "nav": 0.91, "aside": 0.87, "group": 0.70, "other": 0.55}
+#: Characters of pages that a worker reads before it hands over what it found.
+SLICE = 1 << 20
 LINKS = "page_id long, pos int, href string, text string, container string, in_main boolean, in_card boolean, n_siblings int, heading string, widget string"
 
 
@@ -123,19 +125,32 @@ def _read(html: str | None) -> _Reader:
     return r
 
 
+def _read_in_slices(batches, of, kinds: dict):
+    """Batches of a page's id and what `of` makes of its reader; of a batch no more is held as Python's objects than SLICE characters of pages and what they give."""
+    import pyarrow as pa
+
+    for b in batches:
+        out: list[list] = [[] for _ in kinds]
+        held = 0
+        for k in range(b.num_rows):
+            i, html = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+            for row in of(_read(html)):
+                for column, v in zip(out, (i, *row)):
+                    column.append(v)
+            held += len(html or "")
+            if held >= SLICE or k == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds.values())], list(kinds))
+                out, held = [[] for _ in kinds], 0
+
+
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, pos, type (tag), text of the blocks of a page's content in reading order; navigation, header, footer, forms and scripts are left out."""
 
     def rows(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for pos, (tag, line) in enumerate(_read(html).blocks):
-                    for column, v in zip(out, (i, pos, tag, line)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["page_id", "pos", "type", "text"])
+        kinds = {"page_id": pa.int64(), "pos": pa.int32(), "type": pa.string(), "text": pa.string()}
+        return _read_in_slices(batches, lambda r: ((pos, tag, line) for pos, (tag, line) in enumerate(r.blocks)), kinds)
 
     return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(rows, "page_id long, pos int, type string, text string")
 
@@ -162,20 +177,17 @@ def sections(found: DataFrame) -> DataFrame:
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Links with what surrounds them: container, whether in the main part or a card, links of the same list, last heading, enclosing widget."""
 
+    def of(r: _Reader):
+        for pos, a in enumerate(r.links):
+            n = r.children[a["group"]]
+            container = "group" if a["container"] == "other" and n >= 4 else a["container"]
+            yield pos, a["href"], a["text"], container, a["in_main"], a["in_card"], n, a["heading"], a["widget"]
+
     def rows(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for i, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = _read(html)
-                for pos, a in enumerate(r.links):
-                    n = r.children[a["group"]]
-                    container = "group" if a["container"] == "other" and n >= 4 else a["container"]
-                    for column, v in zip(out, (i, pos, a["href"], a["text"], container, a["in_main"], a["in_card"], n, a["heading"], a["widget"])):
-                        column.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], [c.split()[0] for c in LINKS.split(", ")])
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+        return _read_in_slices(batches, of, dict(zip((c.split()[0] for c in LINKS.split(", ")), kinds)))
 
     return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(rows, LINKS)
 

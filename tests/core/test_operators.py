@@ -218,3 +218,31 @@ def test_frontier_query_goes_past_twenty_pages_and_two_levels(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.url: r.depth for r in frontier_bfs(spark, str(tmp_path)).collect()}
     assert len(got) == 33 and got["https://a.org/q"] == 2 and got["https://a.org/r"] == 3
+
+
+class _Taken:
+    """Stands for a table of pages; gives the function that workers run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, rows, schema):
+        return rows
+
+
+@pytest.mark.parametrize("read,per_page", [(dom.blocks, 3), (dom.links, 1)])
+def test_workers_hold_no_more_than_a_slice_of_pages(spark, read, per_page):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, page = 200, "<p>" + "x" * 100_000 + "</p><p><a href='/a'>" + "y" * 20_000 + "</a></p><h2>z</h2>"
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([page] * (n - 1) + [None], pa.string())], ["page_id", "html"]), pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["page_id", "html"])]
+    rows = read(_Taken())
+    tracemalloc.start()
+    try:
+        ids = [i for b in rows(iter(batches)) for i in b.column("page_id").to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 8e6
+    finally:
+        tracemalloc.stop()
+    assert ids == [i for i in range(n - 1) for _ in range(per_page)]
